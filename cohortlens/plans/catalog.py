@@ -70,3 +70,49 @@ def _ret_daily(spark, d):
 def _ret_month(spark, d):
     t = Tables(spark, d)
     return delivery.retention_by_month(A.d_events(t), A.d_cities(t), CITY, COHORT_WINDOW, EV_WINDOW)
+
+
+# ------------------------------------------------------------- books
+from cohortlens.plans import books  # noqa: E402
+
+BOOK_MONTH = 1
+BOOK_COHORT_DAY = "2024-01-02"
+BOOK_CITIES = ("ASIA", "EUROPE")
+BOOK_PRICE = 399
+BOOK_WINDOW = ("2024-01-01", "2024-04-01")
+
+
+@query("mau_authors")
+def _mau_authors(spark, d):
+    t = Tables(spark, d)
+    return books.mau_authors(A.b_audition(t), A.b_content(t), A.b_author(t), month=BOOK_MONTH)
+
+
+@query("mau_content")
+def _mau_content(spark, d):
+    t = Tables(spark, d)
+    return books.mau_content(A.b_audition(t), A.b_content(t), A.b_author(t), month=BOOK_MONTH)
+
+
+@query("retention_fixed_cohort")
+def _ret_fixed(spark, d):
+    t = Tables(spark, d)
+    return books.retention_fixed_cohort(A.b_audition(t), BOOK_COHORT_DAY)
+
+
+@query("ltv_subscription")
+def _ltv_sub(spark, d):
+    t = Tables(spark, d)
+    return books.ltv_subscription(A.b_audition(t), A.b_geo(t), BOOK_CITIES, BOOK_PRICE)
+
+
+@query("avg_hour_revenue")
+def _avg_hour(spark, d):
+    t = Tables(spark, d)
+    return books.avg_hour_revenue(A.b_audition(t), *BOOK_WINDOW, price=BOOK_PRICE)
+
+
+@query("user_hours_by_city")
+def _user_hours(spark, d):
+    t = Tables(spark, d)
+    return books.user_hours_by_city(A.b_audition(t), A.b_geo(t), BOOK_CITIES)
