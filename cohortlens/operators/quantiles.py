@@ -140,3 +140,21 @@ def quantiles(df: DataFrame, value: str | Column, probs, by: Sequence[str] = (),
 def median(df: DataFrame, value: str, by: Sequence[str] = (), kind: str = "cont",
            method: str = "exact") -> DataFrame:
     return quantiles(df, value, {"median": 0.5}, by, kind=kind, method=method)
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs, by: Sequence[str] = (),
+                     kind: str = "cont", method: str = "exact") -> DataFrame:
+    """Quantiles of several columns in one distributed pass.
+
+    The columns are unpivoted to ``(column, value)`` rows and handled as one
+    more grouping key, so k columns cost one shuffle instead of k.  Returns one
+    row per ``by`` group with columns ``{col}_{prob_name}``.
+    """
+    pm = _probs(probs)
+    by = list(by)
+    long = df.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__val")) for c in cols
+    ])).alias("__kv")).select(*by, "__kv.__col", "__kv.__val")
+    q = quantiles(long, "__val", pm, by + ["__col"], kind=kind, method=method)
+    aggs = [F.max(F.when(F.col("__col") == c, F.col(n))).alias(f"{c}_{n}") for c in cols for n in pm]
+    return q.groupBy(*by).agg(*aggs)

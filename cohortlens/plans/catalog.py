@@ -116,3 +116,49 @@ def _avg_hour(spark, d):
 def _user_hours(spark, d):
     t = Tables(spark, d)
     return books.user_hours_by_city(A.b_audition(t), A.b_geo(t), BOOK_CITIES)
+
+
+# ------------------------------------------------------------- realty
+from cohortlens.plans import realty  # noqa: E402
+from cohortlens.operators.trim import trim_outliers  # noqa: E402
+
+CAPITAL = "NATION_0"
+PARTIAL_YEARS = (1995, 2001)
+MIN_ADS = 350
+
+
+@query("trim_outliers")
+def _trim(spark, d):
+    return realty.trim_flats(A.r_flats(Tables(spark, d)))
+
+
+@query("exposure_segments")
+def _exposure(spark, d):
+    t = Tables(spark, d)
+    return realty.exposure_segments(A.r_flats(t), A.r_advertisement(t), A.r_city(t), CAPITAL,
+                                    PARTIAL_YEARS)
+
+
+@query("listing_seasonality")
+def _season(spark, d):
+    t = Tables(spark, d)
+    return realty.listing_seasonality(A.r_flats(t), A.r_advertisement(t))
+
+
+def _market(spark, d):
+    t = Tables(spark, d)
+    return realty.settlement_market(A.r_flats(t), A.r_advertisement(t), A.r_city(t), CAPITAL,
+                                    PARTIAL_YEARS, MIN_ADS)
+
+
+query("settlement_market")(_market)
+
+
+@query("settlement_rankings")
+def _rankings(spark, d):
+    return realty.settlement_rankings(_market(spark, d), k=5)
+
+
+@query("settlement_rankings__price_ratio")
+def _ratio(spark, d):
+    return realty.settlement_price_ratio(_market(spark, d))
