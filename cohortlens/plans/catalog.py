@@ -162,3 +162,44 @@ def _rankings(spark, d):
 @query("settlement_rankings__price_ratio")
 def _ratio(spark, d):
     return realty.settlement_price_ratio(_market(spark, d))
+
+
+# ------------------------------------------------------------- sessions (A/B)
+from pyspark.sql import functions as F  # noqa: E402
+
+from cohortlens.plans import sessions as S  # noqa: E402
+
+MONITOR_DAY = "2024-01-01"
+
+
+def _sess(spark, d):
+    return A.a_sessions(Tables(spark, d))
+
+
+def _monitor(spark, d):
+    return _sess(spark, d).where(F.col("session_date") == F.lit(MONITOR_DAY).cast("date"))
+
+
+def _nsize(spark, d):
+    return S.required_sample_size(_sess(spark, d))
+
+
+query("top_user_sessions")(lambda spark, d: S.top_user_sessions(_sess(spark, d)))
+query("daily_registration")(lambda spark, d: S.daily_registration(_sess(spark, d)))
+query("daily_registration__means")(lambda spark, d: S.daily_registration_means(_sess(spark, d)))
+query("page_counter_dist")(lambda spark, d: S.page_counter_dist(_sess(spark, d)))
+query("page_counter_dist__stats")(lambda spark, d: S.page_counter_stats(_sess(spark, d)))
+query("daily_good_sessions")(lambda spark, d: S.daily_good_sessions(_sess(spark, d)))
+query("daily_good_sessions__stats")(lambda spark, d: S.daily_good_sessions_stats(_sess(spark, d)))
+query("required_sample_size")(_nsize)
+query("test_duration")(lambda spark, d: S.test_duration(
+    _sess(spark, d), _nsize(spark, d).where(F.col("segment") == "all")))
+query("group_size_balance")(lambda spark, d: S.group_size_balance(_monitor(spark, d)))
+query("group_size_balance__by_day")(lambda spark, d: S.group_size_by_day(_sess(spark, d)))
+query("group_overlap")(lambda spark, d: S.group_overlap(_monitor(spark, d)))
+query("attribute_balance")(lambda spark, d: S.attribute_balance(_monitor(spark, d), "device"))
+query("attribute_balance__region")(lambda spark, d: S.attribute_balance(_monitor(spark, d), "region"))
+query("daily_sessions_ttest")(lambda spark, d: S.daily_sessions_ttest(_sess(spark, d)))
+query("group_performance")(lambda spark, d: S.group_performance(_sess(spark, d)))
+query("proportions_ztest")(lambda spark, d: S.proportions_ztest(_sess(spark, d)))
+query("lift_confint")(lambda spark, d: S.lift_confint(_sess(spark, d)))
