@@ -203,3 +203,33 @@ query("daily_sessions_ttest")(lambda spark, d: S.daily_sessions_ttest(_sess(spar
 query("group_performance")(lambda spark, d: S.group_performance(_sess(spark, d)))
 query("proportions_ztest")(lambda spark, d: S.proportions_ztest(_sess(spark, d)))
 query("lift_confint")(lambda spark, d: S.lift_confint(_sess(spark, d)))
+
+
+# ------------------------------------------------------------- cohort hygiene / hours study
+from cohortlens.plans import cohort as C  # noqa: E402
+
+TEST = "interface_eu_test"
+
+
+def _hours(spark, d):
+    return C.dedup_users(A.b_user_hours_csv(Tables(spark, d)))
+
+
+query("dedup_users")(_hours)
+query("dedup_users__count")(lambda spark, d: C.dedup_users_count(A.b_user_hours_csv(Tables(spark, d))))
+query("group_describe")(lambda spark, d: C.group_describe(_hours(spark, d), "city", "hours"))
+query("welch_ttest")(lambda spark, d: C.welch_ttest(_hours(spark, d), "city", "hours", "spb", "msk"))
+query("density_histogram")(lambda spark, d: C.hours_histogram(_hours(spark, d), "city", "hours", 30))
+
+
+def _tp(spark, d):
+    t = Tables(spark, d)
+    return A.t_events(t), A.t_participants(t)
+
+
+query("clean_participants")(lambda spark, d: C.clean_participants(_tp(spark, d)[1], TEST))
+query("clean_participants__groups")(lambda spark, d: C.clean_participants_groups(_tp(spark, d)[1], TEST))
+query("clean_participants__duplicates")(lambda spark, d: C.participants_duplicates(_tp(spark, d)[1]))
+query("lifetime_events")(lambda spark, d: C.lifetime_events(*_tp(spark, d), TEST, 7))
+query("group_conversion")(lambda spark, d: C.group_conversion(*_tp(spark, d), TEST))
+query("proportions_ztest__abtest")(lambda spark, d: C.conversion_ztest(*_tp(spark, d), TEST))
