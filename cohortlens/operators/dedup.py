@@ -1,28 +1,35 @@
 """Order-dependent deduplication, made explicit.
 
 Spark rows have no inherent order, so every keep-first/last operator takes
-the column that defines "first".  Ranking is a window partitioned by the
-key: rows of one key meet in one task, which is bounded by the number of
-copies of a key (a duplicate group), not by the table.
+the column that defines "first".
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def keep_one(df: DataFrame, key: Sequence[str] | str, order: Sequence[str] | str,
              keep: str = "first") -> DataFrame:
-    """``drop_duplicates(subset=key, keep=first|last)`` ordered by ``order``."""
+    """``drop_duplicates(subset=key, keep=first|last)`` ordered by ``order``.
+
+    Expressed as an aggregate, not a window: ``min_by`` / ``max_by`` of the
+    whole row keyed by the order columns.  The aggregate combines map-side,
+    so a hot key (even the null key, which pandas also treats as one value)
+    is reduced inside every input partition before the shuffle.  ``order``
+    should be unique within a key; ties resolve to an arbitrary row.
+    """
     key = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
     if not order:
         raise ValueError("an explicit order column is required for keep-first/last")
-    oc = [F.col(c).asc_nulls_first() if keep == "first" else F.col(c).desc_nulls_last() for c in order]
-    w = Window.partitionBy(*key).orderBy(*oc)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    row = F.struct(*[F.col(c) for c in df.columns])
+    rank = F.struct(*[F.col(c) for c in order])
+    pick = F.min_by(row, rank) if keep == "first" else F.max_by(row, rank)
+    keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(key)]
+    return df.groupBy(*keys).agg(pick.alias("__row")).select("__row.*")
 
 
 def duplicate_count(df: DataFrame, key: Sequence[str] | str | None = None) -> DataFrame:
@@ -40,11 +47,14 @@ def duplicate_count(df: DataFrame, key: Sequence[str] | str | None = None) -> Da
 def all_duplicates(df: DataFrame, key: Sequence[str] | str) -> DataFrame:
     """Every row whose key occurs more than once (``duplicated(keep=False)``).
 
-    Key counts are aggregated first and joined back: the join is on the
-    duplicated keys only, so no single task receives a whole hot key's
-    rows from a window.
+    Null keys compare equal, as in pandas.  Key counts are aggregated first
+    (map-side combine) and joined back null-safely on the duplicated keys.
     """
     key = [key] if isinstance(key, str) else list(key)
     dup = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-           .where(F.col("__n") > 1).select(*key))
-    return df.join(dup, key, "left_semi")
+           .where(F.col("__n") > 1).select(*[F.col(k).alias(f"__d_{k}") for k in key]))
+    cond = None
+    for k in key:
+        c = F.col(k).eqNullSafe(F.col(f"__d_{k}"))
+        cond = c if cond is None else cond & c
+    return df.join(dup, cond, "left_semi")

@@ -233,3 +233,42 @@ query("clean_participants__duplicates")(lambda spark, d: C.participants_duplicat
 query("lifetime_events")(lambda spark, d: C.lifetime_events(*_tp(spark, d), TEST, 7))
 query("group_conversion")(lambda spark, d: C.group_conversion(*_tp(spark, d), TEST))
 query("proportions_ztest__abtest")(lambda spark, d: C.conversion_ztest(*_tp(spark, d), TEST))
+
+
+# ------------------------------------------------------------- places
+from cohortlens.plans import places as P  # noqa: E402
+from cohortlens.operators.profile import profile  # noqa: E402
+from cohortlens.operators.describe import density_histogram  # noqa: E402
+
+CENTER = "brand#4"
+
+
+def _ip(spark, d):
+    t = Tables(spark, d)
+    return A.p_info(t), A.p_price(t)
+
+
+def _places(spark, d):
+    return P.merge_and_dedup(*_ip(spark, d))
+
+
+query("profile")(lambda spark, d: profile(P._merged(*_ip(spark, d), P.NORMALISED), "places"))
+query("merge_and_dedup")(_places)
+query("merge_and_dedup__duplicates")(lambda spark, d: P.merge_duplicates(*_ip(spark, d)))
+query("round_the_clock_share")(lambda spark, d: P.round_the_clock_share(_places(spark, d)))
+query("value_share")(lambda spark, d: P.category_share(_places(spark, d)))
+query("value_share__district")(lambda spark, d: P.share_of_rows(_places(spark, d), "district"))
+query("value_share__center_category")(lambda spark, d: P.category_share(
+    _places(spark, d), F.col("district") == CENTER))
+query("chain_share")(lambda spark, d: P.chain_share(_places(spark, d)))
+query("chain_share__overall")(lambda spark, d: P.chain_share_overall(_places(spark, d)))
+query("seats_summary")(lambda spark, d: P.seats_summary(_places(spark, d)))
+query("seats_summary__describe")(lambda spark, d: P.seats_describe(_places(spark, d)))
+query("seats_summary__large")(lambda spark, d: P.seats_large(_places(spark, d)))
+query("rating_by_category")(lambda spark, d: P.rating_by_category(_places(spark, d)))
+query("rating_by_category__describe")(lambda spark, d: P.rating_describe(_places(spark, d)))
+query("rating_by_price")(lambda spark, d: P.rating_by_price(_places(spark, d)))
+query("top_chains")(lambda spark, d: P.top_chains(_places(spark, d)))
+query("top_chains__categories")(lambda spark, d: P.top_chain_categories(_places(spark, d)))
+query("bill_vs_center")(lambda spark, d: P.bill_vs_center(_places(spark, d), CENTER))
+query("density_histogram__rating")(lambda spark, d: density_histogram(_places(spark, d), "rating", bins=20))
