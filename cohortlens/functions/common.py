@@ -30,11 +30,19 @@ def floor_days(later, earlier) -> Column:
     return F.floor(micros / F.lit(86_400_000_000)).cast("long")
 
 
+def _snap(x) -> Column:
+    # Snap to 10 decimals first: sums/averages of decimal data that should
+    # sit exactly on a half (e.g. 0.05875) often land a few ulps below it;
+    # snapping restores the decimal value so the half rounds as in SQL
+    # NUMERIC, independent of summation order.
+    return F.round(_c(x).cast("double"), 10)
+
+
 def round_half_up(x, dp: int) -> Column:
     """SQL ``ROUND(x::numeric, dp)``: half away from zero, result double."""
-    return F.round(_c(x).cast("double"), dp).cast("double")
+    return F.round(_snap(x), dp).cast("double")
 
 
 def round_half_even(x, dp: int) -> Column:
     """pandas ``Series.round(dp)``: banker's rounding, result double."""
-    return F.bround(_c(x).cast("double"), dp).cast("double")
+    return F.bround(_snap(x), dp).cast("double")

@@ -272,3 +272,60 @@ query("top_chains")(lambda spark, d: P.top_chains(_places(spark, d)))
 query("top_chains__categories")(lambda spark, d: P.top_chain_categories(_places(spark, d)))
 query("bill_vs_center")(lambda spark, d: P.bill_vs_center(_places(spark, d), CENTER))
 query("density_histogram__rating")(lambda spark, d: density_histogram(_places(spark, d), "rating", bins=20))
+
+
+# ------------------------------------------------------------- startups
+from cohortlens.plans import startups as SU  # noqa: E402
+from cohortlens.operators.describe import describe as _describe, iqr_bounds as _iqr  # noqa: E402
+
+
+def _cr(spark, d):
+    return A.s_company_and_rounds(Tables(spark, d))
+
+
+def _nc(spark, d):
+    return SU.normalize_companies_rounds(_cr(spark, d))
+
+
+def _final(spark, d):
+    t = Tables(spark, d)
+    cand = SU.candidate_companies(SU.normalize_companies_rounds(A.s_company_and_rounds(t)))
+    return SU.acquisition_enrichment(cand, A.s_acquisition(t))
+
+
+def _symbolic(spark, d):
+    return SU.symbolic_sales(_final(spark, d), A.s_acquisition(Tables(spark, d)))
+
+
+def _frames(spark, d):
+    t = Tables(spark, d)
+    return {"company_and_rounds": A.s_company_and_rounds(t), "people": A.s_people(t), "fund": A.s_fund(t)}
+
+
+def _cps(spark, d, order_by):
+    return SU.category_price_stats(_final(spark, d), A.s_acquisition(Tables(spark, d)), order_by=order_by)
+
+
+query("clean_headers_and_dates")(lambda spark, d: SU.clean_headers_and_dates(_cr(spark, d), ["founded_at"]))
+query("profile__startups")(lambda spark, d: profile(_cr(spark, d), "company_and_rounds"))
+query("funding_by_year")(lambda spark, d: SU.funding_by_year(_cr(spark, d), 50))
+query("education_gap_by_company_size")(lambda spark, d: SU.education_gap_by_company_size(
+    A.s_people(Tables(spark, d)), A.s_education(Tables(spark, d))))
+query("join_key_suitability")(lambda spark, d: SU.join_key_suitability(_frames(spark, d), "network_username"))
+query("join_key_suitability__pairs")(lambda spark, d: SU.join_key_overlaps(_frames(spark, d), "network_username"))
+query("normalize_companies_rounds")(_nc)
+query("normalize_companies_rounds__rounds")(lambda spark, d: SU.split_rounds(_cr(spark, d)))
+query("candidate_companies")(lambda spark, d: SU.candidate_companies(_nc(spark, d)))
+query("candidate_companies__status")(lambda spark, d: SU.status_shares(SU.candidate_companies(_nc(spark, d))))
+query("candidate_companies__missing")(lambda spark, d: SU.missing_stats(SU.candidate_companies(_nc(spark, d))))
+query("acquisition_enrichment")(_final)
+query("status_consistency")(lambda spark, d: SU.status_consistency(_final(spark, d)))
+query("funding_summary")(lambda spark, d: SU.funding_summary(_final(spark, d)))
+query("symbolic_sales")(_symbolic)
+query("symbolic_sales__describe")(lambda spark, d: _describe(_symbolic(spark, d), "funding_total"))
+query("iqr_outlier_bounds")(lambda spark, d: _iqr(_symbolic(spark, d), "funding_total", 1.5))
+query("category_price_stats")(lambda spark, d: _cps(spark, d, "median_price"))
+query("category_price_stats__by_iqr")(lambda spark, d: _cps(spark, d, "iqr_price"))
+query("category_price_stats__by_std")(lambda spark, d: _cps(spark, d, "std_price"))
+query("rounds_by_status")(lambda spark, d: SU.rounds_by_status(_final(spark, d)))
+query("rounds_by_status__values")(lambda spark, d: SU.distinct_values(_final(spark, d), "funding_rounds"))
