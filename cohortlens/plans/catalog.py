@@ -329,3 +329,41 @@ query("category_price_stats__by_iqr")(lambda spark, d: _cps(spark, d, "iqr_price
 query("category_price_stats__by_std")(lambda spark, d: _cps(spark, d, "std_price"))
 query("rounds_by_status")(lambda spark, d: SU.rounds_by_status(_final(spark, d)))
 query("rounds_by_status__values")(lambda spark, d: SU.distinct_values(_final(spark, d), "funding_rounds"))
+
+
+# ------------------------------------------------------------- game
+from cohortlens.plans import game as G  # noqa: E402
+
+
+def _g(spark, d):
+    t = Tables(spark, d)
+    return A.g_users(t), A.g_events(t), A.g_items(t)
+
+
+query("payer_share")(lambda spark, d: G.payer_share(_g(spark, d)[0]))
+query("payer_share_by_race")(lambda spark, d: G.payer_share_by_race(_g(spark, d)[0]))
+query("purchase_stats")(lambda spark, d: G.purchase_stats(_g(spark, d)[1]))
+query("zero_purchases")(lambda spark, d: G.zero_purchases(_g(spark, d)[1]))
+query("buyers_by_payer")(lambda spark, d: G.buyers_by_payer(*_g(spark, d)[:2]))
+query("item_popularity")(lambda spark, d: G.item_popularity(*_g(spark, d)))
+query("item_popularity__top")(lambda spark, d: G.item_popularity(*_g(spark, d), k=3))
+query("race_activity")(lambda spark, d: G.race_activity(*_g(spark, d)[:2]))
+query("activity_tiers")(lambda spark, d: G.activity_tiers(G.race_activity(*_g(spark, d)[:2])))
+
+
+# ------------------------------------------------------------- talks
+from cohortlens.plans import talks as K  # noqa: E402
+
+
+def _k(spark, d):
+    t = Tables(spark, d)
+    return A.k_conferences(t), A.k_talks(t)
+
+
+query("conference_totals")(lambda spark, d: K.conference_totals(*_k(spark, d)))
+query("conference_drilldown")(lambda spark, d: K.conference_drilldown(*_k(spark, d)))
+query("top_funny_talks")(lambda spark, d: K.top_funny_talks(_k(spark, d)[1]))
+query("top_tags")(lambda spark, d: K.top_tags(_k(spark, d)[1]))
+query("occupations_by_applause")(lambda spark, d: K.occupations_by_applause(_k(spark, d)[1]))
+query("speakers_and_length")(lambda spark, d: K.speakers_and_length(*_k(spark, d)))
+query("talk_detail")(lambda spark, d: K.talk_detail(*_k(spark, d)))
