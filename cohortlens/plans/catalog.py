@@ -367,3 +367,12 @@ query("top_tags")(lambda spark, d: K.top_tags(_k(spark, d)[1]))
 query("occupations_by_applause")(lambda spark, d: K.occupations_by_applause(_k(spark, d)[1]))
 query("speakers_and_length")(lambda spark, d: K.speakers_and_length(*_k(spark, d)))
 query("talk_detail")(lambda spark, d: K.talk_detail(*_k(spark, d)))
+
+
+# ------------------------------------------------------------- places: association (phi_K)
+from cohortlens.operators.assoc import strongest_correlate  # noqa: E402
+
+query("phik_matrix")(lambda spark, d: P.rating_association(_places(spark, d)))
+query("phik_matrix__chi2")(lambda spark, d: P.rating_association(_places(spark, d), with_phik=False))
+query("phik_matrix__strongest")(lambda spark, d: strongest_correlate(
+    P.rating_association(_places(spark, d)), "rating"))

@@ -146,3 +146,15 @@ def bill_vs_center(places: DataFrame, center: str, dp: int = 4) -> DataFrame:
     c = F.max(F.when(F.col("district") == center, F.col("b"))).over(Window.partitionBy())
     return g.select("district", round_half_up("b", dp).alias("avg_bill"),
                     round_half_up(c - F.col("b"), dp).alias("gap_to_center"))
+
+
+# ---------------------------------------------------------------- association
+ASSOC_COLS = ("rating", "category", "district", "chain", "seats", "price", "is_24_7")
+ASSOC_INTERVAL = ("rating", "chain", "seats")
+
+
+def rating_association(places: DataFrame, with_phik: bool = True) -> DataFrame:
+    from cohortlens.operators.assoc import chi2_matrix, phik_matrix
+    if with_phik:
+        return phik_matrix(places, ASSOC_COLS, ASSOC_INTERVAL, bins=10)
+    return chi2_matrix(places, ASSOC_COLS, ASSOC_INTERVAL, bins=10)
