@@ -25,6 +25,11 @@ Methods
 4. only the bucket holding each target rank is scanned with a running sum,
    partitioned by (group, bucket, target).
 
+``domain`` is the same computation with a single bucket per group: exact,
+no checkpoint, and still safe for a hot group because the window runs over
+the group's *distinct values*.  Use it when the value domain is small by
+construction (counts, ratings, small integer codes).
+
 ``builtin`` uses Spark's ``percentile`` / ``percentile_disc`` aggregates
 (one pass; memory per group proportional to its distinct values), fine when
 group cardinality is known to be small.  ``approx`` uses
@@ -86,19 +91,23 @@ def quantiles(df: DataFrame, value: str | Column, probs, by: Sequence[str] = (),
         aggs = [F.percentile_approx("__v", p, accuracy).alias(n) for n, p in pm.items()]
         out = base.groupBy(*by).agg(*aggs)
         return out.select(*by, *[F.col(n).cast(out_type).alias(n) for n in pm])
-    if method != "exact":
+    if method not in ("exact", "domain"):
         raise ValueError(f"unknown method {method}")
 
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     vc = base.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    fr = [i / buckets for i in range(1, buckets)]
-    bounds = (vc.groupBy(*by)
-              .agg(F.percentile_approx(F.col("__v").cast("double"), fr, accuracy).alias("__bnd"))
-              .checkpoint(eager=True))
-    bk = _null_safe_join(vc, bounds, by).select(
-        *by, "__v", "__c",
-        F.size(F.filter("__bnd", lambda x: x < F.col("__v").cast("double"))).alias("__b"))
+    if method == "domain":
+        # Small value domain (counts, ratings, flags): one bucket per group;
+        # the running window sees one row per distinct value of the group.
+        bk = vc.withColumn("__b", F.lit(0))
+    else:
+        ensure_checkpoint_dir(df.sparkSession)
+        fr = [i / buckets for i in range(1, buckets)]
+        bounds = (vc.groupBy(*by)
+                  .agg(F.percentile_approx(F.col("__v").cast("double"), fr, accuracy).alias("__bnd"))
+                  .checkpoint(eager=True))
+        bk = _null_safe_join(vc, bounds, by).select(
+            *by, "__v", "__c",
+            F.size(F.filter("__bnd", lambda x: x < F.col("__v").cast("double"))).alias("__b"))
     tot = bk.groupBy(*by, "__b").agg(F.sum("__c").alias("__nb"))
     gw = Window.partitionBy(*by)
     tot = (tot.withColumn("__off", F.sum("__nb").over(gw.orderBy("__b")) - F.col("__nb"))
@@ -143,7 +152,7 @@ def median(df: DataFrame, value: str, by: Sequence[str] = (), kind: str = "cont"
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs, by: Sequence[str] = (),
-                     kind: str = "cont", method: str = "exact") -> DataFrame:
+                     kind: str = "cont", method: str = "exact", buckets: int = 128) -> DataFrame:
     """Quantiles of several columns in one distributed pass.
 
     The columns are unpivoted to ``(column, value)`` rows and handled as one
@@ -155,6 +164,6 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs, by: Sequence[str
     long = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__val")) for c in cols
     ])).alias("__kv")).select(*by, "__kv.__col", "__kv.__val")
-    q = quantiles(long, "__val", pm, by + ["__col"], kind=kind, method=method)
+    q = quantiles(long, "__val", pm, by + ["__col"], kind=kind, method=method, buckets=buckets)
     aggs = [F.max(F.when(F.col("__col") == c, F.col(n))).alias(f"{c}_{n}") for c in cols for n in pm]
     return q.groupBy(*by).agg(*aggs)

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.operators.quantiles import column_quantiles
+from cohortlens.session import ensure_checkpoint_dir
 
 
 def trim_outliers(df: DataFrame, upper: Mapping[str, float], lower: Mapping[str, float] | None = None,
@@ -34,6 +35,11 @@ def trim_outliers(df: DataFrame, upper: Mapping[str, float], lower: Mapping[str,
     lim = column_quantiles(df, cols, uniq, kind="disc", method=method)
     lim = lim.select(*[F.col(f"{c}_{name_of[p]}").alias(f"__hi_{c}") for c, p in upper.items()],
                      *[F.col(f"{c}_{name_of[p]}").alias(f"__lo_{c}") for c, p in lower.items()])
+    # The limits are exactly one row: materialise them once (reliable
+    # checkpoint) so every downstream branch filters against the same
+    # values without re-running the percentile passes.
+    ensure_checkpoint_dir(df.sparkSession)
+    lim = lim.checkpoint(eager=True)
     j = df.crossJoin(F.broadcast(lim))
     cond = F.lit(True)
     for c in cols:

@@ -65,7 +65,9 @@ def exposure_segments(flats: DataFrame, ads: DataFrame, cities: DataFrame, capit
     keys = ["region", "exposition_category", "apartment_category"]
     agg = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_ads"),
                                F.avg("price_per_sqm").alias("pps"), F.avg("total_area").alias("ta"))
-    med = column_quantiles(x, ["rooms", "balcony"], {"median": .5}, keys, kind="disc")
+    # rooms / balcony are small integer counts: exact medians over their
+    # value domain, no bucketing pass needed.
+    med = column_quantiles(x, ["rooms", "balcony"], {"median": .5}, keys, kind="disc", method="domain")
     j = _null_safe_join(agg, med, keys, "left")
     return j.select(*keys, "total_ads",
                     round_half_up("pps", 0).alias("avg_price_per_sqm"),

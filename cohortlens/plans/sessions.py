@@ -47,7 +47,8 @@ def page_counter_dist(sessions: DataFrame) -> DataFrame:
 
 def page_counter_stats(sessions: DataFrame, dp: int = 4) -> DataFrame:
     """Median (interpolated), mean and max pages per session."""
-    med = quantiles(sessions, "page_counter", {"median_pages": .5}, kind="cont")
+    # pages per session is a small integer: exact median over its domain.
+    med = quantiles(sessions, "page_counter", {"median_pages": .5}, kind="cont", method="domain")
     agg = sessions.agg(round_half_up(F.avg("page_counter"), dp).alias("mean_pages"),
                        F.max("page_counter").alias("max_pages"))
     return agg.crossJoin(F.broadcast(med)).select(

@@ -236,7 +236,8 @@ def rounds_by_status(final: DataFrame, dp: int = 4) -> DataFrame:
     x = final.where(F.col("status").isNotNull())
     agg = x.groupBy("status").agg(F.avg("funding_rounds").alias("mean"),
                                   F.count("funding_rounds").alias("count"))
-    q = quantiles(x, "funding_rounds", {"median": .5}, ["status"], kind="cont")
+    # funding_rounds is a small integer count: exact median over its domain.
+    q = quantiles(x, "funding_rounds", {"median": .5}, ["status"], kind="cont", method="domain")
     j = agg.join(q, "status", "left")
     return j.select("status", round_half_up("median", dp).alias("median"),
                     round_half_up("mean", dp).alias("mean"), "count")

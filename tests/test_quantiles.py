@@ -59,3 +59,15 @@ def test_partition_count_invariance(data):
     a = quantiles(df.repartition(1), "v", [0.1, 0.9], ["g"]).orderBy("g").toPandas()
     b = quantiles(df.repartition(7), "v", [0.1, 0.9], ["g"]).orderBy("g").toPandas()
     pd.testing.assert_frame_equal(a, b)
+
+
+@pytest.mark.parametrize("kind", ["cont", "disc"])
+def test_domain_method_matches_builtin(spark, kind):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = [(str(g), int(v)) for g, v in zip(rng.choice(list("xyz"), 3000, p=[.7, .2, .1]),
+                                              rng.integers(0, 12, 3000))]
+    df = spark.createDataFrame(rows, "g string, v int")
+    a = quantiles(df, "v", [0.1, 0.5, 0.9], ["g"], kind=kind, method="domain").orderBy("g").toPandas()
+    b = quantiles(df, "v", [0.1, 0.5, 0.9], ["g"], kind=kind, method="builtin").orderBy("g").toPandas()
+    pd.testing.assert_frame_equal(a, b)
