@@ -24,6 +24,25 @@ _DEFAULT_CONF = {
 }
 
 
+# Recommended settings for a large cluster (~1000 executors, ~100 TB input).
+# Shuffle partitions start high and AQE coalesces them to ~256 MB each;
+# skewed partitions are split; scans read 512 MB splits.  Broadcasts stay
+# limited to the sides the operators mark as bounded plus AQE's runtime
+# conversion of genuinely small join sides.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "cohortlens", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the library's defaults."""

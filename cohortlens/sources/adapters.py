@@ -167,21 +167,22 @@ def r_city(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- sessions
 def a_sessions(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
+    """One row per session.  ``install_date`` (first active day of the user)
+    is a per-user aggregate joined back - map-side combined, and AQE splits a
+    hot user on the join - rather than a window that would put all sessions
+    of one user in one task."""
     nat = t.nation.select("n_nationkey", "n_regionkey")
     reg = t.region.select("r_regionkey", "r_name")
     geo = (t.customer.select("c_custkey", "c_nationkey")
            .join(F.broadcast(nat), F.col("c_nationkey") == F.col("n_nationkey"))
            .join(F.broadcast(reg), F.col("n_regionkey") == F.col("r_regionkey")))
     e = t.events.select("user_id", "event_id", "ts", "event_type", "props")
-    by_user = Window.partitionBy("user_id")
+    install = e.groupBy("user_id").agg(F.min(F.to_date("ts")).alias("install_date"))
     u = F.col("user_id")
-    return (e.join(geo, e.user_id == geo.c_custkey)
+    return (e.join(geo, e.user_id == geo.c_custkey).join(install, "user_id")
             .select(u, F.col("event_id").alias("session_id"),
                     F.to_date("ts").alias("session_date"),
-                    F.col("ts").alias("session_start_ts"),
-                    F.min(F.to_date("ts")).over(by_user).alias("install_date"),
-                    _int(F.row_number().over(by_user.orderBy("ts", "event_id"))).alias("session_number"),
+                    F.col("ts").alias("session_start_ts"), "install_date",
                     F.when(F.col("event_type") == "signup", 1).otherwise(0).alias("registration_flag"),
                     (1 + _first_number("props") % 7).alias("page_counter"),
                     F.col("r_name").alias("region"),
@@ -193,19 +194,22 @@ def a_sessions(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- abtest
 def t_participants(t: Tables) -> DataFrame:
     """Participants of two tests.  The registry is the set of customers seen
-    in ``events`` (semi join), so it grows with the event stream."""
+    in ``events`` (semi join), so it grows with the event stream.  One pass:
+    each customer emits up to three enrolment rows (main test, competing
+    test, and a duplicated main-test row), exploded from an array."""
     seen = t.events.select(F.col("user_id").alias("c_custkey")).distinct()
     c = t.customer.select("c_custkey").join(seen, "c_custkey", "left_semi")
     k = F.col("c_custkey")
     ab = F.when(k % 2 == 0, "A").otherwise("B")
-    main = c.where(k % 3 != 0).select(k.alias("user_id"), ab.alias("grp"),
-                                      F.lit("interface_eu_test").alias("ab_test"))
-    other = c.where(k % 7 == 0).select(k.alias("user_id"),
-                                       F.when(k % 4 == 0, "A").otherwise("B").alias("grp"),
-                                       F.lit("recommender_system_test").alias("ab_test"))
-    dup = c.where((k % 3 != 0) & (k % 10 == 1)).select(
-        k.alias("user_id"), ab.alias("grp"), F.lit("interface_eu_test").alias("ab_test"))
-    return main.unionByName(other).unionByName(dup)
+
+    def row(cond, grp, test):
+        return F.when(cond, F.struct(k.alias("user_id"), grp.alias("grp"), F.lit(test).alias("ab_test")))
+
+    rows = F.array(row(k % 3 != 0, ab, "interface_eu_test"),
+                   row(k % 7 == 0, F.when(k % 4 == 0, "A").otherwise("B"), "recommender_system_test"),
+                   row((k % 3 != 0) & (k % 10 == 1), ab, "interface_eu_test"))
+    return (c.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r"))
+            .select("r.user_id", "r.grp", "r.ab_test"))
 
 
 def t_events(t: Tables) -> DataFrame:

@@ -79,7 +79,6 @@ FROM orders""",
 SELECT e.user_id AS user_id, e.event_id AS session_id, CAST(e.ts AS DATE) AS session_date,
        e.ts AS session_start_ts,
        MIN(CAST(e.ts AS DATE)) OVER (PARTITION BY e.user_id) AS install_date,
-       CAST(ROW_NUMBER() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS INT) AS session_number,
        CASE WHEN e.event_type = 'signup' THEN 1 ELSE 0 END AS registration_flag,
        1 + CAST(regexp_extract(e.props, '([0-9]+)', 1) AS INT) % 7 AS page_counter,
        r.r_name AS region,
