@@ -31,11 +31,12 @@ def floor_days(later, earlier) -> Column:
 
 
 def _snap(x) -> Column:
-    # Snap to 10 decimals first: sums/averages of decimal data that should
-    # sit exactly on a half (e.g. 0.05875) often land a few ulps below it;
-    # snapping restores the decimal value so the half rounds as in SQL
-    # NUMERIC, independent of summation order.
-    return F.round(_c(x).cast("double"), 10)
+    # Snap to 12 significant digits (as an exact decimal) before rounding.
+    # Sums and means of decimal data that should sit exactly on a half
+    # (e.g. 277502.40875) land a few ulps either side of it depending on the
+    # summation order; snapping restores the decimal value, so the half
+    # rounds as SQL NUMERIC does whatever the order of the partial sums.
+    return F.format_string("%.11e", _c(x).cast("double")).try_cast("decimal(38,12)")
 
 
 def round_half_up(x, dp: int) -> Column:

@@ -12,14 +12,21 @@ _DEN = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461,
         296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 
 
+def _snap(expr: str) -> str:
+    # 12 significant digits as an exact decimal (the library does the same);
+    # the 2-ulp factor breaks exact binary ties away from zero like Java's
+    # half-up formatting does.
+    return f"TRY_CAST(printf('%.11e', CAST(({expr}) AS DOUBLE) * 1.0000000000000004) AS DECIMAL(38,12))"
+
+
 def R(expr: str, dp: int) -> str:
     """Half-up rounding on the decimal value (as Postgres ``ROUND(numeric)``)."""
-    return f"CAST(ROUND(CAST(({expr}) AS DECIMAL(38,10)), {dp}) AS DOUBLE)"
+    return f"CAST(ROUND({_snap(expr)}, {dp}) AS DOUBLE)"
 
 
 def RE(expr: str, dp: int) -> str:
     """Banker's rounding (pandas ``round``)."""
-    return f"CAST(round_even(CAST(({expr}) AS DECIMAL(38,10)), {dp}) AS DOUBLE)"
+    return f"CAST(round_even({_snap(expr)}, {dp}) AS DOUBLE)"
 
 
 def DIV(a: str, b: str) -> str:
