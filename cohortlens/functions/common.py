@@ -26,7 +26,9 @@ def floor_days(later, earlier) -> Column:
     Negative when ``later`` precedes ``earlier``; unlike ``datediff`` it does
     not count calendar-day boundaries.
     """
-    micros = F.unix_micros(_c(later).cast("timestamp")) - F.unix_micros(_c(earlier).cast("timestamp"))
+    # timestamp_diff on wall-clock (timestamp_ntz) values: independent of the
+    # session time zone and of DST changes, like naive pandas timestamps.
+    micros = F.timestamp_diff("MICROSECOND", _c(earlier).cast("timestamp_ntz"), _c(later).cast("timestamp_ntz"))
     return F.floor(micros / F.lit(86_400_000_000)).cast("long")
 
 
