@@ -70,7 +70,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.5,
 
 
 def density_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 30,
-                      dp: int = 6) -> DataFrame:
+                      dp: int = 6, density_dp: int = 10) -> DataFrame:
     """Equal-width histogram over each group's [min, max], as a density.
 
     The last bin is closed on the right (numpy).  Empty bins are emitted with
@@ -93,5 +93,5 @@ def density_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: i
     return g.select(*by, "bin", round_half_up(low, dp).alias("low"),
                     round_half_up(low + w, dp).alias("high"),
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
-                    round_half_up(safe_div(F.coalesce(F.col("count"), F.lit(0)), F.col("n") * w), dp)
+                    round_half_up(safe_div(F.coalesce(F.col("count"), F.lit(0)), F.col("n") * w), density_dp)
                     .alias("density"))

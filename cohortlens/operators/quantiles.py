@@ -42,7 +42,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.session import ensure_checkpoint_dir
+from cohortlens.session import try_checkpoint
 
 
 def _probs(probs) -> dict[str, float]:
@@ -95,16 +95,16 @@ def quantiles(df: DataFrame, value: str | Column, probs, by: Sequence[str] = (),
         raise ValueError(f"unknown method {method}")
 
     vc = base.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    if method == "domain":
-        # Small value domain (counts, ratings, flags): one bucket per group;
-        # the running window sees one row per distinct value of the group.
+    bounds = None
+    if method == "exact":
+        fr = [i / buckets for i in range(1, buckets)]
+        bounds = try_checkpoint(
+            vc.groupBy(*by).agg(F.percentile_approx(F.col("__v").cast("double"), fr, accuracy).alias("__bnd")))
+    if bounds is None:
+        # ``domain`` (or no checkpoint available): one bucket per group; the
+        # running window sees one row per distinct value of the group.
         bk = vc.withColumn("__b", F.lit(0))
     else:
-        ensure_checkpoint_dir(df.sparkSession)
-        fr = [i / buckets for i in range(1, buckets)]
-        bounds = (vc.groupBy(*by)
-                  .agg(F.percentile_approx(F.col("__v").cast("double"), fr, accuracy).alias("__bnd"))
-                  .checkpoint(eager=True))
         bk = _null_safe_join(vc, bounds, by).select(
             *by, "__v", "__c",
             F.size(F.filter("__bnd", lambda x: x < F.col("__v").cast("double"))).alias("__b"))

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.operators.quantiles import column_quantiles
-from cohortlens.session import ensure_checkpoint_dir
+from cohortlens.session import try_checkpoint
 
 
 def trim_outliers(df: DataFrame, upper: Mapping[str, float], lower: Mapping[str, float] | None = None,
@@ -38,8 +38,8 @@ def trim_outliers(df: DataFrame, upper: Mapping[str, float], lower: Mapping[str,
     # The limits are exactly one row: materialise them once (reliable
     # checkpoint) so every downstream branch filters against the same
     # values without re-running the percentile passes.
-    ensure_checkpoint_dir(df.sparkSession)
-    lim = lim.checkpoint(eager=True)
+    ck = try_checkpoint(lim)
+    lim = ck if ck is not None else lim
     j = df.crossJoin(F.broadcast(lim))
     cond = F.lit(True)
     for c in cols:

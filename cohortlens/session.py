@@ -81,3 +81,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def try_checkpoint(df):
+    """Reliable, eager checkpoint of ``df`` in the session's checkpoint folder.
+
+    Returns None when the session cannot checkpoint (no checkpoint folder on
+    a cluster, or a client session without a SparkContext); callers then use
+    a path that does not need one.
+    """
+    try:
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    except Exception as e:  # noqa: BLE001
+        import warnings
+        warnings.warn(f"checkpoint unavailable ({type(e).__name__}: {e}); using the no-checkpoint path")
+        return None
