@@ -5,11 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortlens.operators.assoc import strongest_correlate
+from cohortlens.operators.describe import density_histogram, describe as _describe, iqr_bounds as _iqr
+from cohortlens.operators.profile import profile
+from cohortlens.plans import books, cohort as C, delivery, game as G, places as P, realty
+from cohortlens.plans import sessions as S, startups as SU, talks as K
 from cohortlens.sources import adapters as A
 from cohortlens.sources.tables import Tables
-from cohortlens.plans import delivery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -73,7 +77,6 @@ def _ret_month(spark, d):
 
 
 # ------------------------------------------------------------- books
-from cohortlens.plans import books  # noqa: E402
 
 BOOK_MONTH = 1
 BOOK_COHORT_DAY = "2024-01-02"
@@ -119,8 +122,6 @@ def _user_hours(spark, d):
 
 
 # ------------------------------------------------------------- realty
-from cohortlens.plans import realty  # noqa: E402
-from cohortlens.operators.trim import trim_outliers  # noqa: E402
 
 CAPITAL = "NATION_0"
 PARTIAL_YEARS = (1995, 2001)
@@ -165,9 +166,7 @@ def _ratio(spark, d):
 
 
 # ------------------------------------------------------------- sessions (A/B)
-from pyspark.sql import functions as F  # noqa: E402
 
-from cohortlens.plans import sessions as S  # noqa: E402
 
 MONITOR_DAY = "2024-01-01"
 
@@ -206,7 +205,6 @@ query("lift_confint")(lambda spark, d: S.lift_confint(_sess(spark, d)))
 
 
 # ------------------------------------------------------------- cohort hygiene / hours study
-from cohortlens.plans import cohort as C  # noqa: E402
 
 TEST = "interface_eu_test"
 
@@ -236,9 +234,6 @@ query("proportions_ztest__abtest")(lambda spark, d: C.conversion_ztest(*_tp(spar
 
 
 # ------------------------------------------------------------- places
-from cohortlens.plans import places as P  # noqa: E402
-from cohortlens.operators.profile import profile  # noqa: E402
-from cohortlens.operators.describe import density_histogram  # noqa: E402
 
 CENTER = "brand#4"
 
@@ -275,8 +270,6 @@ query("density_histogram__rating")(lambda spark, d: density_histogram(_places(sp
 
 
 # ------------------------------------------------------------- startups
-from cohortlens.plans import startups as SU  # noqa: E402
-from cohortlens.operators.describe import describe as _describe, iqr_bounds as _iqr  # noqa: E402
 
 
 def _cr(spark, d):
@@ -332,7 +325,6 @@ query("rounds_by_status__values")(lambda spark, d: SU.distinct_values(_final(spa
 
 
 # ------------------------------------------------------------- game
-from cohortlens.plans import game as G  # noqa: E402
 
 
 def _g(spark, d):
@@ -352,7 +344,6 @@ query("activity_tiers")(lambda spark, d: G.activity_tiers(G.race_activity(*_g(sp
 
 
 # ------------------------------------------------------------- talks
-from cohortlens.plans import talks as K  # noqa: E402
 
 
 def _k(spark, d):
@@ -370,7 +361,6 @@ query("talk_detail")(lambda spark, d: K.talk_detail(*_k(spark, d)))
 
 
 # ------------------------------------------------------------- places: association (phi_K)
-from cohortlens.operators.assoc import strongest_correlate  # noqa: E402
 
 query("phik_matrix")(lambda spark, d: P.rating_association(_places(spark, d)))
 query("phik_matrix__chi2")(lambda spark, d: P.rating_association(_places(spark, d), with_phik=False))
