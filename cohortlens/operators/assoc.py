@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions.common import round_half_up
+from cohortlens.operators.scalar import with_scalars
 
 
 def _binned(df: DataFrame, cols: Sequence[str], interval_cols: Sequence[str], bins: int) -> DataFrame:
@@ -29,7 +30,7 @@ def _binned(df: DataFrame, cols: Sequence[str], interval_cols: Sequence[str], bi
     if iv:
         rng = df.agg(*[F.min(F.col(c).cast("double")).alias(f"__lo_{c}") for c in iv],
                      *[F.max(F.col(c).cast("double")).alias(f"__hi_{c}") for c in iv])
-        df = df.crossJoin(F.broadcast(rng))
+        df = with_scalars(df, rng)
     out = []
     for c in cols:
         if c in iv:

@@ -43,6 +43,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.session import try_checkpoint
+from cohortlens.operators.scalar import with_scalars
 
 
 def _probs(probs) -> dict[str, float]:
@@ -55,7 +56,8 @@ def _probs(probs) -> dict[str, float]:
 def _null_safe_join(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on ``by`` treating null keys as equal (SQL groups keep a null key)."""
     if not by:
-        return a.crossJoin(F.broadcast(b)) if how == "inner" else a.join(b, how=how)
+        # Global case: ``b`` is a one-row aggregate - attach it as scalars.
+        return with_scalars(a, b)
     rb = b.select(*[F.col(k).alias(f"__r_{k}") for k in by], *[c for c in b.columns if c not in by])
     cond = None
     for k in by:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.common import round_half_up, safe_div
+from cohortlens.operators.scalar import with_scalars
 
 
 def value_share(df: DataFrame, col: str, where: Column | None = None, dp: int = 2,
@@ -15,10 +16,9 @@ def value_share(df: DataFrame, col: str, where: Column | None = None, dp: int =
     x = df if where is None else df.where(where)
     g = x.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(
         F.count(F.lit(1)).alias(count_col))
-    # The grouped frame holds one row per distinct value; the total is a
-    # one-row aggregate cross-joined as a broadcast.
+    # The total is a one-row aggregate attached as a scalar subquery.
     tot = g.agg(F.sum(count_col).alias("__t"))
-    return (g.crossJoin(F.broadcast(tot))
+    return (with_scalars(g, tot)
             .select("value", count_col, round_half_up(safe_div(F.col(count_col) * 100.0, "__t"), dp)
                     .alias(pct_col)))
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.operators.quantiles import column_quantiles
+from cohortlens.operators.scalar import with_scalars
 from cohortlens.session import try_checkpoint
 
 
@@ -19,7 +20,7 @@ def trim_outliers(df: DataFrame, upper: Mapping[str, float], lower: Mapping[str,
     ``null_ok`` (otherwise SQL's null comparison drops the row).
 
     All limits are computed in one pass (columns unpivoted); the result is a
-    single row, cross-joined as a broadcast, so the filter is a narrow
+    single row attached as scalar subqueries, so the filter is a narrow
     projection over the input with no shuffle of the input rows.
     """
     lower = dict(lower or {})
@@ -40,7 +41,7 @@ def trim_outliers(df: DataFrame, upper: Mapping[str, float], lower: Mapping[str,
     # values without re-running the percentile passes.
     ck = try_checkpoint(lim)
     lim = ck if ck is not None else lim
-    j = df.crossJoin(F.broadcast(lim))
+    j = with_scalars(df, lim)
     cond = F.lit(True)
     for c in cols:
         inside = F.lit(True)

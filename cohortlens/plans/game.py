@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions.common import round_half_up, safe_div
 from cohortlens.operators.quantiles import quantiles
+from cohortlens.operators.scalar import scalar_frame, with_scalars
 
 
 def payer_share(users: DataFrame, dp: int = 4) -> DataFrame:
@@ -44,7 +45,7 @@ def purchase_stats(purchases: DataFrame, dp: int = 4) -> DataFrame:
                       F.max("amount").alias("max"), F.avg("amount").alias("mean"),
                       F.stddev_samp("amount").alias("std"))
     m = quantiles(purchases, "amount", {"median": .5}, kind="cont")
-    return a.crossJoin(F.broadcast(m)).select(
+    return with_scalars(a, m).select(
         "count", F.col("min").cast("double").alias("min"), F.col("max").cast("double").alias("max"),
         round_half_up("mean", dp).alias("mean"), round_half_up("median", dp).alias("median"),
         round_half_up("std", dp).alias("std"))
@@ -80,9 +81,9 @@ def item_popularity(users: DataFrame, purchases: DataFrame, items: DataFrame, k:
     p = _paid(purchases)
     per_item = p.groupBy("item_code").agg(F.count(F.lit(1)).alias("sales"),
                                           F.countDistinct("id").alias("buyers"))
-    totals = p.agg(F.count(F.lit(1)).alias("__sales")).crossJoin(
-        users.agg(F.count(F.lit(1)).alias("__players")))
-    j = (per_item.join(items, "item_code", "left").crossJoin(F.broadcast(totals))
+    totals = scalar_frame(p.agg(F.count(F.lit(1)).alias("__sales")),
+                          users.agg(F.count(F.lit(1)).alias("__players")))
+    j = (with_scalars(per_item.join(items, "item_code", "left"), totals)
          .select(F.col("game_items").alias("item"), "item_code", "sales",
                  round_half_up(safe_div(F.col("sales") * 100.0, "__sales"), dp).alias("sales_share"),
                  round_half_up(safe_div(F.col("buyers") * 100.0, "__players"), dp).alias("player_share")))

@@ -19,6 +19,7 @@ from cohortlens.functions.common import round_half_even, round_half_up, safe_div
 from cohortlens.operators.dedup import all_duplicates, keep_one
 from cohortlens.operators.describe import describe
 from cohortlens.operators.quantiles import quantiles
+from cohortlens.operators.scalar import with_scalars
 from cohortlens.operators.shares import value_share
 
 NORMALISED = ("name", "address", "district")
@@ -60,7 +61,7 @@ def share_of_rows(places: DataFrame, col: str, where: Column | None = None, dp:
     g = x.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(
         F.count(F.lit(1)).alias("count"))
     tot = x.agg(F.count(F.lit(1)).alias("__t"))
-    return g.crossJoin(F.broadcast(tot)).select(
+    return with_scalars(g, tot).select(
         "value", "count", round_half_even(safe_div(F.col("count") * 100.0, "__t"), dp).alias("pct"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions.common import round_half_up, safe_div
 from cohortlens.operators.quantiles import _null_safe_join, column_quantiles
+from cohortlens.operators.scalar import with_scalars
 from cohortlens.operators.trim import trim_outliers
 
 # Exposure buckets: inclusive day ranges; anything else (including still
@@ -95,9 +96,9 @@ def listing_seasonality(flats: DataFrame, ads: DataFrame,
 
     pub = by_month("first_day_exposition", "published", "total_published")
     wd = by_month("last_day_exposition", "withdrawn", "total_withdrawn")
-    # One-row global total: broadcast cross join is size-safe.
+    # One-row global total, attached as a scalar subquery.
     tot = x.agg(F.count(F.lit(1)).alias("total_ads"))
-    j = pub.join(wd, "month_num", "left").crossJoin(F.broadcast(tot))
+    j = with_scalars(pub.join(wd, "month_num", "left"), tot)
     return j.select("month_num", F.col("published_name").alias("month_name"), "total_published",
                     "total_withdrawn", "avg_area_published", "price_per_sqm_published",
                     "avg_area_withdrawn", "price_per_sqm_withdrawn",

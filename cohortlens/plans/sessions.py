@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cohortlens.functions.common import round_half_up, round_half_even, safe_div
 from cohortlens.operators import hypothesis as H
 from cohortlens.operators.quantiles import quantiles
+from cohortlens.operators.scalar import with_scalars
 
 
 def top_user_sessions(sessions: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def page_counter_stats(sessions: DataFrame, dp: int = 4) -> DataFrame:
     med = quantiles(sessions, "page_counter", {"median_pages": .5}, kind="cont", method="domain")
     agg = sessions.agg(round_half_up(F.avg("page_counter"), dp).alias("mean_pages"),
                        F.max("page_counter").alias("max_pages"))
-    return agg.crossJoin(F.broadcast(med)).select(
+    return with_scalars(agg, med).select(
         round_half_up("median_pages", dp).alias("median_pages"), "mean_pages", "max_pages")
 
 
@@ -99,7 +100,7 @@ def test_duration(sessions: DataFrame, n_per_group: DataFrame, groups: int = 2)
     daily = sessions.groupBy("session_date").agg(F.countDistinct("user_id").alias("u"))
     avg = daily.agg(round_half_even(F.avg("u"), 0).alias("avg_daily_users"))
     n = n_per_group.select("n_per_group")
-    return (avg.crossJoin(F.broadcast(n))
+    return (with_scalars(avg, n)
             .select(F.col("avg_daily_users").cast("long").alias("avg_daily_users"), "n_per_group",
                     F.ceil(safe_div(F.col("n_per_group") * float(groups), "avg_daily_users"))
                     .cast("long").alias("days")))

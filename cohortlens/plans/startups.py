@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cohortlens.functions.common import round_half_even, round_half_up, safe_div
 from cohortlens.operators.describe import box_stats, describe, iqr_bounds
 from cohortlens.operators.quantiles import quantiles
+from cohortlens.operators.scalar import with_scalars
 from cohortlens.sources.tables import normalize_headers
 
 COMPANY_COLS = ("company_ID", "name", "category_code", "status", "founded_at", "network_username",
@@ -196,7 +197,7 @@ def funding_summary(final: DataFrame) -> DataFrame:
     b = box_stats(final.where(F.col("funding_total") > 0), "funding_total")
     b = b.select(*[F.col(c).alias(f"box_{c}") for c in ("q1", "median", "q3")], "whisker_low",
                  "whisker_high", "fliers")
-    return d.crossJoin(F.broadcast(b))
+    return with_scalars(d, b)
 
 
 def _deals(final: DataFrame, acquisition: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions.common import round_half_up
+from cohortlens.operators.scalar import with_scalars
 
 
 def _conf_talks(conferences: DataFrame, talks: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def conference_totals(conferences: DataFrame, talks: DataFrame) -> DataFrame:
     totals = j.agg(F.countDistinct("conference_id").alias("conferences"),
                    F.countDistinct("talk_id").alias("talks"), F.countDistinct("speaker").alias("speakers"))
     tags = _tags(talks).agg(F.countDistinct("tag").alias("tags"))
-    return totals.crossJoin(tags)
+    return with_scalars(totals, tags)
 
 
 def conference_drilldown(conferences: DataFrame, talks: DataFrame, dp: int = 2) -> DataFrame:
@@ -68,7 +69,7 @@ def speakers_and_length(conferences: DataFrame, talks: DataFrame, dp: int = 4) -
                 .agg(F.countDistinct("speaker").alias("s")))
     a = per_conf.agg(round_half_up(F.avg("s"), dp).alias("avg_speakers_per_conference"))
     b = talks.agg(round_half_up(F.avg("duration_min"), dp).alias("avg_duration"))
-    return a.crossJoin(b)
+    return with_scalars(a, b)
 
 
 def talk_detail(conferences: DataFrame, talks: DataFrame) -> DataFrame:
