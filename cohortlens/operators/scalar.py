@@ -11,12 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols or one_row.columns)
-    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in cols])
+    if len(cols) == 1:
+        return df.select("*", one_row.select(cols[0]).scalar().alias(cols[0]))
+    # One subquery for all values: pack them into a struct bound to one
+    # column, then unpack the fields from that column.
+    packed = one_row.select(F.struct(*[F.col(c) for c in cols]).alias("__s")).scalar()
+    tmp = df.select("*", packed.alias("__scalars"))
+    return tmp.select(*[tmp[c] for c in df.columns], *[F.col("__scalars").getField(c).alias(c) for c in cols])
 
 
 def scalar_frame(one_row: DataFrame, *others: DataFrame) -> DataFrame:

@@ -120,11 +120,16 @@ def group_size_balance(sessions: DataFrame, group: str = "test_group", a: str =
 
 def group_size_by_day(sessions: DataFrame, group: str = "test_group", a: str = "A",
                       b: str = "B") -> DataFrame:
-    """Distinct users per day and arm, one column per arm (0 when absent)."""
-    u = F.col("user_id")
-    return sessions.groupBy("session_date").agg(
-        F.countDistinct(F.when(F.col(group) == a, u)).alias("users_a"),
-        F.countDistinct(F.when(F.col(group) == b, u)).alias("users_b"))
+    """Distinct users per day and arm, one column per arm (``unstack``).
+
+    The pivot lists its values explicitly, so the output schema is static and
+    Spark does not run an extra job to discover them; absent cells become 0.
+    """
+    p = (sessions.where(F.col(group).isin(a, b)).groupBy("session_date")
+         .pivot(group, [a, b]).agg(F.countDistinct("user_id")))
+    return (p.na.fill(0, [a, b])
+            .select("session_date", F.col(a).cast("long").alias("users_a"),
+                    F.col(b).cast("long").alias("users_b")))
 
 
 def group_overlap(sessions: DataFrame, group: str = "test_group", a: str = "A",

@@ -245,5 +245,6 @@ def rounds_by_status(final: DataFrame, dp: int = 4) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
-    return df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
+    """Sorted distinct non-null values (a small set by construction)."""
+    return df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct().orderBy("value")
 
