@@ -13,7 +13,10 @@ state of an open day must be bounded by a watermark:
   error is set by ``rsd``.
 
 Both read any streaming DataFrame with an event-time column, e.g.
-``spark.readStream.schema(s).parquet(dir)`` or a Kafka source.
+``spark.readStream.schema(s).parquet(dir)`` or a Kafka source.  On a cluster,
+start the query with ``checkpointLocation`` in the shared folder named by
+``spark.checkpoint.dir`` so the deduplication and window state survive
+executor and driver restarts.
 """
 
 from __future__ import annotations

@@ -119,3 +119,12 @@ def test_results_invariant_to_partitioning(spark):
         b = sorted(map(tuple, q[name](spark, "/root/testdata/sf0.001").collect()), key=repr)
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         assert a == b, name
+
+
+def test_scalar_attachment_keeps_rows_on_empty_aggregate(spark):
+    from cohortlens.operators.scalar import with_scalars
+    df = spark.createDataFrame([(1,), (2,)], "x int")
+    empty = spark.createDataFrame([], "v double")
+    one = empty.agg(F.max("v").alias("m"), F.count("v").alias("n"))
+    rows = with_scalars(df, one).collect()
+    assert [(r["x"], r["m"], r["n"]) for r in rows] == [(1, None, 0), (2, None, 0)]
