@@ -103,13 +103,12 @@ def quantiles(df: DataFrame, value: str | Column, probs, by: Sequence[str] = (),
         bounds = try_checkpoint(
             vc.groupBy(*by).agg(F.percentile_approx(F.col("__v").cast("double"), fr, accuracy).alias("__bnd")))
     if bounds is None:
-        # ``domain`` (or no checkpoint available): one bucket per group; the
-        # running window sees one row per distinct value of the group.
-        bk = vc.withColumn("__b", F.lit(0))
-    else:
-        bk = _null_safe_join(vc, bounds, by).select(
-            *by, "__v", "__c",
-            F.size(F.filter("__bnd", lambda x: x < F.col("__v").cast("double"))).alias("__b"))
+        # ``domain`` (or no checkpoint available): the running window sees
+        # one row per distinct value of the group.
+        return _from_value_counts(vc, pm, by, kind, out_type)
+    bk = _null_safe_join(vc, bounds, by).select(
+        *by, "__v", "__c",
+        F.size(F.filter("__bnd", lambda x: x < F.col("__v").cast("double"))).alias("__b"))
     tot = bk.groupBy(*by, "__b").agg(F.sum("__c").alias("__nb"))
     gw = Window.partitionBy(*by)
     tot = (tot.withColumn("__off", F.sum("__nb").over(gw.orderBy("__b")) - F.col("__nb"))
@@ -148,6 +147,38 @@ def quantiles(df: DataFrame, value: str | Column, probs, by: Sequence[str] = (),
     return out.select(*by, *[F.col(n).cast(out_type).alias(n) for n in pm])
 
 
+def _rank_targets(kind: str, p: float, n):
+    """1-based ranks to read for probability p: [(tag, rank)]."""
+    if kind == "disc":
+        return [("lo", F.greatest(F.lit(1), F.ceil(F.lit(p) * n).cast("long")))]
+    h = F.lit(p) * (n - 1)
+    return [("lo", (F.floor(h) + 1).cast("long")), ("hi", (F.ceil(h) + 1).cast("long"))]
+
+
+def _from_value_counts(vc: DataFrame, pm: dict[str, float], by: list[str], kind: str,
+                       out_type: str) -> DataFrame:
+    """Quantiles straight from (group, value, count) rows with a running
+    count per group; every target rank is picked by a conditional aggregate
+    (no join).  Work per group is proportional to its distinct values."""
+    gw = Window.partitionBy(*by)
+    x = (vc.withColumn("__cum", F.sum("__c").over(gw.orderBy("__v")))
+           .withColumn("__n", F.sum("__c").over(gw)))
+    v = F.col("__v").cast("double")
+    aggs = []
+    for name, p in pm.items():
+        got = {}
+        for tag, k in _rank_targets(kind, p, F.col("__n")):
+            hit = (F.col("__cum") >= k) & (F.col("__cum") - F.col("__c") < k)
+            got[tag] = F.max(F.when(hit, v))
+        if kind == "disc":
+            aggs.append(got["lo"].alias(name))
+        else:
+            h = F.lit(p) * (F.max("__n") - 1)
+            aggs.append((got["lo"] + (got["hi"] - got["lo"]) * (h - F.floor(h))).alias(name))
+    out = x.groupBy(*by).agg(*aggs)
+    return out.select(*by, *[F.col(n).cast(out_type).alias(n) for n in pm])
+
+
 def median(df: DataFrame, value: str, by: Sequence[str] = (), kind: str = "cont",
            method: str = "exact") -> DataFrame:
     return quantiles(df, value, {"median": 0.5}, by, kind=kind, method=method)

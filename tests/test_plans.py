@@ -38,3 +38,11 @@ def test_no_python_in_builtin_metrics(spark, name):
 @pytest.mark.parametrize("name", ["dau", "ltv_top_dishes", "retention_daily", "top_chains", "exposure_segments"])
 def test_no_cartesian_product(spark, name):
     assert "CartesianProduct" not in _plan(spark, name)
+
+
+def test_no_cross_or_row_udf_in_any_query(spark):
+    bad = []
+    for name, fn in queries().items():
+        p = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        bad += [(name, k) for k in ("CartesianProduct", "NestedLoopJoin", "BatchEvalPython") if k in p]
+    assert bad == []
