@@ -22,6 +22,7 @@ from cohortlens.operators.quantiles import quantiles
 from cohortlens.operators.scalar import with_scalars
 from cohortlens.operators.shares import value_share
 
+# --- fixed values: the study's normalised key columns and its 24/7 phrase
 NORMALISED = ("name", "address", "district")
 ROUND_THE_CLOCK = "ежедневно, круглосуточно"
 

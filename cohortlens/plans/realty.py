@@ -18,8 +18,9 @@ from cohortlens.operators.quantiles import _null_safe_join, column_quantiles
 from cohortlens.operators.scalar import with_scalars
 from cohortlens.operators.trim import trim_outliers
 
-# Exposure buckets: inclusive day ranges; anything else (including still
-# active listings with a null duration) falls in the last label.
+# --- fixed values: the study's exposure buckets (inclusive day ranges);
+# anything else, including still-active listings with a null duration,
+# falls in the last label.
 EXPOSURE_BUCKETS = ((1, 30, "month"), (31, 90, "quarter"), (91, 180, "half_year"))
 EXPOSURE_OTHER = "over_half_year"
 

@@ -51,6 +51,7 @@ def funding_by_year(cr: DataFrame, min_rounds: int = 50, dp: int = 4) -> DataFra
     return j.select("funded_year", round_half_up("typical_round", dp).alias("typical_round"), "rounds_count")
 
 
+# --- fixed values: the study's company-size bins [lo, hi) and their labels
 SIZE_BINS = ((0, 10, "1-10"), (10, 50, "11-50"), (50, 200, "51-200"), (200, None, "200+"))
 
 
