@@ -179,7 +179,9 @@ def a_sessions(t: Tables) -> DataFrame:
     e = t.events.select("user_id", "event_id", "ts", "event_type", "props")
     install = e.groupBy("user_id").agg(F.min(F.to_date("ts")).alias("install_date"))
     u = F.col("user_id")
-    return (e.join(geo, e.user_id == geo.c_custkey).join(install, "user_id")
+    # Left join: no row is lost (every user has a first day) and Catalyst
+    # drops the aggregate entirely for queries that do not read install_date.
+    return (e.join(geo, e.user_id == geo.c_custkey).join(install, "user_id", "left")
             .select(u, F.col("event_id").alias("session_id"),
                     F.to_date("ts").alias("session_date"),
                     F.col("ts").alias("session_start_ts"), "install_date",
