@@ -97,18 +97,27 @@ def quantiles(df: DataFrame, value: str | Column, probs, by: Sequence[str] = (),
         raise ValueError(f"unknown method {method}")
 
     vc = base.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    bounds = None
-    if method == "exact":
-        fr = [i / buckets for i in range(1, buckets)]
-        bounds = try_checkpoint(
-            vc.groupBy(*by).agg(F.percentile_approx(F.col("__v").cast("double"), fr, accuracy).alias("__bnd")))
-    if bounds is None:
-        # ``domain`` (or no checkpoint available): the running window sees
-        # one row per distinct value of the group.
+    if method == "domain":
+        # The running window sees one row per distinct value of the group.
         return _from_value_counts(vc, pm, by, kind, out_type)
-    bk = _null_safe_join(vc, bounds, by).select(
-        *by, "__v", "__c",
-        F.size(F.filter("__bnd", lambda x: x < F.col("__v").cast("double"))).alias("__b"))
+    fr = [i / buckets for i in range(1, buckets)]
+    approx = vc.groupBy(*by).agg(F.percentile_approx(F.col("__v").cast("double"), fr, accuracy).alias("__bnd"))
+    v = F.col("__v").cast("double")
+    if not by:
+        # Global: at most ``buckets - 1`` numbers, fetched once as a literal
+        # array (a bounded scalar result), so every use sees the same bounds.
+        bnd = approx.first()["__bnd"] or []
+        bk = vc.select("__v", "__c", F.size(F.filter(F.array(*[F.lit(float(b)) for b in bnd] or
+                                                          [F.lit(None).cast("double")]),
+                                                 lambda x: x < v)).alias("__b"))
+    else:
+        # Grouped: one bound array per group, checkpointed (reliable) so a
+        # recomputed task cannot see different bounds; joined on the group key.
+        bounds = try_checkpoint(approx)
+        if bounds is None:
+            return _from_value_counts(vc, pm, by, kind, out_type)
+        bk = _null_safe_join(vc, bounds, by).select(
+            *by, "__v", "__c", F.size(F.filter("__bnd", lambda x: x < v)).alias("__b"))
     tot = bk.groupBy(*by, "__b").agg(F.sum("__c").alias("__nb"))
     gw = Window.partitionBy(*by)
     tot = (tot.withColumn("__off", F.sum("__nb").over(gw.orderBy("__b")) - F.col("__nb"))

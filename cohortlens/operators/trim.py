@@ -7,8 +7,6 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.operators.quantiles import column_quantiles
-from cohortlens.operators.scalar import with_scalars
-from cohortlens.session import try_checkpoint
 
 
 def trim_outliers(df: DataFrame, upper: Mapping[str, float], lower: Mapping[str, float] | None = None,
@@ -20,8 +18,8 @@ def trim_outliers(df: DataFrame, upper: Mapping[str, float], lower: Mapping[str,
     ``null_ok`` (otherwise SQL's null comparison drops the row).
 
     All limits are computed in one pass (columns unpivoted); the result is a
-    single row attached as scalar subqueries, so the filter is a narrow
-    projection over the input with no shuffle of the input rows.
+    single row of numbers used as literals, so the filter is a narrow
+    predicate over the input with no shuffle of the input rows.
     """
     lower = dict(lower or {})
     null_ok = set(null_ok)
@@ -36,19 +34,19 @@ def trim_outliers(df: DataFrame, upper: Mapping[str, float], lower: Mapping[str,
     lim = column_quantiles(df, cols, uniq, kind="disc", method=method)
     lim = lim.select(*[F.col(f"{c}_{name_of[p]}").alias(f"__hi_{c}") for c, p in upper.items()],
                      *[F.col(f"{c}_{name_of[p]}").alias(f"__lo_{c}") for c, p in lower.items()])
-    # The limits are exactly one row: materialise them once (reliable
-    # checkpoint) so every downstream branch filters against the same
-    # values without re-running the percentile passes.
-    ck = try_checkpoint(lim)
-    lim = ck if ck is not None else lim
-    j = with_scalars(df, lim)
+    # The limits are one row of len(upper) + len(lower) numbers: fetched once
+    # as literals (a bounded scalar result, not data), so every downstream
+    # branch filters against the same values without re-running the
+    # percentile passes, and the predicates can be pushed like constants.
+    row = lim.first().asDict()
+    j = df
     cond = F.lit(True)
     for c in cols:
         inside = F.lit(True)
         if c in upper:
-            inside = inside & (F.col(c) < F.col(f"__hi_{c}"))
+            inside = inside & (F.col(c) < F.lit(row[f"__hi_{c}"]))
         if c in lower:
-            inside = inside & (F.col(c) > F.col(f"__lo_{c}"))
+            inside = inside & (F.col(c) > F.lit(row[f"__lo_{c}"]))
         if c in null_ok:
             inside = inside | F.col(c).isNull()
         cond = cond & F.coalesce(inside, F.lit(False))
