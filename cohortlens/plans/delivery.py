@@ -93,7 +93,10 @@ def ltv_top_dishes(sales: DataFrame, cities: DataFrame, partners: DataFrame, dis
     o = o.join(F.broadcast(top), "rest_id", "left_semi")
     per_dish = o.groupBy("rest_id", "city_id", "object_id").agg(F.sum("commission_revenue").alias("s"))
     p = partners.select("rest_id", "city_id", "chain")
-    d = dishes.select("object_id", "rest_id", "name", "spicy", "fish", "meat")
+    # Restrict the dish dimension to the k_rest restaurants as well (broadcast
+    # semi join on a k-row frame) so the dimension side of the join is small.
+    d = (dishes.select("object_id", "rest_id", "name", "spicy", "fish", "meat")
+         .join(F.broadcast(top), "rest_id", "left_semi"))
     j = per_dish.join(p, ["rest_id", "city_id"]).join(d, ["object_id", "rest_id"])
     g = (j.groupBy("chain", F.col("name").alias("dish"), "spicy", "fish", "meat")
          .agg(round_half_up(F.sum("s"), 2).alias("ltv")))

@@ -21,6 +21,7 @@ _DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Broadcast joins are only planned for sides Spark has sized below this.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
 }
 
 
@@ -39,6 +40,9 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
     "spark.sql.shuffle.partitions": "20000",
     "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    # Runtime Bloom filters: a selective filter on one join side (e.g. an
+    # order-date window) prunes the other side's rows before the shuffle.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
