@@ -70,3 +70,26 @@ def test_mart_roundtrip_partitioned(spark):
     back = read_mart(spark, d).where(F.col("log_date") == "2024-01-02")
     assert "PartitionFilters" in back._jdf.queryExecution().executedPlan().toString()
     assert back.collect()[0]["n"] == 2
+
+
+def test_read_csv_with_index_column_and_header_normalisation(spark):
+    from cohortlens.plans.cohort import dedup_users
+    from cohortlens.sources.tables import normalize_headers, read_csv
+    d = tempfile.mkdtemp(prefix="csv-")
+    with open(os.path.join(d, "users.csv"), "w") as fh:
+        fh.write(",puid,city,hours\n0,7,msk,1.5\n1,8,spb,2.0\n2,7,msk,9.0\n")
+    df = read_csv(spark, os.path.join(d, "users.csv"),
+                  "idx int, puid long, city string, hours double", index_col="row_idx")
+    assert df.columns[0] == "row_idx"
+    kept = {r["puid"]: r["hours"] for r in dedup_users(df).collect()}
+    assert kept == {7: 1.5, 8: 2.0}             # first row in file order wins
+    raw = spark.createDataFrame([(1, 2)], "`funding  round  id` int, `company  id` int")
+    assert normalize_headers(raw).columns == ["funding_round_id", "company_id"]
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    from cohortlens.operators.quantiles import quantiles
+    df = spark.range(0, 20000).selectExpr("cast(id % 1000 as double) as v")
+    a = quantiles(df, "v", [0.5], method="approx").first()["p50"]
+    e = quantiles(df, "v", [0.5], kind="disc").first()["p50"]
+    assert abs(a - e) <= 2
