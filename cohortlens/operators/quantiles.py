@@ -189,6 +189,18 @@ def _from_value_counts(vc: DataFrame, pm: dict[str, float], by: list[str], kind:
     return out.select(*by, *[F.col(n).cast(out_type).alias(n) for n in pm])
 
 
+def quantiles_from_counts(counts: DataFrame, value: str, count: str, probs, by: Sequence[str] = (),
+                          kind: str = "cont", out_type: str = "double") -> DataFrame:
+    """Exact quantiles from an already aggregated (group, value, count)
+    frame - e.g. a pre-aggregate shared with other metrics - so the raw rows
+    are not read again.  Work per group is proportional to its distinct
+    values (the ``domain`` path)."""
+    by = list(by)
+    vc = (counts.where(F.col(value).isNotNull())
+          .groupBy(*by, F.col(value).alias("__v")).agg(F.sum(count).alias("__c")))
+    return _from_value_counts(vc, _probs(probs), by, kind, out_type)
+
+
 def median(df: DataFrame, value: str, by: Sequence[str] = (), kind: str = "cont",
            method: str = "exact") -> DataFrame:
     return quantiles(df, value, {"median": 0.5}, by, kind=kind, method=method)

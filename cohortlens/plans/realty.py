@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions.common import round_half_up, safe_div
-from cohortlens.operators.quantiles import _null_safe_join, column_quantiles
+from cohortlens.operators.quantiles import _null_safe_join, quantiles_from_counts
 from cohortlens.operators.scalar import with_scalars
 from cohortlens.operators.trim import trim_outliers
 
@@ -65,17 +65,24 @@ def exposure_segments(flats: DataFrame, ads: DataFrame, cities: DataFrame, capit
                  "total_area", "rooms", "balcony",
                  safe_div("last_price", "total_area").alias("price_per_sqm")))
     keys = ["region", "exposition_category", "apartment_category"]
-    agg = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_ads"),
-                               F.avg("price_per_sqm").alias("pps"), F.avg("total_area").alias("ta"))
-    # rooms / balcony are small integer counts: exact medians over their
-    # value domain, no bucketing pass needed.
-    med = column_quantiles(x, ["rooms", "balcony"], {"median": .5}, keys, kind="disc", method="domain")
-    j = _null_safe_join(agg, med, keys, "left")
-    return j.select(*keys, "total_ads",
+    # One pass over the fact join: pre-aggregate to (segment, rooms, balcony)
+    # with counts and sums.  rooms / balcony are small integer counts, so this
+    # table is small; the averages and the exact medians both derive from it.
+    pre = x.groupBy(*keys, "rooms", "balcony").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("price_per_sqm").alias("s_pps"),
+        F.count("price_per_sqm").alias("c_pps"), F.sum("total_area").alias("s_ta"),
+        F.count("total_area").alias("c_ta"))
+    agg = pre.groupBy(*keys).agg(
+        F.sum("n").alias("total_ads"), safe_div(F.sum("s_pps"), F.sum("c_pps")).alias("pps"),
+        safe_div(F.sum("s_ta"), F.sum("c_ta")).alias("ta"))
+    med_r = quantiles_from_counts(pre, "rooms", "n", {"median_rooms": .5}, keys, kind="disc")
+    med_b = quantiles_from_counts(pre, "balcony", "n", {"median_balcony": .5}, keys, kind="disc")
+    j = _null_safe_join(_null_safe_join(agg, med_r, keys, "left"), med_b, keys, "left")
+    return j.select(*keys, F.col("total_ads").cast("long").alias("total_ads"),
                     round_half_up("pps", 0).alias("avg_price_per_sqm"),
                     round_half_up("ta", 2).alias("avg_total_area"),
-                    F.col("rooms_median").cast("int").alias("median_rooms"),
-                    F.col("balcony_median").cast("int").alias("median_balcony"))
+                    F.col("median_rooms").cast("int").alias("median_rooms"),
+                    F.col("median_balcony").cast("int").alias("median_balcony"))
 
 
 def listing_seasonality(flats: DataFrame, ads: DataFrame,

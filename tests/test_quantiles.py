@@ -71,3 +71,15 @@ def test_domain_method_matches_builtin(spark, kind):
     a = quantiles(df, "v", [0.1, 0.5, 0.9], ["g"], kind=kind, method="domain").orderBy("g").toPandas()
     b = quantiles(df, "v", [0.1, 0.5, 0.9], ["g"], kind=kind, method="builtin").orderBy("g").toPandas()
     pd.testing.assert_frame_equal(a, b)
+
+
+@pytest.mark.parametrize("kind", ["cont", "disc"])
+def test_quantiles_from_counts_equals_raw(spark, kind):
+    from pyspark.sql import functions as F
+    from cohortlens.operators.quantiles import quantiles_from_counts
+    rows = [("a", v) for v in (1, 1, 2, 5, 5, 5, 9)] + [("b", v) for v in (3, 4)] + [("b", None)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    counts = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    a = quantiles_from_counts(counts, "v", "n", [0.25, 0.5, 0.9], ["g"], kind=kind).orderBy("g").toPandas()
+    b = quantiles(df, "v", [0.25, 0.5, 0.9], ["g"], kind=kind, method="builtin").orderBy("g").toPandas()
+    pd.testing.assert_frame_equal(a, b)
