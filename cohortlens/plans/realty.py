@@ -87,33 +87,40 @@ def exposure_segments(flats: DataFrame, ads: DataFrame, cities: DataFrame, capit
 
 def listing_seasonality(flats: DataFrame, ads: DataFrame,
                         partial_years: Sequence[int] = ()) -> DataFrame:
-    """Published vs withdrawn listings by calendar month, with shares of all ads."""
+    """Published vs withdrawn listings by calendar month, with shares of all ads.
+
+    One pass: every listing emits a ``published`` record (its first day) and,
+    when withdrawn, a ``withdrawn`` record (first day + duration); a single
+    conditional aggregate by month builds both sides.  As in the study, a
+    month appears only if listings were published in it (left join from the
+    published side), and shares divide by all listings.
+    """
     x = _drop_years(_flat_ads(flats, ads), partial_years)
     last_day = F.when(F.col("days_exposition") > 0,
                       F.date_add("first_day_exposition", F.col("days_exposition")))
-    x = x.select("first_day_exposition", last_day.alias("last_day_exposition"), "total_area",
-                 safe_div("last_price", "total_area").alias("pps"))
-
-    def by_month(dcol: str, tag: str, cnt: str) -> DataFrame:
-        return (x.where(F.col(dcol).isNotNull())
-                .groupBy(F.month(dcol).alias("month_num"),
-                         F.date_format(dcol, "MMMM").alias(f"{tag}_name"))
-                .agg(F.count(F.lit(1)).alias(cnt),
-                     round_half_up(F.avg("total_area"), 2).alias(f"avg_area_{tag}"),
-                     round_half_up(F.avg("pps"), 0).alias(f"price_per_sqm_{tag}")))
-
-    pub = by_month("first_day_exposition", "published", "total_published")
-    wd = by_month("last_day_exposition", "withdrawn", "total_withdrawn")
-    # One-row global total, attached as a scalar subquery.
-    tot = x.agg(F.count(F.lit(1)).alias("total_ads"))
-    j = with_scalars(pub.join(wd, "month_num", "left"), tot)
-    return j.select("month_num", F.col("published_name").alias("month_name"), "total_published",
-                    "total_withdrawn", "avg_area_published", "price_per_sqm_published",
-                    "avg_area_withdrawn", "price_per_sqm_withdrawn",
-                    round_half_up(safe_div(F.col("total_published") * 100.0, "total_ads"), 1)
-                    .alias("percent_published"),
-                    round_half_up(safe_div(F.col("total_withdrawn") * 100.0, "total_ads"), 1)
-                    .alias("percent_withdrawn"))
+    recs = F.filter(F.array(
+        F.struct(F.lit("p").alias("kind"), F.col("first_day_exposition").alias("day")),
+        F.when(last_day.isNotNull(), F.struct(F.lit("w").alias("kind"), last_day.alias("day")))),
+        lambda r: r.isNotNull())
+    long = x.select(F.explode(recs).alias("r"), "total_area",
+                    safe_div("last_price", "total_area").alias("pps")).select("r.kind", "r.day", "total_area", "pps")
+    is_p, is_w = F.col("kind") == "p", F.col("kind") == "w"
+    g = (long.groupBy(F.month("day").alias("month_num"), F.date_format("day", "MMMM").alias("month_name"))
+         .agg(F.count(F.when(is_p, 1)).alias("total_published"),
+              F.count(F.when(is_w, 1)).alias("w"),
+              round_half_up(F.avg(F.when(is_p, F.col("total_area"))), 2).alias("avg_area_published"),
+              round_half_up(F.avg(F.when(is_p, F.col("pps"))), 0).alias("price_per_sqm_published"),
+              round_half_up(F.avg(F.when(is_w, F.col("total_area"))), 2).alias("avg_area_withdrawn"),
+              round_half_up(F.avg(F.when(is_w, F.col("pps"))), 0).alias("price_per_sqm_withdrawn"))
+         .where(F.col("total_published") > 0))
+    # All listings = all published records: a sum over the (at most 12) month rows.
+    total = F.sum("total_published").over(Window.partitionBy())
+    wd = F.when(F.col("w") > 0, F.col("w"))
+    return g.select("month_num", "month_name", "total_published", wd.alias("total_withdrawn"),
+                    "avg_area_published", "price_per_sqm_published", "avg_area_withdrawn",
+                    "price_per_sqm_withdrawn",
+                    round_half_up(safe_div(F.col("total_published") * 100.0, total), 1).alias("percent_published"),
+                    round_half_up(safe_div(wd * 100.0, total), 1).alias("percent_withdrawn"))
 
 
 def settlement_market(flats: DataFrame, ads: DataFrame, cities: DataFrame, capital: str,
