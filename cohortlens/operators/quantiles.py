@@ -69,7 +69,7 @@ def _null_safe_join(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "i
 
 def quantiles(df: DataFrame, value: str | Column, probs, by: Sequence[str] = (),
               kind: str = "cont", method: str = "exact", buckets: int = 128,
-              accuracy: int = 10000, out_type: str = "double") -> DataFrame:
+              accuracy: int = 10000, out_type: str = "double", literal_groups: int = 0) -> DataFrame:
     """Quantiles of ``value`` per ``by`` group, one column per probability.
 
     ``probs`` is a list of fractions (columns named ``p25``, ``p50``...) or a
@@ -111,6 +111,18 @@ def quantiles(df: DataFrame, value: str | Column, probs, by: Sequence[str] = (),
         bk = vc.select("__v", "__c", F.size(F.filter(F.array(*[F.lit(float(b)) for b in bnd] or
                                                           [F.lit(None).cast("double")]),
                                                  lambda x: x < v)).alias("__b"))
+    elif literal_groups and len(by) == 1:
+        # The caller proves the group count is at most ``literal_groups``
+        # (e.g. one group per profiled column): fetch the bounded bound arrays
+        # once and use them as a literal map keyed by the group value.
+        rows = approx.limit(literal_groups + 1).collect()
+        if len(rows) > literal_groups:
+            raise ValueError(f"more than {literal_groups} groups")
+        kv = [x for r in rows for x in (F.lit(r[by[0]]), F.array(*[F.lit(float(b)) for b in (r["__bnd"] or [])]
+                                                                  or [F.lit(None).cast("double")]))]
+        bmap = F.create_map(*kv)
+        bk = vc.select(*by, "__v", "__c",
+                       F.size(F.filter(F.element_at(bmap, F.col(by[0])), lambda x: x < v)).alias("__b"))
     else:
         # Grouped: one bound array per group, checkpointed (reliable) so a
         # recomputed task cannot see different bounds; joined on the group key.
@@ -219,6 +231,9 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs, by: Sequence[str
     long = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__val")) for c in cols
     ])).alias("__kv")).select(*by, "__kv.__col", "__kv.__val")
-    q = quantiles(long, "__val", pm, by + ["__col"], kind=kind, method=method, buckets=buckets)
+    # Without outer groups the only key is the column name: at most len(cols)
+    # groups, so the bucket bounds can travel as literals.
+    q = quantiles(long, "__val", pm, by + ["__col"], kind=kind, method=method, buckets=buckets,
+                  literal_groups=0 if by else len(cols))
     aggs = [F.max(F.when(F.col("__col") == c, F.col(n))).alias(f"{c}_{n}") for c in cols for n in pm]
     return q.groupBy(*by).agg(*aggs)
