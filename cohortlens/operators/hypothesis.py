@@ -78,7 +78,9 @@ def proportions_ztest(counts: DataFrame, alternative: str = "larger", alpha: flo
     pool = (s1 + s2) / (n1 + n2)
     z = (p1 - p2) / F.sqrt(pool * (1.0 - pool) * (1.0 / n1 + 1.0 / n2))
     x = counts.select(p1.alias("p1"), p2.alias("p2"), z.alias("z"))
-    x = x.withColumn("p_value", _p_value(F.col("z"), lambda v: 1.0 - norm_cdf(v), alternative))
+    # Upper tail as Phi(-z): Hart's formula evaluates the tail directly, so
+    # small p-values keep their precision (no 1 - Phi cancellation).
+    x = x.withColumn("p_value", _p_value(F.col("z"), lambda v: norm_cdf(-v), alternative))
     return x.select(round_half_up("p1", dp).alias("p1"), round_half_up("p2", dp).alias("p2"),
                     round_half_up("z", dp).alias("z"), round_half_up("p_value", dp).alias("p_value"),
                     (F.col("p_value") < alpha).alias("significant"))
