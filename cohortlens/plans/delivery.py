@@ -85,18 +85,18 @@ def ltv_top_dishes(sales: DataFrame, cities: DataFrame, partners: DataFrame, dis
                    city: str, start: str, end: str, k_rest: int = 2, k: int = 5) -> DataFrame:
     """Top ``k`` dishes by commission inside the ``k_rest`` best restaurants."""
     o = _city_orders(sales, cities, city, start, end)
-    top = (_restaurant_ltv(o, partners)
-           .orderBy(F.col("ltv").desc(), F.col("rest_id").asc()).limit(k_rest)
-           .select("rest_id"))
-    # ``top`` holds k_rest rows by construction: broadcasting it is size-safe,
-    # and the semi join cuts the fact side before the dimension joins.
-    o = o.join(F.broadcast(top), "rest_id", "left_semi")
+    # The k_rest winners are a parameter-bounded result (k_rest ids), fetched
+    # once and used as a literal IN-list: the filter then reaches the Parquet
+    # scan of the fact table (pushed predicate on the restaurant key) and the
+    # dish-level aggregation reads only those restaurants' rows.
+    top_ids = [r["rest_id"] for r in
+               _restaurant_ltv(o, partners).orderBy(F.col("ltv").desc(), F.col("rest_id").asc())
+               .limit(k_rest).select("rest_id").collect()]
+    o = o.where(F.col("rest_id").isin(top_ids))
     per_dish = o.groupBy("rest_id", "city_id", "object_id").agg(F.sum("commission_revenue").alias("s"))
     p = partners.select("rest_id", "city_id", "chain")
-    # Restrict the dish dimension to the k_rest restaurants as well (broadcast
-    # semi join on a k-row frame) so the dimension side of the join is small.
     d = (dishes.select("object_id", "rest_id", "name", "spicy", "fish", "meat")
-         .join(F.broadcast(top), "rest_id", "left_semi"))
+         .where(F.col("rest_id").isin(top_ids)))
     j = per_dish.join(p, ["rest_id", "city_id"]).join(d, ["object_id", "rest_id"])
     g = (j.groupBy("chain", F.col("name").alias("dish"), "spicy", "fish", "meat")
          .agg(round_half_up(F.sum("s"), 2).alias("ltv")))

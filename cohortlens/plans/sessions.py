@@ -19,8 +19,9 @@ from cohortlens.operators.scalar import with_scalars
 def top_user_sessions(sessions: DataFrame) -> DataFrame:
     """All rows of the user with the most distinct sessions (smallest id on ties)."""
     per_user = sessions.groupBy("user_id").agg(F.countDistinct("session_id").alias("n"))
-    top = per_user.orderBy(F.col("n").desc(), F.col("user_id").asc()).limit(1).select("user_id")
-    return sessions.join(F.broadcast(top), "user_id", "left_semi")
+    top = per_user.orderBy(F.col("n").desc(), F.col("user_id").asc()).limit(1).select("user_id").collect()
+    # One id (bounded), used as a literal so the filter is pushed to the scan.
+    return sessions.where(F.col("user_id").isin([r["user_id"] for r in top]))
 
 
 def daily_registration(sessions: DataFrame, dp: int = 6) -> DataFrame:
