@@ -128,3 +128,27 @@ def test_scalar_attachment_keeps_rows_on_empty_aggregate(spark):
     one = empty.agg(F.max("v").alias("m"), F.count("v").alias("n"))
     rows = with_scalars(df, one).collect()
     assert [(r["x"], r["m"], r["n"]) for r in rows] == [(1, None, 0), (2, None, 0)]
+
+
+def test_conversion_horizon_parameter(spark):
+    # Q1: default counts purchases over all events; horizon_days limits them.
+    parts = spark.createDataFrame([(1, "A", "t"), (2, "A", "t")], "user_id long, grp string, ab_test string")
+    ev = spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 1), "registration", None), (1, dt.datetime(2024, 1, 20), "purchase", "x"),
+         (2, dt.datetime(2024, 1, 1), "registration", None), (2, dt.datetime(2024, 1, 3), "purchase", "y")],
+        "user_id long, event_dt timestamp, event_name string, details string")
+    allev = cohort.group_conversion(ev, parts, "t").first()
+    h7 = cohort.group_conversion(ev, parts, "t", horizon_days=7).first()
+    assert (allev["buyers"], h7["buyers"]) == (2, 1)
+    assert allev["conversion_pct"] == 100.0 and h7["conversion_pct"] == 50.0
+
+
+def test_education_gap_dedupe_people(spark):
+    # Q5: the study's fan-out counts a person once per education record.
+    people = spark.createDataFrame([(1, 9), (2, 9)], "id long, company_id long")
+    edu = spark.createDataFrame([(1, "a"), (1, "b")], "person_id long, instituition string")
+    fan = {r["size_group"]: (r["total_employees"], r["employees_with_education"])
+           for r in startups.education_gap_by_company_size(people, edu).collect()}
+    ded = {r["size_group"]: (r["total_employees"], r["employees_with_education"])
+           for r in startups.education_gap_by_company_size(people, edu, dedupe_people=True).collect()}
+    assert fan["1-10"] == (3, 2) and ded["1-10"] == (2, 1)
