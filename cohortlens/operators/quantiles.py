@@ -14,7 +14,8 @@ Methods
 ``exact`` (default) never holds a whole group in one task:
 
 1. pre-aggregate to ``(group, value) -> count`` (map-side combine: a hot
-   value collapses to one row);
+   value collapses to one row) and checkpoint it, so the two passes below
+   read the counts instead of re-evaluating the input;
 2. split every group into ``buckets`` value ranges whose bounds come from
    ``percentile_approx`` over the distinct values.  The bounds only balance
    the work, they do not affect the answer, and they are fixed once so every
@@ -101,6 +102,11 @@ def quantiles(df: DataFrame, value: str | Column, probs, by: Sequence[str] = (),
     if method == "domain":
         # The running window sees one row per distinct value of the group.
         return _from_value_counts(vc, pm, by, kind, out_type)
+    # Both remaining passes (bounds, ranks) read the value counts: materialise
+    # them once (reliable checkpoint) instead of re-evaluating the input.
+    ck = try_checkpoint(vc)
+    if ck is not None:
+        vc = ck
     fr = [i / buckets for i in range(1, buckets)]
     approx = vc.groupBy(*by).agg(F.percentile_approx(F.col("__v").cast("double"), fr, accuracy).alias("__bnd"))
     v = F.col("__v").cast("double")
