@@ -22,6 +22,7 @@ _DEFAULT_CONF = {
     # Broadcast joins are only planned for sides Spark has sized below this.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -43,6 +44,9 @@ CLUSTER_CONF = {
     # Runtime Bloom filters: a selective filter on one join side (e.g. an
     # order-date window) prunes the other side's rows before the shuffle.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Delete reliable-checkpoint files (quantile value counts and bounds)
+    # once their data is no longer referenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
