@@ -88,9 +88,21 @@ def chi2_matrix(df: DataFrame, cols: Sequence[str], interval_cols: Sequence[str]
 
 # ---------------------------------------------------------------- phi_K inversion (numpy)
 def _phi(x: np.ndarray) -> np.ndarray:
-    """Standard normal CDF (vectorised, via the complementary error function
-    series of the math module applied elementwise)."""
-    return 0.5 * np.vectorize(math.erfc)(-x / math.sqrt(2.0))
+    """Standard normal CDF, vectorised: the same Hart rational approximation
+    as ``functions.stats.norm_cdf``, evaluated with numpy."""
+    from cohortlens.functions.stats import HART_DEN, HART_NUM, SQRT_2PI
+    x = np.asarray(x, dtype=float)
+    a = np.abs(x)
+    e = np.exp(-a * a / 2.0)
+    num = np.polyval(HART_NUM, a)
+    den = np.polyval(HART_DEN, a)
+    small = e * num / den
+    cf = a + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        cf = a + k / cf
+    large = e / cf / SQRT_2PI
+    lower = np.where(a > 37.0, 0.0, np.where(a < 7.07106781186547, small, large))
+    return np.where(x > 0, 1.0 - lower, lower)
 
 
 def _binorm_cells(rho: float, nx: int, ny: int, grid: int = 801) -> np.ndarray:
