@@ -94,18 +94,19 @@ def wilson_bounds(successes, n, alpha: float = 0.05) -> tuple[Column, Column]:
     z = norm_ppf(1 - alpha / 2)
     s = _c(successes).cast("double")
     n = _c(n).cast("double")
-    p = s / n
+    dv = F.try_divide          # an empty arm gives null bounds, not an error
+    p = dv(s, n)
     z2 = z * z
-    denom = 1.0 + z2 / n
-    centre = (p + z2 / (2.0 * n)) / denom
-    half = (z / denom) * F.sqrt(p * (1.0 - p) / n + z2 / (4.0 * n * n))
+    denom = 1.0 + dv(F.lit(z2), n)
+    centre = dv(p + dv(F.lit(z2), 2.0 * n), denom)
+    half = dv(F.lit(z), denom) * F.sqrt(dv(p * (1.0 - p), n) + dv(F.lit(z2), 4.0 * n * n))
     return centre - half, centre + half
 
 
 def newcombe_diff_ci(s1, n1, s2, n2, alpha: float = 0.05) -> tuple[Column, Column, Column]:
     """Newcombe hybrid score interval for p1 - p2: (diff, low, high)."""
-    p1 = _c(s1).cast("double") / _c(n1).cast("double")
-    p2 = _c(s2).cast("double") / _c(n2).cast("double")
+    p1 = F.try_divide(_c(s1).cast("double"), _c(n1).cast("double"))
+    p2 = F.try_divide(_c(s2).cast("double"), _c(n2).cast("double"))
     l1, u1 = wilson_bounds(s1, n1, alpha)
     l2, u2 = wilson_bounds(s2, n2, alpha)
     d = p1 - p2

@@ -46,14 +46,17 @@ def ttest_from_stats(st: DataFrame, equal_var: bool = True, alternative: str = "
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     va, vb = F.col("var_a"), F.col("var_b")
     diff = F.col("mean_a") - F.col("mean_b")
+    # try_divide throughout: zero variance or a one-row arm gives null
+    # statistics instead of an ANSI division error.
+    dv = F.try_divide
     if equal_var:
         dof = na + nb - 2.0
-        sp2 = ((na - 1.0) * va + (nb - 1.0) * vb) / dof
-        t = diff / F.sqrt(sp2 * (1.0 / na + 1.0 / nb))
+        sp2 = dv((na - 1.0) * va + (nb - 1.0) * vb, dof)
+        t = dv(diff, F.sqrt(sp2 * (dv(F.lit(1.0), na) + dv(F.lit(1.0), nb))))
     else:
-        sa, sb = va / na, vb / nb
-        t = diff / F.sqrt(sa + sb)
-        dof = F.pow(sa + sb, 2) / (F.pow(sa, 2) / (na - 1.0) + F.pow(sb, 2) / (nb - 1.0))
+        sa, sb = dv(va, na), dv(vb, nb)
+        t = dv(diff, F.sqrt(sa + sb))
+        dof = dv(F.pow(sa + sb, 2), dv(F.pow(sa, 2), na - 1.0) + dv(F.pow(sb, 2), nb - 1.0))
     x = st.select("mean_a", "mean_b", t.alias("t"), dof.alias("df"))
     p = _p_value(F.col("t"), lambda s: t_sf(s, F.col("df")), alternative)
     x = x.withColumn("p_value", p)
@@ -74,9 +77,10 @@ def proportions_ztest(counts: DataFrame, alternative: str = "larger", alpha: flo
     """Pooled two-proportion z-test; ``counts`` has s1, n1, s2, n2 (arm 1 vs arm 2)."""
     s1, n1 = F.col("s1").cast("double"), F.col("n1").cast("double")
     s2, n2 = F.col("s2").cast("double"), F.col("n2").cast("double")
-    p1, p2 = s1 / n1, s2 / n2
-    pool = (s1 + s2) / (n1 + n2)
-    z = (p1 - p2) / F.sqrt(pool * (1.0 - pool) * (1.0 / n1 + 1.0 / n2))
+    dv = F.try_divide
+    p1, p2 = dv(s1, n1), dv(s2, n2)
+    pool = dv(s1 + s2, n1 + n2)
+    z = dv(p1 - p2, F.sqrt(pool * (1.0 - pool) * (dv(F.lit(1.0), n1) + dv(F.lit(1.0), n2))))
     x = counts.select(p1.alias("p1"), p2.alias("p2"), z.alias("z"))
     # Upper tail as Phi(-z): Hart's formula evaluates the tail directly, so
     # small p-values keep their precision (no 1 - Phi cancellation).
@@ -105,7 +109,7 @@ def required_sample_size(baselines: DataFrame, mde: float = 0.03, relative: bool
     p = F.col("baseline").cast("double")
     target = p * (1.0 + mde) if relative else p + F.lit(mde)
     h = proportion_effectsize(p, target)
-    n = 2.0 * F.pow(F.lit(zsum) / h, 2)
+    n = 2.0 * F.pow(F.try_divide(F.lit(zsum), h), 2)
     rn = {"floor": F.floor(n), "ceil": F.ceil(n), "round": F.round(n, 0)}[rounding]
     return baselines.select("segment", round_half_up(p, dp).alias("baseline"),
                             round_half_up(h, dp).alias("effect_size"),

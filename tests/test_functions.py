@@ -108,3 +108,14 @@ def test_floor_days_negative(spark):
                                 ("2024-01-05 10:00:00", "2024-01-03 11:00:00")], "a string, b string")
     got = [r[0] for r in df.select(floor_days(F.to_timestamp("a"), F.to_timestamp("b"))).collect()]
     assert got == [-1, 1]
+
+
+def test_degenerate_inputs_give_nulls_not_errors(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0), ("b", 1.0)], "g string, v double")
+    r = H.ttest_ind(df, "g", "v", "a", "b").first()          # zero variance in both arms
+    assert r["t"] is None
+    counts = spark.createDataFrame([(0, 0, 5, 10)], "s1 long, n1 long, s2 long, n2 long")
+    assert H.proportions_ztest(counts).first()["z"] is None  # empty arm
+    assert H.lift_confint(counts).first()["ci_low"] is None
+    b = spark.createDataFrame([("zero", 0.0)], "segment string, baseline double")
+    assert H.required_sample_size(b, mde=0.03, relative=True).first()["n_per_group"] is None
