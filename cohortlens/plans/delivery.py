@@ -18,6 +18,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cohortlens.functions.common import round_half_up, safe_div
 
 
+def _distinct(col, approx_rsd: float | None):
+    """Exact distinct count, or HyperLogLog++ with relative error
+    ``approx_rsd`` (opt-in: one fixed-size sketch per group instead of a
+    (group, user) shuffle)."""
+    return F.countDistinct(col) if approx_rsd is None else F.approx_count_distinct(col, approx_rsd)
+
+
 def _in_city(facts: DataFrame, cities: DataFrame, city: str) -> DataFrame:
     ids = cities.where(F.col("city_name") == city).select("city_id")
     # The filtered city dimension has at most one row per city id: broadcast it.
@@ -25,23 +32,23 @@ def _in_city(facts: DataFrame, cities: DataFrame, city: str) -> DataFrame:
 
 
 def dau(events: DataFrame, cities: DataFrame, city: str, start: str, end: str,
-        limit: int = 10) -> DataFrame:
+        limit: int = 10, approx_rsd: float | None = None) -> DataFrame:
     """Daily distinct ordering users in one city (first ``limit`` days)."""
     ev = _in_city(events, cities, city).where(
         (F.col("event") == "order") & F.col("user_id").isNotNull()
         & F.col("log_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    return (ev.groupBy("log_date").agg(F.countDistinct("user_id").alias("dau"))
+    return (ev.groupBy("log_date").agg(_distinct(F.col("user_id"), approx_rsd).alias("dau"))
             .orderBy("log_date").limit(limit))
 
 
 def conversion_rate(events: DataFrame, cities: DataFrame, city: str, start: str, end: str,
-                    limit: int = 10) -> DataFrame:
+                    limit: int = 10, approx_rsd: float | None = None) -> DataFrame:
     """Daily ordering users / all active users, rounded to 2 dp."""
     ev = _in_city(events, cities, city).where(
         F.col("log_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     agg = ev.groupBy("log_date").agg(
-        F.countDistinct(F.when(F.col("event") == "order", F.col("user_id"))).alias("buyers"),
-        F.countDistinct("user_id").alias("users"))
+        _distinct(F.when(F.col("event") == "order", F.col("user_id")), approx_rsd).alias("buyers"),
+        _distinct(F.col("user_id"), approx_rsd).alias("users"))
     return (agg.select("log_date", round_half_up(safe_div("buyers", "users"), 2).alias("cr"))
             .orderBy("log_date").limit(limit))
 

@@ -152,3 +152,15 @@ def test_education_gap_dedupe_people(spark):
     ded = {r["size_group"]: (r["total_employees"], r["employees_with_education"])
            for r in startups.education_gap_by_company_size(people, edu, dedupe_people=True).collect()}
     assert fan["1-10"] == (3, 2) and ded["1-10"] == (2, 1)
+
+
+def test_approx_distinct_opt_in_close_to_exact(spark):
+    from cohortlens.plans import delivery
+    from cohortlens.sources import adapters as A
+    from cohortlens.sources.tables import Tables
+    t = Tables(spark, "/root/testdata/sf0.01")
+    args = (A.d_events(t), A.d_cities(t), "ASIA", "2024-01-01", "2024-02-29")
+    exact = {r["log_date"]: r["dau"] for r in delivery.dau(*args).collect()}
+    approx = {r["log_date"]: r["dau"] for r in delivery.dau(*args, approx_rsd=0.01).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[d] - exact[d]) <= max(2, 0.05 * exact[d]) for d in exact)
