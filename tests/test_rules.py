@@ -164,3 +164,11 @@ def test_approx_distinct_opt_in_close_to_exact(spark):
     approx = {r["log_date"]: r["dau"] for r in delivery.dau(*args, approx_rsd=0.01).collect()}
     assert exact.keys() == approx.keys()
     assert all(abs(approx[d] - exact[d]) <= max(2, 0.05 * exact[d]) for d in exact)
+
+
+def test_profile_approx_matches_exact_counts(spark):
+    from cohortlens.operators.profile import profile
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, "b"), (None, "b")], "x int, s string")
+    ex = {r["column"]: (r["rows"], r["nulls"], r["distinct"]) for r in profile(df, "t").collect()}
+    ap = {r["column"]: (r["rows"], r["nulls"], r["distinct"]) for r in profile(df, "t", approx_rsd=0.01).collect()}
+    assert ex == ap == {"x": (4, 1, 2), "s": (4, 1, 2)}
