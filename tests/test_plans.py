@@ -46,3 +46,25 @@ def test_no_cross_or_row_udf_in_any_query(spark):
         p = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         bad += [(name, k) for k in ("CartesianProduct", "NestedLoopJoin", "BatchEvalPython") if k in p]
     assert bad == []
+
+
+def test_keep_one_combines_map_side(spark):
+    from cohortlens.operators.dedup import keep_one
+    # one key holds a third of the rows
+    df = spark.range(0, 3000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id AS ord")
+    out = keep_one(df, "k", "ord", "last")
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in p
+    assert {r["k"]: r["ord"] for r in out.where("k = 0").collect()} == {0: 2997}
+
+
+def test_exact_quantile_rank_window_is_bucketed(spark):
+    from cohortlens.operators.quantiles import quantiles
+    df = spark.range(0, 3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'cold' END AS g",
+                                         "CAST(id AS DOUBLE) AS v")
+    q = quantiles(df, "v", [0.5], ["g"], buckets=8)
+    p = q._jdf.queryExecution().optimizedPlan().toString()
+    # the running-count window is partitioned by (group, bucket, target), not by group alone
+    assert any("__b" in line and "Window" in line for line in p.splitlines())
+    hot = q.where("g = 'hot'").first()["p50"]
+    assert hot == 1498.5
