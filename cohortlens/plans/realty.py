@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions.common import round_half_up, safe_div
 from cohortlens.operators.quantiles import _null_safe_join, quantiles_from_counts
-from cohortlens.operators.scalar import with_scalars
 from cohortlens.operators.trim import trim_outliers
 
 # --- fixed values: the study's exposure buckets (inclusive day ranges);

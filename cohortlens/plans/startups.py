@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions.common import round_half_even, round_half_up, safe_div
-from cohortlens.operators.describe import box_stats, describe, iqr_bounds
+from cohortlens.operators.describe import box_stats, describe
 from cohortlens.operators.quantiles import quantiles
 from cohortlens.operators.scalar import with_scalars
 from cohortlens.sources.tables import normalize_headers
