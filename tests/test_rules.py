@@ -172,3 +172,26 @@ def test_profile_approx_matches_exact_counts(spark):
     ex = {r["column"]: (r["rows"], r["nulls"], r["distinct"]) for r in profile(df, "t").collect()}
     ap = {r["column"]: (r["rows"], r["nulls"], r["distinct"]) for r in profile(df, "t", approx_rsd=0.01).collect()}
     assert ex == ap == {"x": (4, 1, 2), "s": (4, 1, 2)}
+
+
+def test_topk_ties_resolve_by_key(spark):
+    from cohortlens.plans import delivery
+    cities = spark.createDataFrame([(1, "C")], "city_id int, city_name string")
+    sales = spark.createDataFrame(
+        [(i, dt.date(2024, 1, 2), rid, 1, 1, 100.0, 0.1) for i, rid in enumerate([30, 10, 20, 40])],
+        "order_id long, log_date date, rest_id long, object_id long, city_id int, revenue double, commission double")
+    partners = spark.createDataFrame([(r, 1, f"chain{r}", "cafe") for r in (10, 20, 30, 40)],
+                                     "rest_id long, city_id int, chain string, type string")
+    top = delivery.ltv_top_restaurants(sales, cities, partners, "C", "2024-01-01", "2024-01-31", k=3)
+    assert [r["rest_id"] for r in top.collect()] == [10, 20, 30]     # all tied at 10.0
+
+
+def test_zero_area_gives_null_price_per_sqm(spark):
+    flats = spark.createDataFrame(
+        [(i, 0.0 if i == 1 else float(i), None, None, None, 1, 0) for i in range(1, 301)],
+        "id long, total_area double, rooms int, balcony int, ceiling_height double, city_id int, is_apartment int")
+    ads = spark.createDataFrame([(i, dt.date(2020, 5, 1), 10, 1000.0) for i in range(1, 301)],
+                                "id long, first_day_exposition date, days_exposition int, last_price double")
+    cities = spark.createDataFrame([(1, "town")], "city_id int, city string")
+    m = realty.settlement_market(flats, ads, cities, "capital", min_ads=0).first()
+    assert m["total_ads"] > 0 and m["avg_price_per_sqm"] is not None   # the zero-area row adds null, not an error
