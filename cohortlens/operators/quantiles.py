@@ -20,8 +20,10 @@ Methods
    ``percentile_approx`` over the distinct values.  The bounds only balance
    the work, they do not affect the answer, and they are fixed once so every
    later use sees the same bounds even if a task is recomputed: a global
-   quantile fetches its (at most ``buckets - 1``) bounds as literals, grouped
-   bounds are checkpointed (reliable checkpoint in ``spark.checkpoint.dir``);
+   quantile fetches its (at most ``buckets - 1``) bounds as literals, so does
+   a caller that proves a small group count (``literal_groups``, e.g. one
+   group per column in ``column_quantiles``); other grouped bounds are
+   checkpointed (reliable checkpoint in ``spark.checkpoint.dir``);
 3. bucket totals -> running offsets per group (at most ``buckets`` rows per
    group);
 4. only the bucket holding each target rank is scanned with a running sum,
