@@ -86,17 +86,24 @@ def lifetime_events(events: DataFrame, participants: DataFrame, test: str, horiz
 
 
 def _buyers(events: DataFrame, participants: DataFrame, test: str, horizon_days: int | None) -> DataFrame:
-    rel = _relevant(participants, test)
+    """Users and distinct buyers per group, in one aggregate.
+
+    Buyers are the distinct users with a purchase (duplicate events cannot
+    change a distinct count, so the event log is not de-duplicated here);
+    they are left-joined to the test's (user, group) enrolments.
+    """
+    rel = _relevant(participants, test).select("user_id", "grp").distinct()
     if horizon_days is None:
         # As in the study: conversion uses all events of the participants.
-        ev = events.distinct().join(rel.select("user_id").distinct(), "user_id", "left_semi")
+        ev = events
     else:
         ev = lifetime_events(events, participants, test, horizon_days)
-    buyers = ev.where(F.col("event_name") == "purchase").select("user_id").distinct()
-    users = rel.groupBy("grp").agg(F.countDistinct("user_id").alias("users"))
-    b = (buyers.join(rel.select("user_id", "grp"), "user_id", "left")
-         .groupBy("grp").agg(F.countDistinct("user_id").alias("buyers")))
-    return users.join(b, "grp", "left").select("grp", "users", F.coalesce("buyers", F.lit(0)).alias("buyers"))
+    bought = (ev.where(F.col("event_name") == "purchase").select("user_id").distinct()
+              .withColumn("__bought", F.lit(True)))
+    j = rel.join(bought, "user_id", "left")
+    return j.groupBy("grp").agg(
+        F.countDistinct("user_id").alias("users"),
+        F.countDistinct(F.when(F.col("__bought"), F.col("user_id"))).alias("buyers"))
 
 
 def group_conversion(events: DataFrame, participants: DataFrame, test: str,
