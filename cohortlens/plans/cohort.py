@@ -43,11 +43,21 @@ def hours_histogram(df: DataFrame, group: str, value: str, bins: int = 30) -> Da
 
 # ---------------------------------------------------------------- participants / events
 def _relevant(participants: DataFrame, test: str) -> DataFrame:
-    p = participants.distinct()
-    multi = (p.groupBy("user_id").agg(F.countDistinct("ab_test").alias("k"))
-             .where(F.col("k") > 1).select("user_id"))
-    clean = p.join(multi, "user_id", "left_anti")
-    return clean.where(F.col("ab_test") == test)
+    """Distinct enrolments of users enrolled in exactly one test, for ``test``.
+
+    One aggregate per user: the set of the user's distinct (group, test)
+    enrolments - bounded per user by tests x groups and de-duplicated
+    map-side - replaces a full-row DISTINCT, a per-user distinct count and
+    an anti join.
+    """
+    per_user = participants.groupBy("user_id").agg(
+        F.collect_set(F.struct("grp", "ab_test")).alias("enrolments"))
+    tests = F.array_distinct(F.filter(F.transform("enrolments", lambda e: e["ab_test"]),
+                                      lambda t: t.isNotNull()))
+    rows = (per_user.where(F.size(tests) <= 1)
+            .select("user_id", F.explode("enrolments").alias("e"))
+            .select("user_id", "e.grp", "e.ab_test"))
+    return rows.where(F.col("ab_test") == test)
 
 
 def clean_participants(participants: DataFrame, test: str) -> DataFrame:
@@ -74,8 +84,10 @@ def lifetime_events(events: DataFrame, participants: DataFrame, test: str, horiz
     """
     ids = _relevant(participants, test).select("user_id").distinct()
     ev = events.distinct().join(ids, "user_id", "left_semi")
-    first = (ev.where(F.col("event_name") == "registration").groupBy("user_id")
-             .agg(F.min("event_dt").alias("registration_dt")))
+    # A minimum ignores duplicates: the registration branch reads the event
+    # log directly (pre-filtered to registrations) instead of the DISTINCT.
+    first = (events.where(F.col("event_name") == "registration").join(ids, "user_id", "left_semi")
+             .groupBy("user_id").agg(F.min("event_dt").alias("registration_dt")))
     x = ev.join(first, "user_id", "left").withColumn(
         "lifetime_days", floor_days("event_dt", "registration_dt"))
     cond = F.col("lifetime_days") < horizon_days
