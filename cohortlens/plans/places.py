@@ -120,20 +120,22 @@ def rating_by_price(places: DataFrame, dp: int = 4) -> DataFrame:
 
 
 def top_chains(places: DataFrame, k: int = 15, dp: int = 4) -> DataFrame:
-    """Chains with the most venues: count, mean rating, modal category."""
+    """Chains with the most venues: count, mean rating, modal category.
+
+    Two small aggregates, no join: (chain, category) counts and rating sums,
+    then per chain the totals and the modal category - most frequent, the
+    smallest category on ties (pandas ``mode()[0]``), null categories ignored.
+    """
     x = places.where((F.col("chain") == 1) & F.col("name").isNotNull())
-    g = x.groupBy("name").agg(F.count(F.lit(1)).alias("count"), F.avg("rating").alias("r"))
-    top = g.orderBy(F.col("count").desc(), F.col("name").asc()).limit(k)
-    # Modal category for the k winners only (k rows: broadcast is size-safe):
-    # count per (name, category), most frequent first, smallest category on
-    # ties (pandas ``mode()[0]``).
-    xs = x.join(F.broadcast(top.select("name")), "name", "left_semi")
-    mode = (xs.where(F.col("category").isNotNull()).groupBy("name", "category")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("name").agg(F.min_by("category", F.struct(-F.col("n"), F.col("category")))
-                                 .alias("category")))
-    return (top.join(mode, "name", "left")
-            .select("name", "count", round_half_up("r", dp).alias("avg_rating"), "category"))
+    per_cat = x.groupBy("name", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("rating").alias("s"), F.count("rating").alias("c"))
+    mode_key = F.when(F.col("category").isNotNull(), F.struct(-F.col("n"), F.col("category")))
+    per_chain = per_cat.groupBy("name").agg(
+        F.sum("n").alias("count"), safe_div(F.sum("s"), F.sum("c")).alias("r"),
+        F.min_by("category", mode_key).alias("category"))
+    top = per_chain.orderBy(F.col("count").desc(), F.col("name").asc()).limit(k)
+    return top.select("name", F.col("count").cast("long").alias("count"),
+                      round_half_up("r", dp).alias("avg_rating"), "category")
 
 
 def top_chain_categories(places: DataFrame, k: int = 15) -> DataFrame:
