@@ -22,19 +22,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions.common import round_half_up
-from cohortlens.operators.scalar import with_scalars
 
 
 def _binned(df: DataFrame, cols: Sequence[str], interval_cols: Sequence[str], bins: int) -> DataFrame:
     iv = [c for c in cols if c in set(interval_cols)]
+    bounds = {}
     if iv:
-        rng = df.agg(*[F.min(F.col(c).cast("double")).alias(f"__lo_{c}") for c in iv],
-                     *[F.max(F.col(c).cast("double")).alias(f"__hi_{c}") for c in iv])
-        df = with_scalars(df, rng)
+        # Two numbers per interval column: fetched once as literals (bounded).
+        r = df.agg(*[F.min(F.col(c).cast("double")).alias(f"__lo_{c}") for c in iv],
+                   *[F.max(F.col(c).cast("double")).alias(f"__hi_{c}") for c in iv]).first()
+        bounds = {c: (F.lit(r[f"__lo_{c}"]).cast("double"), F.lit(r[f"__hi_{c}"]).cast("double")) for c in iv}
     out = []
     for c in cols:
         if c in iv:
-            lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
+            lo, hi = bounds[c]
             v = F.col(c).cast("double")
             b = F.when(hi == lo, F.lit(0)).otherwise(
                 F.least(F.floor((v - lo) / ((hi - lo) / float(bins))), F.lit(bins - 1)))

@@ -81,6 +81,13 @@ def density_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: i
     for k in by:
         x = x.where(F.col(k).isNotNull())
     rng = x.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
+    if not by:
+        # Global histogram: three numbers, fetched once and used as literals
+        # (bounded), so the input is not re-evaluated for the bin grid.
+        r = rng.first()
+        rng = x.sparkSession.range(1).select(F.lit(r["lo"]).cast("double").alias("lo"),
+                                             F.lit(r["hi"]).cast("double").alias("hi"),
+                                             F.lit(r["n"]).cast("long").alias("n"))
     width = (F.col("hi") - F.col("lo")) / float(bins)
     j = _null_safe_join(x, rng, by)
     idx = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
