@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing
+from . import bpe, packing, sharding, urls
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -24,9 +24,45 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), 8).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.rules(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP9_SQL = r"""
+WITH rules(rhost, rpath, rverdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+parts AS (
+  SELECT page_id, url, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, rest, length(regexp_extract(rest, '^[^/?#]*')) AS n FROM parts),
+named AS (
+  SELECT page_id, translate(left(rest, n), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, n + 1), '^[^?#]*') AS path FROM split),
+numbered AS (SELECT *, row_number() OVER () AS k FROM named),
+hits AS (
+  SELECT k, rhost || rpath AS rule, rverdict, row_number() OVER (PARTITION BY k ORDER BY length(rhost || rpath) DESC) AS place
+  FROM numbered JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict
+FROM numbered LEFT JOIN (SELECT * FROM hits WHERE place = 1) USING (k)
+"""
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_bpe": op5_bpe,
+    "op8_sharding": op8_sharding,
+    "op9_urls": op9_urls,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_urls": OP9_SQL,
+}
