@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing, sharding, urls
+from . import bpe, dedup, packing, sharding, urls
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -56,13 +56,29 @@ FROM numbered LEFT JOIN (SELECT * FROM hits WHERE place = 1) USING (k)
 """
 
 
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup.deduplicate(table(spark, sf_dir, "documents")).decisions()
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP10_SQL = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+       count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+"""
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_bpe": op5_bpe,
     "op8_sharding": op8_sharding,
     "op9_urls": op9_urls,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op9_urls": OP9_SQL,
+    "op10_exact_dedup": OP10_SQL,
 }
