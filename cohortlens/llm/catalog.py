@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, dedup, packing, sharding, urls
-from .common import table
+from . import bpe, dedup, packing, quality, sharding, urls
+from .common import materialize, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -17,6 +17,72 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset", "cut")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    measured = materialize(quality.measure(docs).drop("text"), "quality")
+    cutoffs = quality.thresholds(measured, table(spark, sf_dir, "labels"), quality.language())
+    return quality.judge(measured, cutoffs, quality.language()).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS text FROM documents),
+cut_up AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+windows AS (
+  SELECT k, i, array_to_string(words[i:i + 7], ' ') AS w
+  FROM (SELECT k, words, unnest(range(1, len(words) - 6)) AS i FROM cut_up WHERE len(words) >= 8)),
+twice AS (SELECT k, i FROM windows QUALIFY count(*) OVER (PARTITION BY k, w) > 1),
+covered AS (
+  SELECT k, sum(least(step, 8)) AS n_repeat_words
+  FROM (SELECT k, coalesce(i - lag(i) OVER (PARTITION BY k ORDER BY i), 8) AS step FROM twice) GROUP BY k),
+counted AS (
+  SELECT k, doc_id, stratum, len(words) AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+         len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals,
+         length(text) - length(translate(text, '!', '')) AS n_exclamations,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM cut_up LEFT JOIN covered USING (k)),
+based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted),
+rated AS (
+  SELECT k, doc_id, stratum, base_failed, unnest([
+    {'rule': 'symbols', 'rate': coalesce(1000 * n_symbols // nullif(word_chars, 0), 0)},
+    {'rule': 'repeated_words', 'rate': coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0)},
+    {'rule': 'repeated_lines', 'rate': coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0)},
+    {'rule': 'capitals', 'rate': coalesce(1000 * n_capitals // nullif(word_chars, 0), 0)},
+    {'rule': 'exclamations', 'rate': coalesce(1000 * n_exclamations // nullif(n_words, 0), 0)}], recursive := true)
+  FROM based),
+capped AS (SELECT k, doc_id, stratum, base_failed, rule, least(rate, 1000) AS rate FROM rated),
+truth AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+tallied AS (
+  SELECT stratum, rule, rate, count(*) FILTER (good = 1) AS good, count(*) FILTER (good = 0) AS bad
+  FROM capped JOIN truth USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+summed AS (
+  SELECT stratum, rule, rate, sum(good) OVER (PARTITION BY stratum, rule) AS n_good,
+         sum(good) OVER (PARTITION BY stratum, rule ORDER BY rate DESC) AS good_rejected,
+         sum(bad) OVER (PARTITION BY stratum, rule ORDER BY rate DESC) AS bad_rejected FROM tallied),
+sizes AS (SELECT stratum, max(n_good)::BIGINT AS n FROM summed GROUP BY stratum),
+tests AS (SELECT count(*) * 5 AS m FROM sizes),
+tails AS (
+  SELECT stratum, j, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.004) + (n - j) * ln(0.996)))
+           OVER (PARTITION BY stratum ORDER BY j) AS p
+  FROM (SELECT stratum, n, unnest(range(0, floor(n * 0.004)::BIGINT + 1)) AS j FROM sizes)),
+limits AS (SELECT stratum, max(j) AS most FROM tails, tests WHERE p <= 0.05 / m GROUP BY stratum),
+cutoffs AS (
+  SELECT stratum, rule, rate AS reject_from FROM summed JOIN limits USING (stratum)
+  WHERE rate > 0 AND good_rejected <= most AND bad_rejected - 20 * good_rejected > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad_rejected - 20 * good_rejected DESC, rate DESC) = 1),
+rejected AS (SELECT DISTINCT k FROM capped JOIN cutoffs USING (stratum, rule) WHERE rate >= reject_from)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND k NOT IN (SELECT k FROM rejected) AS kept
+FROM based
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -72,6 +138,7 @@ FROM documents
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_quality": op3_quality,
     "op5_bpe": op5_bpe,
     "op8_sharding": op8_sharding,
     "op9_urls": op9_urls,
@@ -79,6 +146,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_quality": OP3_SQL,
     "op9_urls": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
