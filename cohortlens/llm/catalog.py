@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, dedup, packing, quality, sharding, urls
+from . import bpe, dedup, packing, quality, sharding, token_counts, urls
 from .common import materialize, table
 
 BYTE_BPE = "byte_bpe_50k.json"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 8).withColumn("grown_shard", F.lit(None).cast("int"))
 
@@ -140,6 +146,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op3_quality": op3_quality,
     "op5_bpe": op5_bpe,
+    "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
     "op9_urls": op9_urls,
     "op10_exact_dedup": op10_exact_dedup,
