@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, dedup, packing, quality, sharding, token_counts, urls
-from .common import materialize, table
+from . import bpe, dedup, packing, quality, sharding, token_counts, toxicity, urls
+from .common import crc_remainder, materialize, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -84,6 +84,14 @@ FROM based
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_remainder("doc_id", 4) == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "offending")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -145,6 +153,7 @@ FROM documents
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
