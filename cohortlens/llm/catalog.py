@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, dedup, packing, quality, sharding, token_counts, toxicity, urls
+from . import bpe, dedup, langid, packing, quality, sharding, token_counts, toxicity, urls
 from .common import crc_remainder, materialize, table
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 WORD_BPE = "word_bpe_49k.json"
 
 
@@ -99,6 +100,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_remainder("doc_id", 5) == 0
+    model = langid.train(docs, ~held_out, public_tokenizers.path(PIECES))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -155,6 +163,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
+    "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
     "op9_urls": op9_urls,
