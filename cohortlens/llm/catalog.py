@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, dedup, langid, packing, quality, sharding, token_counts, toxicity, urls
+from . import bpe, dedup, jaccard, langid, packing, quality, sharding, token_counts, toxicity, urls
 from .common import crc_remainder, materialize, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset", "cut")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     measured = materialize(quality.measure(docs).drop("text"), "quality")
@@ -160,6 +164,7 @@ FROM documents
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,

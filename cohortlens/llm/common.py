@@ -14,6 +14,8 @@ from cohortlens.session import ensure_checkpoint_dir
 # expressions means (fixed values).
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
+BITMAP_BITS = 1 << 25
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -35,6 +37,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def maybe_among(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` plus ``__hit``, which is false only where the keys are not among those of ``listed``.
+
+    A one-hash Bloom filter: ``listed`` sets bits in a bitmap of ``BITMAP_BITS``
+    bits, which is broadcast (1,024 rows of 4 KB, whatever the input), so the
+    rest of ``rows`` can skip the shuffle of an exact join.
+    """
+    at = F.pmod(F.xxhash64(*keys), F.lit(BITMAP_BITS)) + F.lit(1)
+    bitmap = listed.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+    joined = rows.withColumn("__bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "__bucket", "left")
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    value = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return joined.withColumn("__hit", F.coalesce(value, F.lit(False))).drop("__bucket", "__bits")
+
+
 def crc_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (null id: null)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus

@@ -10,7 +10,7 @@ of its rows are compared with those of the row that stays, and rows that
 differ under one digest are grouped again by their bytes.
 
 Only rows whose digest may have been hit are shuffled with their texts: a
-bitmap of hit digests (at most ``BITMAP_BITS`` bits, broadcast) lets all others
+bitmap of hit digests (bounded, broadcast) lets all others
 pass in the scan.
 """
 
@@ -22,11 +22,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialize, shared_path
+from .common import materialize, maybe_among, shared_path
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-BITMAP_BITS = 1 << 25  # 4 MB
-BUCKET_BITS = 32_768  # bits in one value of bitmap_construct_agg
 
 
 def sha256(text: Column) -> Column:
@@ -73,24 +71,6 @@ def _state(spark: SparkSession, rows_path: str, schema: StructType, state_path:
                 spark.conf.set(k, v)
 
 
-def _place(digest: str) -> Column:
-    """1 .. BITMAP_BITS for a digest."""
-    return F.pmod(F.xxhash64(digest), F.lit(BITMAP_BITS)) + F.lit(1)
-
-
-def _maybe_hit(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """``rows`` (with ``digest``) plus ``__hit``: false only where the digest isn't among ``hits``."""
-    at = _place("digest")
-    bitmap = hits.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
-    # at most BITMAP_BITS / BUCKET_BITS rows of 4 KB
-    joined = rows.withColumn("__bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "__bucket", "left")
-    bit = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring("__bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    value = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return joined.withColumn("__hit", F.coalesce(value, F.lit(False))).drop("__bucket", "__bits")
-
-
 class Result:
     """Decisions on every row; see ``deduplicate``."""
 
@@ -111,7 +91,7 @@ class Result:
 
     def _check_bytes(self) -> DataFrame | None:
         """Classes by full bytes of digests whose rows are not all equal; None if there are none."""
-        of_hits = _maybe_hit(self.docs.select("digest", "__text", "__file", "__row"), self.hits).where("__hit").drop("__hit")
+        of_hits = maybe_among(self.docs.select("digest", "__text", "__file", "__row"), self.hits, ["digest"]).where("__hit").drop("__hit")
         stays = of_hits.join(self.hits.select("digest", "keep"), "digest").where(
             "__file = keep.file AND __row = keep.row").select("digest", F.col("__text").alias("__kept"))
         differ = of_hits.join(stays, "digest").where(~F.col("__text").eqNullSafe(F.col("__kept"))).select("digest")
@@ -140,7 +120,7 @@ class Result:
 
     def kept(self) -> DataFrame:
         """The input rows that stay, all columns as they were."""
-        marked = _maybe_hit(self.docs, self.hits)
+        marked = maybe_among(self.docs, self.hits, ["digest"])
         alone = marked.where(~F.col("__hit")).select(*self.columns)
         tried = marked.where("__hit").join(self.hits.select("digest", "keep"), "digest", "left")
         if self.odd is not None:
