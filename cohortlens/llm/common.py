@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortlens.session import ensure_checkpoint_dir
@@ -37,6 +38,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__file`` and ``__row``, the place of each row's content.
+
+    Rows that don't come straight from files are written to the shared folder first.
+    """
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    try:
+        return docs.select("*", *place)
+    except AnalysisException as e:
+        if not (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+            raise
+    return materialize(docs, "located").select("*", *place)
+
+
 def maybe_among(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` plus ``__hit``, which is false only where the keys are not among those of ``listed``.
 

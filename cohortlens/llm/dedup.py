@@ -18,11 +18,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialize, maybe_among, shared_path
+from .common import located, materialize, maybe_among, shared_path
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,20 +30,6 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__file`` and ``__row``, the place of each row's content.
-
-    Rows that don't come straight from files are written to the shared folder first.
-    """
-    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
-    try:
-        return docs.select("*", *place)
-    except AnalysisException as e:
-        if not (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
-            raise
-    return materialize(docs, "dedup-content").select("*", *place)
-
-
 def _state(spark: SparkSession, rows_path: str, schema: StructType, state_path: str) -> DataFrame:
     """Stream what is new in ``rows_path`` into the state; (digest, keep, n) of the whole state."""
     settings = {"spark.sql.streaming.stateStore.providerClass": PROVIDER,
@@ -78,10 +63,10 @@ class Result:
                  state_dir: str | None):
         spark = docs.sparkSession
         self.id_col = id_col
-        self.columns = docs.columns
         text = F.coalesce(F.col(text_col), F.lit(""))
-        self.docs = located(docs).withColumns({"digest": digest(text), "__text": text})
-        slim = self.docs.select("digest", F.col(id_col).alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row"))
+        self.docs = located(docs).select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), text.alias("text"),
+                                         digest(text).alias("digest"), F.col("__file").alias("file"), F.col("__row").alias("row"))
+        slim = self.docs.select("digest", "id", "file", "row")
         root = state_dir or shared_path(spark, "dedup")
         slim.write.mode("append").parquet(f"{root}/rows")
         self.rows = spark.read.schema(slim.schema).parquet(f"{root}/rows")
@@ -91,29 +76,23 @@ class Result:
 
     def _check_bytes(self) -> DataFrame | None:
         """Classes by full bytes of digests whose rows are not all equal; None if there are none."""
-        of_hits = maybe_among(self.docs.select("digest", "__text", "__file", "__row"), self.hits, ["digest"]).where("__hit").drop("__hit")
+        of_hits = maybe_among(self.docs.select("digest", "text", "file", "row"), self.hits, ["digest"]).where("__hit").drop("__hit")
         stays = of_hits.join(self.hits.select("digest", "keep"), "digest").where(
-            "__file = keep.file AND __row = keep.row").select("digest", F.col("__text").alias("__kept"))
-        differ = of_hits.join(stays, "digest").where(~F.col("__text").eqNullSafe(F.col("__kept"))).select("digest")
+            "file = keep.file AND row = keep.row").select("digest", F.col("text").alias("kept"))
+        differ = of_hits.join(stays, "digest").where(F.col("text") != F.col("kept")).select("digest")
         odd = materialize(differ.distinct(), "dedup-odd")
         if odd.isEmpty():
             return None
-        full = self.docs.join(odd, "digest").groupBy("digest", "__text")
-        return full.agg(F.max(F.struct(F.col(self.id_col).alias("id"), F.col("__file").alias("file"),
-                                       F.col("__row").alias("row"))).alias("keep"), F.count(F.lit(1)).alias("n"))
-
-    def _classes(self) -> DataFrame:
-        """(digest, keep, n) by row place for rows of odd digests."""
-        classes = self.odd.select("digest", "__text", F.col("keep").alias("__keep"), F.col("n").alias("__n"))
-        return self.docs.select("digest", "__text", F.col("__file").alias("file"), F.col("__row").alias("row")).join(
-            classes, ["digest", "__text"]).select("file", "row", "__keep", "__n")
+        return self.docs.join(odd, "digest").groupBy("digest", "text").agg(
+            F.max(F.struct("id", "file", "row")).alias("odd_keep"), F.count(F.lit(1)).alias("odd_n"))
 
     def decisions(self) -> DataFrame:
         """(id, keep_id, group_size, kept, digest) of every row, dropped ones too."""
         out = self.rows.join(self.state, "digest")
         if self.odd is not None:
-            out = out.join(self._classes(), ["file", "row"], "left").withColumns(
-                {"keep": F.coalesce("__keep", "keep"), "n": F.coalesce("__n", "n")})
+            places = self.docs.select("digest", "text", "file", "row").join(self.odd, ["digest", "text"])
+            out = out.join(places.select("file", "row", "odd_keep", "odd_n"), ["file", "row"], "left").withColumns(
+                {"keep": F.coalesce("odd_keep", "keep"), "n": F.coalesce("odd_n", "n")})
         kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
         return out.select(F.col("id").alias(self.id_col), F.col("keep.id").alias("keep_id"),
                           F.col("n").alias("group_size"), kept.alias("kept"), "digest")
@@ -121,13 +100,12 @@ class Result:
     def kept(self) -> DataFrame:
         """The input rows that stay, all columns as they were."""
         marked = maybe_among(self.docs, self.hits, ["digest"])
-        alone = marked.where(~F.col("__hit")).select(*self.columns)
+        alone = marked.where(~F.col("__hit")).select("doc.*")
         tried = marked.where("__hit").join(self.hits.select("digest", "keep"), "digest", "left")
         if self.odd is not None:
-            classes = self.odd.select("digest", "__text", F.col("keep").alias("__keep"))
-            tried = tried.join(classes, ["digest", "__text"], "left").withColumn("keep", F.coalesce("__keep", "keep"))
-        stays = F.col("keep").isNull() | ((F.col("__file") == F.col("keep.file")) & (F.col("__row") == F.col("keep.row")))
-        return alone.unionByName(tried.where(stays).select(*self.columns))
+            tried = tried.join(self.odd, ["digest", "text"], "left").withColumn("keep", F.coalesce("odd_keep", "keep"))
+        stays = F.col("keep").isNull() | ((F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row")))
+        return alone.unionByName(tried.where(stays).select("doc.*"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -136,8 +114,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text counts as empty.  A null id comes after all others; of
     repeated rows with one id the last by file and row stays, so exactly one
-    row of each group does.  An empty table gives no rows.  Columns that begin with
-    two underscores, ``digest`` and ``keep`` are reserved.
+    row of each group does.  An empty table gives no rows.  Further columns may
+    have any name but ``__file`` and ``__row``.
 
     With ``state_dir`` (a shared folder) the state is kept there: a later
     call with more rows continues it, and ``decisions`` covers all rows so

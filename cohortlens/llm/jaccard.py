@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, maybe_among, text_slices
+from .common import located, materialize, maybe_among, text_slices
 
 NGRAM = 5
 TREES = 20
@@ -154,24 +154,31 @@ def compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
                          "links": counted.sum(1)[keep], "bins": pd.Series(bins[keep].tolist(), dtype=object)})
 
 
-def represent(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, digest, doc, copies, n, sig): one row per distinct text, written to the shared folder."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, id, text, digest, file, row): ``docs`` with names that can't clash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col).alias("doc"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    return located(docs).select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), text.alias("text"),
+                                F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
+                                F.col("__file").alias("file"), F.col("__row").alias("row"))
 
+
+def represent(rows: DataFrame) -> DataFrame:
+    """(rid, digest, id, file, row, copies, n, sig): the first row of each distinct text, in the shared folder."""
     def run(batches: Iterator[pa.RecordBatch]):
         for part, texts in text_slices(batches, "text"):
             sets = text_shingles(texts)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array([len(x) for x in sets], pa.int64()),
-                 pa.array([signature(x).astype("<u4").tobytes() for x in sets], pa.binary())], ["doc", "digest", "n", "sig"])
+                [*part.columns[:4], pa.array([len(x) for x in sets], pa.int64()),
+                 pa.array([signature(x).astype("<u4").tobytes() for x in sets], pa.binary())],
+                ["id", "digest", "file", "row", "n", "sig"])
 
-    kind = slim.schema["doc"].dataType.simpleString()
-    signed = slim.mapInArrow(run, f"doc {kind}, digest binary, n long, sig binary")
-    one = signed.groupBy("digest").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "n", "sig")).alias("r"),
-                                       F.count(F.lit(1)).alias("copies"))
-    return materialize(one.select(F.monotonically_increasing_id().alias("rid"), "digest", "r.doc", "copies", "r.n", "r.sig"),
-                       "jaccard-texts")
+    kind = rows.schema["id"].dataType.simpleString()
+    signed = rows.select("id", "digest", "file", "row", "text").mapInArrow(
+        run, f"id {kind}, digest binary, file string, row long, n long, sig binary")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "file", "row", "n", "sig"))
+    one = signed.groupBy("digest").agg(first.alias("r"), F.count(F.lit(1)).alias("copies"))
+    return materialize(one.select(F.monotonically_increasing_id().alias("rid"), "digest", "copies", "r.id", "r.file",
+                                  "r.row", "r.n", "r.sig"), "jaccard-texts")
 
 
 def _hubs(texts: DataFrame, depth: int) -> DataFrame:
@@ -184,15 +191,12 @@ def _hubs(texts: DataFrame, depth: int) -> DataFrame:
     return nodes.join(shared, "node").groupBy("rid").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))
 
 
-def _links(docs: DataFrame, texts: DataFrame, depth: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def _links(rows: DataFrame, texts: DataFrame, depth: int, threshold: float) -> DataFrame:
     """(rid, label, links, bins) of all texts linked with one that shares a trie node at ``depth``."""
-    members = materialize(_hubs(texts, depth).join(texts.select("rid", "digest", F.col("doc").alias("__doc")), "rid"),
-                          "jaccard-members")
-    # Texts of members only: one row per distinct text.
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.col(id_col).alias("doc"))
-    marked = maybe_among(source, members.select("digest", F.col("__doc").alias("doc")), ["digest", "doc"])
-    with_text = marked.where("__hit").join(members, "digest").where(F.col("doc").eqNullSafe(F.col("__doc"))).select(
+    members = materialize(_hubs(texts, depth).join(texts.select("rid", "file", "row"), "rid"), "jaccard-members")
+    places = members.select("rid", "hubs", F.col("file").alias("at_file"), F.col("row").alias("at_row"))
+    marked = maybe_among(rows.select("text", "file", "row"), members, ["file", "row"]).where("__hit")
+    with_text = marked.join(places, (F.col("file") == F.col("at_file")) & (F.col("row") == F.col("at_row"))).select(
         "rid", "hubs", "text")
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -238,23 +242,18 @@ def close_groups(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-                    target: float = TARGET) -> DataFrame:
-    """(id, class_id, copies, n_links, text_class) of every row.
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
+             target: float = TARGET) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` and (digest, label, keep, members, copies, n_links, text_class) of every distinct text.
 
-    ``class_id`` is the least id among all rows whose texts hang together by
-    links or are equal, ``text_class`` the least id of equal texts, ``copies``
-    their number, and ``n_links`` the number of other texts with a Jaccard
-    similarity of at least ``threshold``.  Words are runs of letters, digits
-    and underscores, in lower case.  A text without words, null included, is linked with none
-    but is in one class with its equals.  Null ids come after all others (a class of
-    null ids only has a null class_id); repeated rows are copies.
+    ``keep`` is the row that stands for the class: the least id, then file and row.
     """
-    texts = represent(docs, id_col, text_col)
+    rows = _rows(docs, id_col, text_col)
+    texts = represent(rows)
     middles = threshold + (np.arange(BINS) + 0.5) / BINS * (1 - threshold)
     depth = DEPTH
     while True:
-        links = _links(docs, texts, depth, threshold, id_col, text_col)
+        links = _links(rows, texts, depth, threshold)
         row = links.agg(*[F.coalesce(F.sum(F.col("bins")[i]), F.lit(0)).alias(f"b{i}") for i in range(BINS)]).first()
         shorter = next_depth(np.array(row, float), middles, depth, target)
         if shorter == depth:
@@ -262,10 +261,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         depth = shorter
     groups = close_groups(links.select(F.col("rid").alias("a"), F.col("label").alias("b")))
     counts = links.groupBy("rid").agg(F.sum("links").alias("n_links"))
-    classed = texts.select("rid", "digest", "doc", "copies").join(groups, "rid", "left").join(counts, "rid", "left").select(
-        "digest", "doc", "copies", F.coalesce("label", "rid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classed = texts.select("rid", "digest", "id", "file", "row", "copies").join(groups, "rid", "left").join(
+        counts, "rid", "left").select("digest", "id", "file", "row", "copies", F.coalesce("label", "rid").alias("label"),
+                                      F.coalesce("n_links", F.lit(0)).alias("n_links"))
     classed = materialize(classed, "jaccard-classes")
-    names = classed.groupBy("label").agg(F.min("doc").alias("class_id"))
-    by_text = classed.join(names, "label").select("digest", "class_id", F.col("doc").alias("text_class"), "copies", "n_links")
-    rows = docs.select(F.col(id_col), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).alias("digest"))
-    return rows.join(by_text, "digest").select(id_col, "class_id", "copies", "n_links", "text_class")
+    names = classed.groupBy("label").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "file", "row")).alias("keep"), F.sum("copies").alias("members"))
+    return rows, classed.join(names, "label").select("digest", "label", "keep", "members", "copies", "n_links",
+                                                     F.col("id").alias("text_class"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
+                    target: float = TARGET) -> DataFrame:
+    """(id, class_id, copies, n_links, text_class) of every row.
+
+    ``class_id`` is the least id among all rows whose texts hang together by
+    links or are equal, ``text_class`` the least id of equal texts, ``copies``
+    their number, and ``n_links`` the number of other texts with a Jaccard
+    similarity of at least ``threshold``.  Words are runs of letters, digits
+    and underscores, in lower case; a text of fewer than five words is one
+    shingle.  A text without words, null included, is linked with none but is
+    in one class with its equals.  Null ids come after all others (a class of
+    null ids only has a null class_id); repeated rows are copies; an empty
+    table gives no rows.
+    """
+    rows, texts = classify(docs, id_col, text_col, threshold, target)
+    return rows.select(F.col("id").alias(id_col), "digest").join(texts, "digest").select(
+        id_col, F.col("keep.id").alias("class_id"), "copies", "n_links", "text_class")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stand for their class, all columns as they were."""
+    rows, texts = classify(docs, id_col, text_col, threshold)
+    several = texts.where("members > 1").select("digest", "keep")
+    marked = maybe_among(rows, several, ["digest"])
+    alone = marked.where(~F.col("__hit")).select("doc.*")
+    tried = marked.where("__hit").join(several, "digest", "left").where(
+        "keep IS NULL OR (file = keep.file AND row = keep.row)").select("doc.*")
+    return alone.unionByName(tried)

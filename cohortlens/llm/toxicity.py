@@ -160,17 +160,18 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     return fit([r["__t"] for r in rows], toxic, importance)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", sentence_threshold: float = 0.1) -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", sentence_threshold: float = 0.1,
+          score_col: str = "score", offending_col: str = "offending") -> DataFrame:
     """``docs`` with ``score`` and ``offending``: (start, end, score) of sentences at or over the threshold.
 
     Positions are in code points.  A null text counts as empty and gets the
     score of a sentence without words.  Columns of ``docs`` with the two names
     are replaced; repeated rows stay.
     """
-    kept = [c for c in docs.columns if c not in ("score", "offending")]
+    kept = [c for c in docs.columns if c not in (score_col, offending_col)]
     frame = docs.select(*kept)
     span = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("score", DoubleType())])
-    schema = StructType([*frame.schema.fields, StructField("score", DoubleType()), StructField("offending", ArrayType(span))])
+    schema = StructType([*frame.schema.fields, StructField(score_col, DoubleType()), StructField(offending_col, ArrayType(span))])
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
@@ -178,6 +179,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", sentence_thresh
             got = [model.score(t) for t in texts]
             bad = [[{"start": a, "end": b, "score": p} for a, b, p in s if p >= sentence_threshold] for _, s in got]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in got], pa.float64()), pa.array(bad, spans)],
-                                             [*kept, "score", "offending"])
+                                             [*kept, score_col, offending_col])
 
     return frame.mapInArrow(run, schema)
