@@ -34,6 +34,7 @@ def _state(spark: SparkSession, rows_path: str, schema: StructType, state_path:
     """Stream what is new in ``rows_path`` into the state; (digest, keep, n) of the whole state."""
     settings = {"spark.sql.streaming.stateStore.providerClass": PROVIDER,
                 "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+                "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
                 "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
                 "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200"}
     before = {k: spark.conf.get(k, None) for k in settings}
