@@ -69,6 +69,18 @@ def maybe_among(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFram
     return joined.withColumn("__hit", F.coalesce(value, F.lit(False))).drop("__bucket", "__bits")
 
 
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` (from ``located``) less the rows whose ``__file`` and ``__row`` are in ``dropped``.
+
+    Only rows that may be dropped are shuffled.
+    """
+    columns = [c for c in docs.columns if c not in ("__file", "__row")]
+    rows = docs.select(F.struct(*columns).alias("doc"), "__file", "__row")
+    marked = maybe_among(rows, dropped, ["__file", "__row"])
+    stay = marked.where("__hit").join(dropped.select("__file", "__row"), ["__file", "__row"], "left_anti")
+    return marked.where(~F.col("__hit")).select("doc.*").unionByName(stay.select("doc.*"))
+
+
 def crc_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (null id: null)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm import dedup, jaccard, packing, quality, toxicity
-from cohortlens.llm.common import crc_remainder, materialize, table
+from cohortlens.llm.common import crc_remainder, located, materialize, table, without_rows
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +18,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text has no words and fails the base rules.
     """
-    lang = F.col("__lang")
-    slim = docs.select("doc_id", quality.language().alias("__lang"), "text")
+    rows, lang = located(docs), F.col("lang")
+    slim = rows.select("__file", "__row", "doc_id", quality.language().alias("lang"), "text")
     measured = materialize(quality.measure(slim).drop("text"), "quality")
     cutoffs = quality.thresholds(measured, table(spark, sf_dir, "labels"), lang)
-    whole = docs.select(F.struct(*docs.columns).alias("__doc"), quality.language().alias("__lang"), "text")
-    return quality.judge(quality.measure(whole), cutoffs, lang).where("kept").select("__doc.*")
+    rejected = quality.judge(measured, cutoffs, lang).where("NOT kept").select("__file", "__row")
+    return without_rows(rows, materialize(rejected, "quality-rejected"))
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
