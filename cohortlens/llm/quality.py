@@ -81,7 +81,10 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
                           lambda a: a["n"])
     out = out.withColumn("n_repeat_words", F.coalesce(F.when(F.col("__r"), covered), F.lit(0).cast("long")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.select(*kept, *MADE[:-1], failed.alias("base_failed"))
+    # One struct through explode: a filter on the results stays above it and
+    # doesn't copy the nested expressions into itself.
+    made = F.explode(F.array(F.struct(*MADE[:-1], failed.alias("base_failed"))))
+    return out.select(*kept, made.alias("__made")).select(*kept, "__made.*")
 
 
 def rates() -> Column:
