@@ -32,20 +32,33 @@ def floor_days(later, earlier) -> Column:
     return F.floor(micros / F.lit(86_400_000_000)).cast("long")
 
 
-def _snap(x) -> Column:
-    # Snap to 12 significant digits (as an exact decimal) before rounding.
-    # Sums and means of decimal data that should sit exactly on a half
-    # (e.g. 277502.40875) land a few ulps either side of it depending on the
-    # summation order; snapping restores the decimal value, so the half
-    # rounds as SQL NUMERIC does whatever the order of the partial sums.
-    return F.format_string("%.11e", _c(x).cast("double")).try_cast("decimal(38,12)")
+def exact_sum(x) -> Column:
+    """Sum of money, hours and other decimal data held as doubles.
+
+    Summed as decimals (six places), so the result does not depend on the
+    order of the partial sums and a value that sits on a half stays there.
+    """
+    return F.sum(_c(x).cast("decimal(28,6)"))
+
+
+def exact_avg(x) -> Column:
+    """``exact_sum`` over the number of non-null values, as a double."""
+    return safe_div(exact_sum(x), F.count(_c(x)))
+
+
+def _rounded(rounding, x, dp: int) -> Column:
+    # A double is rounded by its shortest decimal form; beyond 10^26 it has no
+    # decimal places left to round.
+    x = _c(x)
+    exact = rounding(x.try_cast("decimal(38,12)"), dp).cast("double")
+    return F.coalesce(exact, x.cast("double"))
 
 
 def round_half_up(x, dp: int) -> Column:
     """SQL ``ROUND(x::numeric, dp)``: half away from zero, result double."""
-    return F.round(_snap(x), dp).cast("double")
+    return _rounded(F.round, x, dp)
 
 
 def round_half_even(x, dp: int) -> Column:
     """pandas ``Series.round(dp)``: banker's rounding, result double."""
-    return F.bround(_snap(x), dp).cast("double")
+    return _rounded(F.bround, x, dp)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.functions.common import round_half_up, safe_div
+from cohortlens.functions.common import exact_avg, round_half_up, safe_div
 from cohortlens.operators.quantiles import _null_safe_join, quantiles
 
 
@@ -22,7 +22,7 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (), dp: int = 4,
     x = df
     for k in by:
         x = x.where(F.col(k).isNotNull())
-    agg = x.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"),
+    agg = x.groupBy(*by).agg(F.count(value).alias("count"), exact_avg(value).alias("mean"),
                              F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
                              F.max(value).alias("max"))
     q = quantiles(x, value, {"p25": .25, "p50": .5, "p75": .75}, by, kind="cont", method=method)

@@ -46,7 +46,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.session import try_checkpoint
+from cohortlens.session import checkpoint
 from cohortlens.operators.scalar import with_scalars
 
 
@@ -106,9 +106,7 @@ def quantiles(df: DataFrame, value: str | Column, probs, by: Sequence[str] = (),
         return _from_value_counts(vc, pm, by, kind, out_type)
     # Both remaining passes (bounds, ranks) read the value counts: materialise
     # them once (reliable checkpoint) instead of re-evaluating the input.
-    ck = try_checkpoint(vc)
-    if ck is not None:
-        vc = ck
+    vc = checkpoint(vc)
     fr = [i / buckets for i in range(1, buckets)]
     approx = vc.groupBy(*by).agg(F.percentile_approx(F.col("__v").cast("double"), fr, accuracy).alias("__bnd"))
     v = F.col("__v").cast("double")
@@ -134,9 +132,7 @@ def quantiles(df: DataFrame, value: str | Column, probs, by: Sequence[str] = (),
     else:
         # Grouped: one bound array per group, checkpointed (reliable) so a
         # recomputed task cannot see different bounds; joined on the group key.
-        bounds = try_checkpoint(approx)
-        if bounds is None:
-            return _from_value_counts(vc, pm, by, kind, out_type)
+        bounds = checkpoint(approx)
         bk = _null_safe_join(vc, bounds, by).select(
             *by, "__v", "__c", F.size(F.filter("__bnd", lambda x: x < v)).alias("__b"))
     tot = bk.groupBy(*by, "__b").agg(F.sum("__c").alias("__nb"))

@@ -11,7 +11,7 @@ from cohortlens.operators.scalar import with_scalars
 
 
 def value_share(df: DataFrame, col: str, where: Column | None = None, dp: int = 2,
-                count_col: str = "count", pct_col: str = "pct") -> DataFrame:
+                count_col: str = "count", pct_col: str = "pct", rounding=round_half_up) -> DataFrame:
     """Counts of each non-null value and its percentage of the non-null total."""
     x = df if where is None else df.where(where)
     g = x.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(
@@ -19,7 +19,7 @@ def value_share(df: DataFrame, col: str, where: Column | None = None, dp: int =
     # The total is a one-row aggregate attached as a scalar subquery.
     tot = g.agg(F.sum(count_col).alias("__t"))
     return (with_scalars(g, tot)
-            .select("value", count_col, round_half_up(safe_div(F.col(count_col) * 100.0, "__t"), dp)
+            .select("value", count_col, rounding(safe_div(F.col(count_col) * 100.0, "__t"), dp)
                     .alias(pct_col)))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortlens.functions.common import round_half_up, safe_div
+from cohortlens.functions.common import exact_sum, round_half_up, safe_div
 
 
 def _month_listens(audition: DataFrame, month: int, year: int | None) -> DataFrame:
@@ -97,7 +97,7 @@ def avg_hour_revenue(audition: DataFrame, start: str, end: str, price: float = 3
     d = F.col("msk_business_dt")
     a = audition.where((d >= F.lit(start).cast("date")) & (d < F.lit(end).cast("date")))
     g = (a.groupBy(F.trunc(d, "month").alias("month"))
-         .agg(F.countDistinct("puid").alias("mau"), F.sum("hours").alias("h")))
+         .agg(F.countDistinct("puid").alias("mau"), exact_sum("hours").alias("h")))
     return g.select("month", "mau", round_half_up("h", 2).alias("hours"),
                     round_half_up(safe_div(F.col("mau") * F.lit(float(price)), "h"), 2)
                     .alias("avg_hour_rev"))
@@ -106,5 +106,5 @@ def avg_hour_revenue(audition: DataFrame, start: str, end: str, price: float = 3
 def user_hours_by_city(audition: DataFrame, geo: DataFrame, cities: Sequence[str]) -> DataFrame:
     """Hours per (city, user): the mart handed to the hypothesis tests."""
     a = _city_listens(audition, geo, cities)
-    return (a.groupBy("city", "puid").agg(F.sum("hours").alias("h"))
+    return (a.groupBy("city", "puid").agg(exact_sum("hours").alias("h"))
             .select("city", "puid", round_half_up("h", 2).alias("hours")))

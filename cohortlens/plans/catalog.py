@@ -210,13 +210,15 @@ TEST = "interface_eu_test"
 
 
 def _hours(spark, d):
-    return C.dedup_users(A.b_user_hours_csv(Tables(spark, d)))
+    """The hours file of the mart (M13) without repeated users: one lazy chain."""
+    return C.dedup_users(A.b_user_hours(_user_hours(spark, d), BOOK_CITIES))
 
 
 query("dedup_users")(_hours)
-query("dedup_users__count")(lambda spark, d: C.dedup_users_count(A.b_user_hours_csv(Tables(spark, d))))
+query("dedup_users__count")(lambda spark, d: C.dedup_users_count(
+    A.b_user_hours(_user_hours(spark, d), BOOK_CITIES)))
 query("group_describe")(lambda spark, d: C.group_describe(_hours(spark, d), "city", "hours"))
-query("welch_ttest")(lambda spark, d: C.welch_ttest(_hours(spark, d), "city", "hours", "spb", "msk"))
+query("welch_ttest")(lambda spark, d: C.welch_ttest(_hours(spark, d), "city", "hours", *BOOK_CITIES))
 query("density_histogram")(lambda spark, d: C.hours_histogram(_hours(spark, d), "city", "hours", 30))
 
 

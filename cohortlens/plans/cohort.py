@@ -2,7 +2,7 @@
 registry, plus the per-user hours study (dedup, describe, Welch test).
 
 Inputs: ``t_participants`` (user_id, grp, ab_test), ``t_events`` (user_id,
-event_dt, event_name, details) and ``b_user_hours_csv`` (row_idx, puid, city,
+event_dt, event_name, details) and ``b_user_hours`` (row_idx, puid, city,
 hours).  Key-set filters (``isin`` / ``~isin`` in the study) are semi / anti
 joins against distinct key frames: ids are never collected to the driver.
 """

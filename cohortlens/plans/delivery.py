@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortlens.functions.common import round_half_up, safe_div
+from cohortlens.functions.common import exact_sum, round_half_up, safe_div
 
 
 def _distinct(col, approx_rsd: float | None):
@@ -66,17 +66,17 @@ def avg_check_monthly(sales: DataFrame, cities: DataFrame, city: str, start: str
     o = _city_orders(sales, cities, city, start, end)
     agg = (o.groupBy(F.trunc("log_date", "month").alias("month"))
            .agg(F.countDistinct("order_id").alias("orders"),
-                F.sum("commission_revenue").alias("s")))
+                exact_sum("commission_revenue").alias("s")))
     return agg.select("month", "orders", round_half_up("s", 2).alias("commission_sum"),
                       round_half_up(safe_div("s", "orders"), 2).alias("avg_check"))
 
 
 def _restaurant_ltv(orders: DataFrame, partners: DataFrame) -> DataFrame:
     # Aggregate the fact side per (rest_id, city_id) before joining partners.
-    per_rest = orders.groupBy("rest_id", "city_id").agg(F.sum("commission_revenue").alias("s"))
+    per_rest = orders.groupBy("rest_id", "city_id").agg(exact_sum("commission_revenue").alias("s"))
     p = partners.select("rest_id", "city_id", "chain", "type")
     return (per_rest.join(p, ["rest_id", "city_id"])
-            .groupBy("rest_id", "chain", "type").agg(F.sum("s").alias("s"))
+            .groupBy("rest_id", "chain", "type").agg(exact_sum("s").alias("s"))
             .select("rest_id", "chain", "type", round_half_up("s", 2).alias("ltv")))
 
 
@@ -100,13 +100,13 @@ def ltv_top_dishes(sales: DataFrame, cities: DataFrame, partners: DataFrame, dis
                _restaurant_ltv(o, partners).orderBy(F.col("ltv").desc(), F.col("rest_id").asc())
                .limit(k_rest).select("rest_id").collect()]
     o = o.where(F.col("rest_id").isin(top_ids))
-    per_dish = o.groupBy("rest_id", "city_id", "object_id").agg(F.sum("commission_revenue").alias("s"))
+    per_dish = o.groupBy("rest_id", "city_id", "object_id").agg(exact_sum("commission_revenue").alias("s"))
     p = partners.select("rest_id", "city_id", "chain")
     d = (dishes.select("object_id", "rest_id", "name", "spicy", "fish", "meat")
          .where(F.col("rest_id").isin(top_ids)))
     j = per_dish.join(p, ["rest_id", "city_id"]).join(d, ["object_id", "rest_id"])
     g = (j.groupBy("chain", F.col("name").alias("dish"), "spicy", "fish", "meat")
-         .agg(round_half_up(F.sum("s"), 2).alias("ltv")))
+         .agg(round_half_up(exact_sum("s"), 2).alias("ltv")))
     return g.orderBy(F.col("ltv").desc(), "chain", "dish", "spicy", "fish", "meat").limit(k)
 
 

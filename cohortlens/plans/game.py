@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.functions.common import round_half_up, safe_div
+from cohortlens.functions.common import exact_avg, exact_sum, round_half_up, safe_div
 from cohortlens.operators.quantiles import quantiles
 from cohortlens.operators.scalar import scalar_frame, with_scalars
 
@@ -42,7 +42,7 @@ def payer_share_by_race(users: DataFrame, total_row: bool = True, dp: int = 4) -
 def purchase_stats(purchases: DataFrame, dp: int = 4) -> DataFrame:
     """count, min, max, mean, interpolated median and sample std of amounts."""
     a = purchases.agg(F.count("amount").alias("count"), F.min("amount").alias("min"),
-                      F.max("amount").alias("max"), F.avg("amount").alias("mean"),
+                      F.max("amount").alias("max"), exact_avg("amount").alias("mean"),
                       F.stddev_samp("amount").alias("std"))
     m = quantiles(purchases, "amount", {"median": .5}, kind="cont")
     return with_scalars(a, m).select(
@@ -63,7 +63,7 @@ def _paid(purchases: DataFrame) -> DataFrame:
 
 def _per_buyer(purchases: DataFrame) -> DataFrame:
     # First level of the two-level aggregate: one row per buying user.
-    return _paid(purchases).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("s"))
+    return _paid(purchases).groupBy("id").agg(F.count(F.lit(1)).alias("n"), exact_sum("amount").alias("s"))
 
 
 def buyers_by_payer(users: DataFrame, purchases: DataFrame, dp: int = 2) -> DataFrame:

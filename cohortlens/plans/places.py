@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.functions.common import round_half_even, round_half_up, safe_div
+from cohortlens.functions.common import exact_avg, exact_sum, round_half_even, round_half_up, safe_div
 from cohortlens.operators.dedup import all_duplicates, keep_one
 from cohortlens.operators.describe import describe
 from cohortlens.operators.quantiles import quantiles
@@ -67,8 +67,7 @@ def share_of_rows(places: DataFrame, col: str, where: Column | None = None, dp:
 
 
 def category_share(places: DataFrame, where: Column | None = None, dp: int = 2) -> DataFrame:
-    s = value_share(places, "category", where, dp=dp)
-    return s.select("value", "count", round_half_even("pct", dp).alias("pct"))
+    return value_share(places, "category", where, dp=dp, rounding=round_half_even)
 
 
 def chain_share(places: DataFrame, by: str = "category", dp: int = 1) -> DataFrame:
@@ -106,7 +105,7 @@ def seats_large(places: DataFrame, threshold: float = 300) -> DataFrame:
 
 
 def rating_by_category(places: DataFrame, dp: int = 2) -> DataFrame:
-    g = places.where(F.col("category").isNotNull()).groupBy("category").agg(F.avg("rating").alias("r"))
+    g = places.where(F.col("category").isNotNull()).groupBy("category").agg(exact_avg("rating").alias("r"))
     return g.select("category", round_half_even("r", dp).alias("avg_rating"))
 
 
@@ -115,7 +114,7 @@ def rating_describe(places: DataFrame) -> DataFrame:
 
 
 def rating_by_price(places: DataFrame, dp: int = 4) -> DataFrame:
-    g = places.where(F.col("price").isNotNull()).groupBy("price").agg(F.avg("rating").alias("r"))
+    g = places.where(F.col("price").isNotNull()).groupBy("price").agg(exact_avg("rating").alias("r"))
     return g.select("price", round_half_up("r", dp).alias("avg_rating"))
 
 
@@ -128,7 +127,7 @@ def top_chains(places: DataFrame, k: int = 15, dp: int = 4) -> DataFrame:
     """
     x = places.where((F.col("chain") == 1) & F.col("name").isNotNull())
     per_cat = x.groupBy("name", "category").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("rating").alias("s"), F.count("rating").alias("c"))
+        F.count(F.lit(1)).alias("n"), exact_sum("rating").alias("s"), F.count("rating").alias("c"))
     mode_key = F.when(F.col("category").isNotNull(), F.struct(-F.col("n"), F.col("category")))
     per_chain = per_cat.groupBy("name").agg(
         F.sum("n").alias("count"), safe_div(F.sum("s"), F.sum("c")).alias("r"),
@@ -146,7 +145,7 @@ def top_chain_categories(places: DataFrame, k: int = 15) -> DataFrame:
 def bill_vs_center(places: DataFrame, center: str, dp: int = 4) -> DataFrame:
     """Mean ``middle_avg_bill`` per district and the gap to the centre's mean."""
     g = (places.where(F.col("district").isNotNull()).groupBy("district")
-         .agg(F.avg("middle_avg_bill").alias("b")))
+         .agg(exact_avg("middle_avg_bill").alias("b")))
     c = F.max(F.when(F.col("district") == center, F.col("b"))).over(Window.partitionBy())
     return g.select("district", round_half_up("b", dp).alias("avg_bill"),
                     round_half_up(c - F.col("b"), dp).alias("gap_to_center"))

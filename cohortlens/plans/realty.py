@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortlens.functions.common import round_half_up, safe_div
+from cohortlens.functions.common import exact_avg, exact_sum, round_half_up, safe_div
 from cohortlens.operators.quantiles import _null_safe_join, quantiles_from_counts
 from cohortlens.operators.trim import trim_outliers
 
@@ -68,8 +68,8 @@ def exposure_segments(flats: DataFrame, ads: DataFrame, cities: DataFrame, capit
     # with counts and sums.  rooms / balcony are small integer counts, so this
     # table is small; the averages and the exact medians both derive from it.
     pre = x.groupBy(*keys, "rooms", "balcony").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("price_per_sqm").alias("s_pps"),
-        F.count("price_per_sqm").alias("c_pps"), F.sum("total_area").alias("s_ta"),
+        F.count(F.lit(1)).alias("n"), exact_sum("price_per_sqm").alias("s_pps"),
+        F.count("price_per_sqm").alias("c_pps"), exact_sum("total_area").alias("s_ta"),
         F.count("total_area").alias("c_ta"))
     agg = pre.groupBy(*keys).agg(
         F.sum("n").alias("total_ads"), safe_div(F.sum("s_pps"), F.sum("c_pps")).alias("pps"),
@@ -107,10 +107,10 @@ def listing_seasonality(flats: DataFrame, ads: DataFrame,
     g = (long.groupBy(F.month("day").alias("month_num"), F.date_format("day", "MMMM").alias("month_name"))
          .agg(F.count(F.when(is_p, 1)).alias("total_published"),
               F.count(F.when(is_w, 1)).alias("w"),
-              round_half_up(F.avg(F.when(is_p, F.col("total_area"))), 2).alias("avg_area_published"),
-              round_half_up(F.avg(F.when(is_p, F.col("pps"))), 0).alias("price_per_sqm_published"),
-              round_half_up(F.avg(F.when(is_w, F.col("total_area"))), 2).alias("avg_area_withdrawn"),
-              round_half_up(F.avg(F.when(is_w, F.col("pps"))), 0).alias("price_per_sqm_withdrawn"))
+              round_half_up(exact_avg(F.when(is_p, F.col("total_area"))), 2).alias("avg_area_published"),
+              round_half_up(exact_avg(F.when(is_p, F.col("pps"))), 0).alias("price_per_sqm_published"),
+              round_half_up(exact_avg(F.when(is_w, F.col("total_area"))), 2).alias("avg_area_withdrawn"),
+              round_half_up(exact_avg(F.when(is_w, F.col("pps"))), 0).alias("price_per_sqm_withdrawn"))
          .where(F.col("total_published") > 0))
     # All listings = all published records: a sum over the (at most 12) month rows.
     total = F.sum("total_published").over(Window.partitionBy())
@@ -130,8 +130,8 @@ def settlement_market(flats: DataFrame, ads: DataFrame, cities: DataFrame, capit
          .where(F.col("city") != capital))
     g = x.groupBy("city").agg(
         F.count(F.lit(1)).alias("total_ads"),
-        F.avg(safe_div("last_price", "total_area")).alias("pps"),
-        F.avg("total_area").alias("ta"), F.avg("days_exposition").alias("dx"),
+        exact_avg(safe_div("last_price", "total_area")).alias("pps"),
+        exact_avg("total_area").alias("ta"), F.avg("days_exposition").alias("dx"),
         F.sum(F.col("days_exposition").isNotNull().cast("int")).alias("off"))
     return (g.where(F.col("total_ads") > min_ads)
             .select("city", "total_ads", round_half_up("pps", 0).alias("avg_price_per_sqm"),

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortlens.functions.common import round_half_even, round_half_up, safe_div
+from cohortlens.functions.common import exact_avg, exact_sum, round_half_even, round_half_up, safe_div
 from cohortlens.operators.describe import box_stats, describe
 from cohortlens.operators.quantiles import quantiles
 from cohortlens.operators.scalar import with_scalars
@@ -131,8 +131,8 @@ def normalize_companies_rounds(cr: DataFrame, dp: int = 4) -> DataFrame:
     """Companies with a per-company roll-up of their rounds (left join)."""
     r = split_rounds(cr)
     st = r.groupBy(F.col("company_id").alias("__cid")).agg(
-        F.sum("raised_amount").alias("total_raised"), F.avg("raised_amount").alias("avg_round_size"),
-        F.count("raised_amount").alias("rounds_count"), F.avg("pre_money_valuation").alias("avg_valuation"),
+        exact_sum("raised_amount").alias("total_raised"), exact_avg("raised_amount").alias("avg_round_size"),
+        F.count("raised_amount").alias("rounds_count"), exact_avg("pre_money_valuation").alias("avg_valuation"),
         F.avg("participants").alias("avg_participants"))
     c = split_companies(cr)
     # Spark resolves names case-insensitively: the round-side key is renamed
@@ -219,7 +219,7 @@ def category_price_stats(final: DataFrame, acquisition: DataFrame, min_count: in
     """Seven price statistics per category (n >= ``min_count``), top ``k``."""
     j = _deals(final, acquisition).where(F.col("category_code").isNotNull())
     agg = j.groupBy("category_code").agg(
-        F.count("price_amount").alias("count"), F.avg("price_amount").alias("mean_price"),
+        F.count("price_amount").alias("count"), exact_avg("price_amount").alias("mean_price"),
         F.stddev_samp("price_amount").alias("std_price"), F.min("price_amount").alias("min_price"),
         F.max("price_amount").alias("max_price"))
     q = quantiles(j, "price_amount", {"q1": .25, "median_price": .5, "q3": .75}, ["category_code"],

@@ -82,7 +82,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; a shared (HDFS/object store) folder "
             "is required on a cluster")
@@ -91,17 +91,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def try_checkpoint(df):
+def checkpoint(df):
     """Reliable, eager checkpoint of ``df`` in the session's checkpoint folder.
 
-    Returns None when the session cannot checkpoint (no checkpoint folder on
-    a cluster, or a client session without a SparkContext); callers then use
-    a path that does not need one.
+    A missing folder or a failed job raises.
     """
-    try:
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    except Exception as e:  # noqa: BLE001
-        import warnings
-        warnings.warn(f"checkpoint unavailable ({type(e).__name__}: {e}); using the no-checkpoint path")
-        return None
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

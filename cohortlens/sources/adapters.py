@@ -14,6 +14,8 @@ schema (5 / 25 rows) or bounded by the supplier dimension.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.sources.tables import Tables
@@ -124,12 +126,17 @@ def b_geo(t: Tables) -> DataFrame:
                     F.col("r_name").alias("usage_geo_id_name")))
 
 
-def b_user_hours_csv(t: Tables) -> DataFrame:
-    return t.customer.select(
-        _int(F.col("c_custkey")).alias("row_idx"),
-        (F.col("c_custkey") % 1400).alias("puid"),
-        F.when(F.col("c_nationkey") % 4 == 0, "spb").otherwise("msk").alias("city"),
-        (F.col("c_acctbal") + 1000).alias("hours"))
+def b_user_hours(mart: DataFrame, cities: Sequence[str]) -> DataFrame:
+    """The per-user hours file handed to the tests: the mart (city, puid,
+    hours) in file order, where every ninth user id has a second row that
+    names the other city, one hour more."""
+    a, b = cities
+    other = F.when(F.col("city") == a, b).otherwise(a)
+    again = F.when(F.col("puid") % 9 == 0, F.struct((2 * F.col("puid") + 1).alias("row_idx"), other.alias("city"),
+                                                    (F.col("hours") + 1).alias("hours")))
+    first = F.struct((2 * F.col("puid")).alias("row_idx"), "city", "hours")
+    rows = F.explode(F.array_compact(F.array(first, again)))
+    return mart.select("puid", rows.alias("r")).select("r.row_idx", "puid", "r.city", "r.hours")
 
 
 # ---------------------------------------------------------------- realty
@@ -267,7 +274,7 @@ def s_company_and_rounds(t: Tables) -> DataFrame:
         F.when(ck % 4 == 0, "acquired").when(ck % 19 == 0, "closed").when(ck % 61 == 0, "ipo")
          .otherwise("operating").alias("status"),
         F.when(ck % 3 == 0, "bad-date").otherwise("1994-03-01").alias("founded_at"),
-        F.concat(F.lit("u"), (ck % 1000).cast("string")).alias("network_username"),
+        F.concat(F.lit("u"), ck.cast("string")).alias("network_username"),
         _int(ck % 2).alias("investment_rounds"), _int(ck % 4).alias("funding_rounds"),
         F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") * 1000).otherwise(0.0).alias("funding_total"),
         ok.alias("funding_round_id"), F.col("o_custkey").alias("company_id_round"),
@@ -278,25 +285,27 @@ def s_company_and_rounds(t: Tables) -> DataFrame:
 
 
 def s_acquisition(t: Tables) -> DataFrame:
-    k = F.col("c_custkey")
-    return (t.customer.where((k % 4 == 0) & (k % 28 != 0))
+    # Re-keyed so that every customer row is a deal: the company ids that are
+    # "acquired" are the multiples of four, and one in seven of them is skipped.
+    k = 4 * (F.col("c_custkey") + F.floor(F.col("c_custkey") / 6))
+    return (t.customer
             .select(k.alias("id"), (k + 1).alias("acquiring_company_id"), k.alias("acquired_company_id"),
                     F.when(k % 20 == 0, "cash").alias("term_code"),
                     F.when(k % 12 == 0, 0.0).when(k % 20 == 0, 1.0)
                      .otherwise(F.col("c_acctbal") * 500).alias("price_amount"),
                     F.when(k % 40 == 0, F.lit(None))
-                     .otherwise(F.date_add(F.lit("2000-01-01").cast("date"), _int(k))).alias("acquired_at")))
+                     .otherwise(F.date_add(F.lit("2000-01-01").cast("date"), _int(k % 9000))).alias("acquired_at")))
 
 
 def s_people(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     return t.orders.select(
         k.alias("id"), F.when(k % 3 == 0, F.lit(None)).otherwise(F.col("o_custkey")).alias("company_id"),
-        F.when(k % 5 == 0, F.concat(F.lit("u"), (k % 3000).cast("string"))).alias("network_username"))
+        F.when(k % 5 == 0, F.concat(F.lit("u"), F.col("o_custkey").cast("string"))).alias("network_username"))
 
 
 def s_education(t: Tables) -> DataFrame:
-    return (t.lineitem.where(F.col("l_returnflag") == "R")
+    return (t.lineitem
             .select(F.col("l_orderkey").alias("person_id"),
                     F.when(F.col("l_partkey") % 50 == 0, F.lit(None))
                      .otherwise(F.concat(F.lit("inst "), F.col("l_suppkey").cast("string")))

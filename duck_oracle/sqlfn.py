@@ -12,21 +12,28 @@ _DEN = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461,
         296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 
 
-def _snap(expr: str) -> str:
-    # 12 significant digits as an exact decimal (the library does the same);
-    # the 2-ulp factor breaks exact binary ties away from zero like Java's
-    # half-up formatting does.
-    return f"TRY_CAST(printf('%.11e', CAST(({expr}) AS DOUBLE) * 1.0000000000000004) AS DECIMAL(38,12))"
+def _decimal(expr: str) -> str:
+    # the shortest decimal form of a double, as text
+    return f"TRY_CAST(CAST(CAST(({expr}) AS DOUBLE) AS VARCHAR) AS DECIMAL(38,12))"
 
 
 def R(expr: str, dp: int) -> str:
     """Half-up rounding on the decimal value (as Postgres ``ROUND(numeric)``)."""
-    return f"CAST(ROUND({_snap(expr)}, {dp}) AS DOUBLE)"
+    return f"coalesce(CAST(ROUND({_decimal(expr)}, {dp}) AS DOUBLE), CAST(({expr}) AS DOUBLE))"
 
 
 def RE(expr: str, dp: int) -> str:
     """Banker's rounding (pandas ``round``)."""
-    return f"CAST(round_even({_snap(expr)}, {dp}) AS DOUBLE)"
+    return f"coalesce(CAST(round_even({_decimal(expr)}, {dp}) AS DOUBLE), CAST(({expr}) AS DOUBLE))"
+
+
+def SUM(expr: str) -> str:
+    """Exact sum of decimal data held as doubles."""
+    return f"CAST(SUM(CAST(({expr}) AS DECIMAL(28,6))) AS DOUBLE)"
+
+
+def AVG(expr: str) -> str:
+    return f"({SUM(expr)} / NULLIF(COUNT({expr}), 0))"
 
 
 def DIV(a: str, b: str) -> str:

@@ -54,10 +54,14 @@ SELECT DISTINCT CAST(p_partkey % 7 AS INT) AS main_author_id,
     "b_geo": """
 SELECT CAST(n.n_nationkey AS INT) AS usage_geo_id, r.r_name AS usage_geo_id_name
 FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""",
-    "b_user_hours_csv": """
-SELECT CAST(c_custkey AS INT) AS row_idx, c_custkey % 1400 AS puid,
-       CASE WHEN c_nationkey % 4 = 0 THEN 'spb' ELSE 'msk' END AS city, c_acctbal + 1000 AS hours
-FROM customer""",
+    "b_user_hours": """
+SELECT 2 * user_id + k AS row_idx, user_id AS puid,
+       CASE WHEN k = 0 THEN r_name WHEN r_name = 'ASIA' THEN 'EUROPE' ELSE 'ASIA' END AS city, listened + k AS hours
+FROM (SELECT user_id, min(r_name) AS r_name,
+             CAST(round(sum(CAST(value AS DECIMAL(28, 6))), 2) AS DOUBLE) AS listened
+      FROM events JOIN nation ON n_nationkey = user_id % 25 JOIN region ON r_regionkey = n_regionkey
+      WHERE r_name IN ('ASIA', 'EUROPE') GROUP BY user_id), (VALUES (0), (1)) AS copies(k)
+WHERE k = 0 OR user_id % 9 = 0""",
     "r_flats": """
 SELECT o.o_orderkey AS id, SUM(l.l_quantity) AS total_area,
        CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE CAST(COUNT(l.l_linenumber) AS INT) END AS rooms,
@@ -129,7 +133,7 @@ SELECT c.c_custkey AS company_ID, c.c_name AS name,
        CASE WHEN c.c_custkey % 4 = 0 THEN 'acquired' WHEN c.c_custkey % 19 = 0 THEN 'closed'
             WHEN c.c_custkey % 61 = 0 THEN 'ipo' ELSE 'operating' END AS status,
        CASE WHEN c.c_custkey % 3 = 0 THEN 'bad-date' ELSE '1994-03-01' END AS founded_at,
-       concat('u', CAST(c.c_custkey % 1000 AS VARCHAR)) AS network_username,
+       concat('u', CAST(c.c_custkey AS VARCHAR)) AS network_username,
        CAST(c.c_custkey % 2 AS INT) AS investment_rounds,
        CAST(c.c_custkey % 4 AS INT) AS funding_rounds,
        CASE WHEN c.c_acctbal > 0 THEN c.c_acctbal * 1000 ELSE 0 END AS funding_total,
@@ -140,21 +144,20 @@ SELECT c.c_custkey AS company_ID, c.c_name AS name,
        CAST(o.o_orderkey % 6 AS INT) AS participants
 FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND c.c_custkey % 10 <> 0""",
     "s_acquisition": """
-SELECT c_custkey AS id, c_custkey + 1 AS acquiring_company_id, c_custkey AS acquired_company_id,
-       CASE WHEN c_custkey % 20 = 0 THEN 'cash' END AS term_code,
-       CASE WHEN c_custkey % 12 = 0 THEN 0 WHEN c_custkey % 20 = 0 THEN 1
-            ELSE c_acctbal * 500 END AS price_amount,
-       CASE WHEN c_custkey % 40 = 0 THEN NULL ELSE DATE '2000-01-01' + CAST(c_custkey AS INT) END AS acquired_at
-FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 28 <> 0""",
+SELECT k AS id, k + 1 AS acquiring_company_id, k AS acquired_company_id,
+       CASE WHEN k % 20 = 0 THEN 'cash' END AS term_code,
+       CASE WHEN k % 12 = 0 THEN 0 WHEN k % 20 = 0 THEN 1 ELSE c_acctbal * 500 END AS price_amount,
+       CASE WHEN k % 40 = 0 THEN NULL ELSE DATE '2000-01-01' + CAST(k % 9000 AS INT) END AS acquired_at
+FROM (SELECT 4 * (c_custkey + c_custkey // 6) AS k, c_acctbal FROM customer)""",
     "s_people": """
 SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS company_id,
-       CASE WHEN o_orderkey % 5 = 0 THEN concat('u', CAST(o_orderkey % 3000 AS VARCHAR)) END AS network_username
+       CASE WHEN o_orderkey % 5 = 0 THEN concat('u', CAST(o_custkey AS VARCHAR)) END AS network_username
 FROM orders""",
     "s_education": """
 SELECT l_orderkey AS person_id, CASE WHEN l_partkey % 50 = 0 THEN NULL
             ELSE concat('inst ', CAST(l_suppkey AS VARCHAR)) END AS instituition,
        CASE WHEN l_partkey % 2 = 0 THEN CAST(l_shipdate AS DATE) END AS graduated_at
-FROM lineitem WHERE l_returnflag = 'R'""",
+FROM lineitem""",
     "s_fund": """
 SELECT s_suppkey AS id, s_name AS name,
        CASE WHEN s_suppkey % 5 = 0 THEN concat('u', CAST(s_suppkey AS VARCHAR)) END AS network_username
