@@ -13,38 +13,23 @@ def profile(df: DataFrame, name: str, cols: Sequence[str] | None = None, dp: int
             approx_rsd: float | None = None) -> DataFrame:
     """One row per column: dataset, column, type, rows, nulls, null_pct, distinct.
 
-    The columns are unpivoted to ``(column, value-as-string)`` and counted per
-    value with one map-side-combined aggregate, then rolled up per column.
-    That is one shuffle for any number of columns, and a column with a
-    dominant value costs one partial-aggregate row per partition.
+    One aggregate over one pass of the input.  Rows and nulls are plain counts;
+    distinct counts of all columns are expanded by Spark into one shuffle of
+    native values that is combined map-side, so a column with a dominant or
+    few values costs next to nothing.  ``approx_rsd`` replaces the shuffle by
+    fixed-size sketches.
     """
     cols = list(cols or df.columns)
     types = dict(df.dtypes)
     type_map = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))])
-    if approx_rsd is not None:
-        # Opt-in: one pass, one HyperLogLog++ sketch per column (fixed size),
-        # no (column, value) shuffle at all.
-        agg = df.agg(F.count(F.lit(1)).alias("__rows"),
-                     *[F.count(c).alias(f"__nn_{i}") for i, c in enumerate(cols)],
-                     *[F.approx_count_distinct(c, approx_rsd).alias(f"__d_{i}") for i, c in enumerate(cols)])
-        long = agg.select("__rows", F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(f"__nn_{i}").alias("nn"), F.col(f"__d_{i}").alias("d"))
-            for i, c in enumerate(cols)])).alias("kv"))
-        return long.select(
-            F.lit(name).alias("dataset"), F.col("kv.column").alias("column"),
-            type_map[F.col("kv.column")].alias("type"), F.col("__rows").cast("long").alias("rows"),
-            (F.col("__rows") - F.col("kv.nn")).cast("long").alias("nulls"),
-            round_half_up(safe_div((F.col("__rows") - F.col("kv.nn")) * 100.0, "__rows"), dp).alias("null_pct"),
-            F.col("kv.d").cast("long").alias("distinct"))
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
-    ])).alias("kv")).select("kv.column", "kv.value")
-    per_value = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    per_col = per_value.groupBy("column").agg(
-        F.sum("n").cast("long").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("long").alias("nulls"),
-        F.count("value").alias("distinct"))
-    return per_col.select(F.lit(name).alias("dataset"), "column", type_map[F.col("column")].alias("type"),
-                          "rows", "nulls",
-                          round_half_up(safe_div(F.col("nulls") * 100.0, "rows"), dp).alias("null_pct"),
-                          "distinct")
+    count = F.countDistinct if approx_rsd is None else (lambda c: F.approx_count_distinct(c, approx_rsd))
+    agg = df.agg(F.count(F.lit(1)).alias("rows"),
+                 *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[count(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
+    long = agg.select("rows", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"d{i}").alias("distinct"))
+        for i, c in enumerate(cols)])).alias("c")).select("rows", "c.*")
+    nulls = F.col("rows") - F.col("n")
+    return long.select(F.lit(name).alias("dataset"), "column", type_map[F.col("column")].alias("type"), "rows",
+                       nulls.alias("nulls"), round_half_up(safe_div(nulls * 100.0, "rows"), dp).alias("null_pct"),
+                       "distinct")

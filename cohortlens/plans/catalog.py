@@ -230,6 +230,8 @@ def _tp(spark, d):
 query("clean_participants")(lambda spark, d: C.clean_participants(_tp(spark, d)[1], TEST))
 query("clean_participants__groups")(lambda spark, d: C.clean_participants_groups(_tp(spark, d)[1], TEST))
 query("clean_participants__duplicates")(lambda spark, d: C.participants_duplicates(_tp(spark, d)[1]))
+query("clean_participants__events_duplicates")(lambda spark, d: C.events_duplicates(_tp(spark, d)[0]))
+query("clean_participants__crossover")(lambda spark, d: C.crossover(_tp(spark, d)[1], TEST))
 query("lifetime_events")(lambda spark, d: C.lifetime_events(*_tp(spark, d), TEST, 7))
 query("group_conversion")(lambda spark, d: C.group_conversion(*_tp(spark, d), TEST))
 query("proportions_ztest__abtest")(lambda spark, d: C.conversion_ztest(*_tp(spark, d), TEST))
@@ -301,7 +303,13 @@ def _cps(spark, d, order_by):
     return SU.category_price_stats(_final(spark, d), A.s_acquisition(Tables(spark, d)), order_by=order_by)
 
 
-query("clean_headers_and_dates")(lambda spark, d: SU.clean_headers_and_dates(_cr(spark, d), ["founded_at"]))
+query("clean_headers_and_dates")(lambda spark, d: SU.clean_headers_and_dates(
+    _cr(spark, d), ["founded_at", "closed_at"]))
+query("clean_headers_and_dates__raw")(lambda spark, d: SU.clean_headers_and_dates(
+    A.s_raw_rounds(Tables(spark, d)), ["founded_at", "closed_at", "funded_at", "acquired_at", "graduated_at"]))
+for _name, _view in {"acquisition": A.s_acquisition, "people": A.s_people, "education": A.s_education, "fund": A.s_fund,
+                     "rest_info": A.p_info, "rest_price": A.p_price}.items():
+    query(f"profile__{_name}")(lambda spark, d, name=_name, view=_view: profile(view(Tables(spark, d)), name))
 query("profile__startups")(lambda spark, d: profile(_cr(spark, d), "company_and_rounds"))
 query("funding_by_year")(lambda spark, d: SU.funding_by_year(_cr(spark, d), 50))
 query("education_gap_by_company_size")(lambda spark, d: SU.education_gap_by_company_size(

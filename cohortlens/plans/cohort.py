@@ -74,6 +74,19 @@ def participants_duplicates(participants: DataFrame) -> DataFrame:
     return duplicate_count(participants)
 
 
+def events_duplicates(events: DataFrame) -> DataFrame:
+    """Repeated rows of the event log."""
+    return duplicate_count(events)
+
+
+def crossover(participants: DataFrame, test: str) -> DataFrame:
+    """Check after cleaning: users that are still in both groups of the test."""
+    per_user = _relevant(participants, test).groupBy("user_id").agg(
+        F.min("grp").alias("a"), F.max("grp").alias("b"))
+    return per_user.agg(F.count(F.when(F.col("a") != F.col("b"), 1)).alias("users_in_both_groups"),
+                        F.count(F.lit(1)).alias("users"))
+
+
 def lifetime_events(events: DataFrame, participants: DataFrame, test: str, horizon_days: int = 7,
                     allow_negative: bool = True) -> DataFrame:
     """Events of the test's users within ``horizon_days`` of first registration.
@@ -83,7 +96,8 @@ def lifetime_events(events: DataFrame, participants: DataFrame, test: str, horiz
     registration have a null lifetime and are dropped by the comparison.
     """
     ids = _relevant(participants, test).select("user_id").distinct()
-    ev = events.distinct().join(ids, "user_id", "left_semi")
+    # Only the test's users reach the shuffle of the distinct.
+    ev = events.join(ids, "user_id", "left_semi").distinct()
     # A minimum ignores duplicates: the registration branch reads the event
     # log directly (pre-filtered to registrations) instead of the DISTINCT.
     first = (events.where(F.col("event_name") == "registration").join(ids, "user_id", "left_semi")

@@ -17,11 +17,31 @@ from cohortlens.operators.scalar import with_scalars
 
 
 def top_user_sessions(sessions: DataFrame) -> DataFrame:
-    """All rows of the user with the most distinct sessions (smallest id on ties)."""
+    """All rows of the user with the most distinct sessions (smallest id on ties),
+    numbered in the order of time.
+
+    The session log is read twice: for the user's id, then for that user's rows.
+    """
     per_user = sessions.groupBy("user_id").agg(F.countDistinct("session_id").alias("n"))
     top = per_user.orderBy(F.col("n").desc(), F.col("user_id").asc()).limit(1).select("user_id").collect()
     # One id (bounded), used as a literal so the filter is pushed to the scan.
-    return sessions.where(F.col("user_id").isin([r["user_id"] for r in top]))
+    return with_session_number(sessions.where(F.col("user_id").isin([r["user_id"] for r in top])))
+
+
+def with_session_number(sessions: DataFrame) -> DataFrame:
+    """Adds ``session_number``: the place of a session among its user's, by time and id.
+
+    Rows are ranked within (user, day) and start after the sessions of the
+    user's earlier days, which are counted first, so that no task holds all
+    sessions of a user.
+    """
+    days = sessions.groupBy("user_id", "session_date").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("user_id").orderBy("session_date").rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.select("user_id", "session_date", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("user_id", "session_date").orderBy("session_start_ts", "session_id")
+    return (sessions.join(starts, ["user_id", "session_date"])
+            .withColumn("session_number", (F.col("__before") + F.row_number().over(within)).cast("int"))
+            .select(*sessions.columns, "session_number"))
 
 
 def daily_registration(sessions: DataFrame, dp: int = 6) -> DataFrame:

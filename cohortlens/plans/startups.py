@@ -20,10 +20,11 @@ from cohortlens.operators.quantiles import quantiles
 from cohortlens.operators.scalar import with_scalars
 from cohortlens.sources.tables import normalize_headers
 
-COMPANY_COLS = ("company_ID", "name", "category_code", "status", "founded_at", "network_username",
-                "investment_rounds", "funding_rounds", "funding_total")
+COMPANY_COLS = ("company_ID", "name", "category_code", "status", "founded_at", "closed_at", "domain",
+                "network_username", "country_code", "investment_rounds", "funding_rounds", "funding_total",
+                "milestones")
 ROUND_COLS = ("funding_round_id", "company_id_round", "funded_at", "funding_round_type",
-              "raised_amount", "pre_money_valuation", "participants")
+              "raised_amount", "pre_money_valuation", "participants", "is_first_round", "is_last_round")
 
 
 def parse_date(col: str, fmt: str = "yyyy-MM-dd"):
@@ -34,10 +35,8 @@ def parse_date(col: str, fmt: str = "yyyy-MM-dd"):
 def clean_headers_and_dates(df: DataFrame, date_cols: Sequence[str], fmt: str = "yyyy-MM-dd") -> DataFrame:
     """Header runs of two spaces -> ``_``; listed text dates parsed with coercion."""
     x = normalize_headers(df)
-    for c in date_cols:
-        if dict(x.dtypes)[c] == "string":
-            x = x.withColumn(c, parse_date(c, fmt))
-    return x
+    kinds = dict(x.dtypes)
+    return x.withColumns({c: parse_date(c, fmt) for c in date_cols if kinds[c] == "string"})
 
 
 def funding_by_year(cr: DataFrame, min_rounds: int = 50, dp: int = 4) -> DataFrame:
@@ -118,7 +117,7 @@ def split_companies(cr: DataFrame) -> DataFrame:
     """Company-level columns, one row per company (they repeat identically on
     every round row, so any surviving row is the same)."""
     c = cr.select(*COMPANY_COLS).dropDuplicates(["company_ID"])
-    return c.withColumn("founded_at", parse_date("founded_at"))
+    return c.withColumns({"founded_at": parse_date("founded_at"), "closed_at": parse_date("closed_at")})
 
 
 def split_rounds(cr: DataFrame) -> DataFrame:
@@ -138,8 +137,8 @@ def normalize_companies_rounds(cr: DataFrame, dp: int = 4) -> DataFrame:
     # Spark resolves names case-insensitively: the round-side key is renamed
     # so it cannot collide with ``company_ID``.
     j = c.join(st, c.company_ID == st["__cid"], "left")
-    return j.select("company_ID", "name", "category_code", "status", "founded_at", "investment_rounds",
-                    "funding_rounds", "funding_total", "rounds_count",
+    return j.select("company_ID", "name", "category_code", "status", "founded_at", "closed_at", "domain",
+                    "country_code", "investment_rounds", "funding_rounds", "funding_total", "milestones", "rounds_count",
                     round_half_up("total_raised", 2).alias("total_raised"),
                     round_half_up("avg_round_size", dp).alias("avg_round_size"),
                     round_half_up("avg_valuation", dp).alias("avg_valuation"),
@@ -171,8 +170,8 @@ def missing_stats(df: DataFrame, dp: int = 2) -> DataFrame:
                     .alias("missing_pct")))
 
 
-FINAL_COLS = ("company_ID", "name", "category_code", "status", "founded_at", "funding_rounds",
-              "investment_rounds", "funding_total", "rounds_count", "total_raised", "avg_round_size")
+FINAL_COLS = ("company_ID", "name", "category_code", "status", "founded_at", "closed_at", "domain",
+              "country_code", "milestones", "funding_rounds", "investment_rounds", "funding_total", "rounds_count", "total_raised", "avg_round_size")
 
 
 def acquisition_enrichment(companies: DataFrame, acquisition: DataFrame) -> DataFrame:

@@ -274,14 +274,32 @@ def s_company_and_rounds(t: Tables) -> DataFrame:
         F.when(ck % 4 == 0, "acquired").when(ck % 19 == 0, "closed").when(ck % 61 == 0, "ipo")
          .otherwise("operating").alias("status"),
         F.when(ck % 3 == 0, "bad-date").otherwise("1994-03-01").alias("founded_at"),
+        F.when(ck % 19 == 0, F.when(ck % 2 == 0, "1996-07-15").otherwise("1996-02-31")).alias("closed_at"),
+        F.concat(F.lit("c"), ck.cast("string"), F.lit(".example")).alias("domain"),
         F.concat(F.lit("u"), ck.cast("string")).alias("network_username"),
+        F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("country_code"),
+        _int(ck % 5).alias("milestones"),
         _int(ck % 2).alias("investment_rounds"), _int(ck % 4).alias("funding_rounds"),
         F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") * 1000).otherwise(0.0).alias("funding_total"),
         ok.alias("funding_round_id"), F.col("o_custkey").alias("company_id_round"),
         F.to_date("o_orderdate").alias("funded_at"), F.col("o_orderpriority").alias("funding_round_type"),
         F.when(ok % 9 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("raised_amount"),
         F.when(ok % 5 == 0, F.col("o_totalprice") * 4).alias("pre_money_valuation"),
-        _int(ok % 6).alias("participants"))
+        _int(ok % 6).alias("participants"), _int(ok % 2).alias("is_first_round"),
+        F.when(ok % 3 == 0, 1).otherwise(F.when(ok.isNotNull(), 0)).alias("is_last_round"))
+
+
+def s_raw_rounds(t: Tables) -> DataFrame:
+    """Rounds as their file has them: headers with runs of two spaces, dates as text."""
+    ok = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return t.orders.select(
+        F.col("o_custkey").alias("company  ID"), ok.alias("funding  round  id"),
+        F.when(ok % 3 == 0, "bad-date").otherwise(day).alias("founded  at"),
+        F.when(ok % 4 == 0, "1996-02-31").when(ok % 4 == 1, day).alias("closed  at"),
+        F.when(ok % 5 != 0, day).alias("funded  at"),
+        F.when(ok % 7 == 0, "").otherwise(day).alias("acquired  at"),
+        F.when(ok % 11 == 0, "soon").otherwise(day).alias("graduated  at"))
 
 
 def s_acquisition(t: Tables) -> DataFrame:

@@ -133,7 +133,10 @@ SELECT c.c_custkey AS company_ID, c.c_name AS name,
        CASE WHEN c.c_custkey % 4 = 0 THEN 'acquired' WHEN c.c_custkey % 19 = 0 THEN 'closed'
             WHEN c.c_custkey % 61 = 0 THEN 'ipo' ELSE 'operating' END AS status,
        CASE WHEN c.c_custkey % 3 = 0 THEN 'bad-date' ELSE '1994-03-01' END AS founded_at,
+       CASE WHEN c.c_custkey % 19 = 0 THEN if(c.c_custkey % 2 = 0, '1996-07-15', '1996-02-31') END AS closed_at,
+       concat('c', CAST(c.c_custkey AS VARCHAR), '.example') AS domain,
        concat('u', CAST(c.c_custkey AS VARCHAR)) AS network_username,
+       concat('N', CAST(c.c_nationkey AS VARCHAR)) AS country_code, CAST(c.c_custkey % 5 AS INT) AS milestones,
        CAST(c.c_custkey % 2 AS INT) AS investment_rounds,
        CAST(c.c_custkey % 4 AS INT) AS funding_rounds,
        CASE WHEN c.c_acctbal > 0 THEN c.c_acctbal * 1000 ELSE 0 END AS funding_total,
@@ -141,8 +144,17 @@ SELECT c.c_custkey AS company_ID, c.c_name AS name,
        CAST(o.o_orderdate AS DATE) AS funded_at, o.o_orderpriority AS funding_round_type,
        CASE WHEN o.o_orderkey % 9 = 0 THEN NULL ELSE o.o_totalprice END AS raised_amount,
        CASE WHEN o.o_orderkey % 5 = 0 THEN o.o_totalprice * 4 END AS pre_money_valuation,
-       CAST(o.o_orderkey % 6 AS INT) AS participants
+       CAST(o.o_orderkey % 6 AS INT) AS participants, CAST(o.o_orderkey % 2 AS INT) AS is_first_round,
+       CAST(CAST(o.o_orderkey % 3 = 0 AS INT) AS INT) AS is_last_round
 FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND c.c_custkey % 10 <> 0""",
+    "s_raw_rounds": """
+SELECT o_custkey AS company_ID, o_orderkey AS funding_round_id,
+       CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS founded_at,
+       CASE WHEN o_orderkey % 4 = 1 THEN CAST(o_orderdate AS DATE) END AS closed_at,
+       CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS funded_at,
+       CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS acquired_at,
+       CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS graduated_at
+FROM orders""",
     "s_acquisition": """
 SELECT k AS id, k + 1 AS acquiring_company_id, k AS acquired_company_id,
        CASE WHEN k % 20 = 0 THEN 'cash' END AS term_code,
