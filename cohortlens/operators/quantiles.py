@@ -50,6 +50,13 @@ from cohortlens.session import checkpoint
 from cohortlens.operators.scalar import with_scalars
 
 
+def _bucket(bounds: Column, v: Column, buckets: int) -> Column:
+    """Number of ascending ``bounds`` below ``v``, by binary search."""
+    steps = [1 << k for k in reversed(range((buckets - 1).bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0),
+                       lambda lo, step: F.when(F.get(bounds, lo + step - 1) < v, lo + step).otherwise(lo))
+
+
 def _probs(probs) -> dict[str, float]:
     if isinstance(probs, Mapping):
         return {str(k): float(v) for k, v in probs.items()}
@@ -114,9 +121,8 @@ def quantiles(df: DataFrame, value: str | Column, probs, by: Sequence[str] = (),
         # Global: at most ``buckets - 1`` numbers, fetched once as a literal
         # array (a bounded scalar result), so every use sees the same bounds.
         bnd = approx.first()["__bnd"] or []
-        bk = vc.select("__v", "__c", F.size(F.filter(F.array(*[F.lit(float(b)) for b in bnd] or
-                                                          [F.lit(None).cast("double")]),
-                                                 lambda x: x < v)).alias("__b"))
+        bk = vc.select("__v", "__c", _bucket(F.array(*[F.lit(float(b)) for b in bnd] or [F.lit(None).cast("double")]),
+                                             v, buckets).alias("__b"))
     elif literal_groups and len(by) == 1:
         # The caller proves the group count is at most ``literal_groups``
         # (e.g. one group per profiled column): fetch the bounded bound arrays
@@ -127,14 +133,13 @@ def quantiles(df: DataFrame, value: str | Column, probs, by: Sequence[str] = (),
         kv = [x for r in rows for x in (F.lit(r[by[0]]), F.array(*[F.lit(float(b)) for b in (r["__bnd"] or [])]
                                                                   or [F.lit(None).cast("double")]))]
         bmap = F.create_map(*kv)
-        bk = vc.select(*by, "__v", "__c",
-                       F.size(F.filter(F.element_at(bmap, F.col(by[0])), lambda x: x < v)).alias("__b"))
+        bk = vc.select(*by, "__v", "__c", _bucket(F.element_at(bmap, F.col(by[0])), v, buckets).alias("__b"))
     else:
         # Grouped: one bound array per group, checkpointed (reliable) so a
         # recomputed task cannot see different bounds; joined on the group key.
         bounds = checkpoint(approx)
         bk = _null_safe_join(vc, bounds, by).select(
-            *by, "__v", "__c", F.size(F.filter("__bnd", lambda x: x < v)).alias("__b"))
+            *by, "__v", "__c", _bucket(F.col("__bnd"), v, buckets).alias("__b"))
     tot = bk.groupBy(*by, "__b").agg(F.sum("__c").alias("__nb"))
     gw = Window.partitionBy(*by)
     tot = (tot.withColumn("__off", F.sum("__nb").over(gw.orderBy("__b")) - F.col("__nb"))

@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions.common import exact_avg, exact_sum, round_half_up, safe_div
-from cohortlens.operators.quantiles import _null_safe_join, quantiles_from_counts
 from cohortlens.operators.trim import trim_outliers
+from cohortlens.session import checkpoint
 
 # --- fixed values: the study's exposure buckets (inclusive day ranges);
 # anything else, including still-active listings with a null duration,
@@ -26,9 +26,12 @@ EXPOSURE_OTHER = "over_half_year"
 
 def trim_flats(flats: DataFrame) -> DataFrame:
     """The study's standard trimming: 99th percentile caps, ceiling height
-    also floored at the 1st percentile; nulls pass except for total area."""
+    also floored at the 1st percentile; nulls pass except for total area.
+
+    The flats are written once (checkpoint), for the limits and the filter.
+    """
     return trim_outliers(
-        flats,
+        checkpoint(flats),
         upper={"total_area": .99, "rooms": .99, "balcony": .99, "ceiling_height": .99},
         lower={"ceiling_height": .01},
         null_ok=("rooms", "balcony", "ceiling_height"))
@@ -49,6 +52,21 @@ def _drop_years(df: DataFrame, partial_years: Sequence[int]) -> DataFrame:
     return df.where(~F.year("first_day_exposition").isin(list(partial_years)))
 
 
+def _median(value: str, count: str):
+    """Discrete median from (value, count) rows, as an aggregate.
+
+    The list of a group has a row for each distinct pair of room and balcony
+    numbers, which are small integers.
+    """
+    pairs = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(
+        F.col(value).alias("v"), F.col(count).alias("n")))))
+    half = F.ceil(F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x["n"]) / 2)
+    none = F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("int").alias("v"))
+    return F.aggregate(pairs, none, lambda a, x: F.struct(
+        (a["c"] + x["n"]).alias("c"), F.when((a["c"] < half) & (a["c"] + x["n"] >= half), x["v"]).otherwise(a["v"]).alias("v")),
+        lambda a: a["v"])
+
+
 def exposure_segments(flats: DataFrame, ads: DataFrame, cities: DataFrame, capital: str,
                       partial_years: Sequence[int] = ()) -> DataFrame:
     """Region x exposure bucket x housing type: ads, price/m2, area, medians."""
@@ -73,11 +91,9 @@ def exposure_segments(flats: DataFrame, ads: DataFrame, cities: DataFrame, capit
         F.count("total_area").alias("c_ta"))
     agg = pre.groupBy(*keys).agg(
         F.sum("n").alias("total_ads"), safe_div(F.sum("s_pps"), F.sum("c_pps")).alias("pps"),
-        safe_div(F.sum("s_ta"), F.sum("c_ta")).alias("ta"))
-    med_r = quantiles_from_counts(pre, "rooms", "n", {"median_rooms": .5}, keys, kind="disc")
-    med_b = quantiles_from_counts(pre, "balcony", "n", {"median_balcony": .5}, keys, kind="disc")
-    j = _null_safe_join(_null_safe_join(agg, med_r, keys, "left"), med_b, keys, "left")
-    return j.select(*keys, F.col("total_ads").cast("long").alias("total_ads"),
+        safe_div(F.sum("s_ta"), F.sum("c_ta")).alias("ta"),
+        _median("rooms", "n").alias("median_rooms"), _median("balcony", "n").alias("median_balcony"))
+    return agg.select(*keys, F.col("total_ads").cast("long").alias("total_ads"),
                     round_half_up("pps", 0).alias("avg_price_per_sqm"),
                     round_half_up("ta", 2).alias("avg_total_area"),
                     F.col("median_rooms").cast("int").alias("median_rooms"),

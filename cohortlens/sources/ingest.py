@@ -2,9 +2,9 @@
 
 * ``read_zipped_csv`` - zip archives of CSV files (gzip/bz2 are native to
   the CSV reader; zip is not).  ``binaryFile`` lists the archives and each
-  archive is streamed through ``mapInPandas`` in bounded chunks, so memory
-  per task is one chunk, not one archive.  An archive is not splittable:
-  one archive is read by one task, so very large inputs should be unpacked
+  archive is unpacked in ``mapInPandas`` in chunks of ``chunk_rows``.  A task
+  holds the compressed bytes of the archives in one Arrow batch, and an
+  archive over 2 GB can't be read this way: large inputs should be unpacked
   (or recompressed with gzip per file) at ingest.
 * ``write_mart`` / ``read_mart`` - persist a result as a Parquet mart,
   optionally partitioned (e.g. by date) so later date-window filters prune

@@ -26,6 +26,10 @@ from pyspark.sql import DataFrame, functions as F
 
 def streaming_dau(events: DataFrame, ts: str = "ts", user: str = "user_id", watermark: str = "1 day",
                   event_filter=None) -> DataFrame:
+    # A shorter watermark would drop a user's state inside the day and count
+    # a later event of that user again.
+    if not events.sparkSession.sql(f"SELECT timestamp'2000-01-01' + INTERVAL '{watermark}' >= timestamp'2000-01-02'").first()[0]:
+        raise ValueError("the watermark must be at least one day")
     ev = events if event_filter is None else events.where(event_filter)
     ev = (ev.select(F.col(ts).cast("timestamp").alias("event_time"), F.col(user).alias("user_id"))
           .where(F.col("user_id").isNotNull())

@@ -96,11 +96,15 @@ def test_safe_div_and_rounding(spark):
         safe_div(F.lit(1), F.lit(0)).alias("z"),
         round_half_up(F.lit(2.675), 2).alias("u"),
         round_half_even(F.lit(0.125), 2).alias("e"),
-        round_half_up(F.lit(344451.05874999997), 4).alias("snap")).first()
+        round_half_up(F.lit(344451.05874999997), 4).alias("below"),
+        round_half_up(F.lit(344451.05875), 4).alias("half")).first()
     assert r["z"] is None
     assert r["u"] == 2.68
     assert r["e"] == 0.12
-    assert r["snap"] == 344451.0588
+    # A value is rounded as it stands; sums are exact, so that none ends up
+    # just below a half by the order of its terms.
+    assert r["below"] == 344451.0587
+    assert r["half"] == 344451.0588
 
 
 def test_floor_days_negative(spark):
@@ -119,3 +123,27 @@ def test_degenerate_inputs_give_nulls_not_errors(spark):
     assert H.lift_confint(counts).first()["ci_low"] is None
     b = spark.createDataFrame([("zero", 0.0)], "segment string, baseline double")
     assert H.required_sample_size(b, mde=0.03, relative=True).first()["n_per_group"] is None
+
+
+@pytest.mark.parametrize("value,dp,up,even", [
+    (1234567890123.45, 2, 1234567890123.45, 1234567890123.45), (98765432109.87, 2, 98765432109.87, 98765432109.87),
+    (0.125, 2, 0.13, 0.12), (2.5, 0, 3.0, 2.0), (-2.5, 0, -3.0, -2.0), (3e26, 2, 3e26, 3e26), (277502.40875, 4, 277502.4088, 277502.4088)])
+def test_rounding_of_large_values_and_ties(spark, value, dp, up, even):
+    assert _one(spark, round_half_up(F.lit(value), dp)) == up
+    assert _one(spark, round_half_even(F.lit(value), dp)) == even
+
+
+def test_large_sums_keep_their_cents(spark):
+    from cohortlens.functions.common import exact_avg, exact_sum
+    x = spark.range(200_000).select((F.lit(87_654_321.05) + F.col("id") % 100 / 100).alias("x"))
+    row = x.repartition(7).agg(exact_sum("x").alias("s"), exact_avg("x").alias("m")).first()
+    want = sum(8_765_432_105 + i % 100 for i in range(200_000))
+    assert int(row.s * 100) == want and want > 10**15
+    assert _one(spark, round_half_up(F.lit(row.s), 2)) == want / 100
+
+
+def test_share_of_categories_rounds_once_to_even(spark):
+    from cohortlens.plans.places import category_share
+    rows = [("a",)] + [("b",)] * 799
+    got = {r["value"]: r["pct"] for r in category_share(spark.createDataFrame(rows, "category string")).collect()}
+    assert got == {"a": 0.12, "b": 99.88}

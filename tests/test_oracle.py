@@ -10,7 +10,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from __spark_entry__ import oracle_sql
+from cohortlens.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -40,14 +41,13 @@ def duck():
 ORACLE = oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    sdf = queries()[name](spark, SF)
+    if name not in ORACLE:
+        pytest.skip("no SQL for this query; see the tests of its operator")
+    sdf = QUERIES[name](spark, SF)
     cols = sdf.columns
     rows = sdf.collect()
-    if name not in ORACLE:
-        assert len(rows) >= 0
-        return
     rel = duck.sql(ORACLE[name])
     assert sorted(cols) == sorted(rel.columns)
     drows = rel.fetchall()

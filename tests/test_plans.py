@@ -3,13 +3,13 @@ in the built-in metric plans, no unbounded cartesian products."""
 
 import pytest
 
-from __spark_entry__ import queries
+from cohortlens.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.01"
 
 
 def _plan(spark, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     return df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -42,7 +42,7 @@ def test_no_cartesian_product(spark, name):
 
 def test_no_cross_or_row_udf_in_any_query(spark):
     bad = []
-    for name, fn in queries().items():
+    for name, fn in QUERIES.items():
         p = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         bad += [(name, k) for k in ("CartesianProduct", "NestedLoopJoin", "BatchEvalPython") if k in p]
     assert bad == []

@@ -93,3 +93,11 @@ def test_approx_quantiles_close_to_exact(spark):
     a = quantiles(df, "v", [0.5], method="approx").first()["p50"]
     e = quantiles(df, "v", [0.5], kind="disc").first()["p50"]
     assert abs(a - e) <= 2
+
+
+def test_streaming_dau_needs_a_watermark_of_a_day(spark):
+    import pytest
+    for watermark in ("1 hour", "23 hours 59 minutes"):
+        with pytest.raises(ValueError):
+            streaming_dau(_stream(spark), watermark=watermark)
+    streaming_dau(_stream(spark), watermark="2 days")
