@@ -223,3 +223,11 @@ def test_state_goes_on_with_more_rows(spark, tmp_path):
 def test_dedup_of_nothing(nothing):
     found = dedup.deduplicate(nothing)
     assert found.decisions().collect() == [] and found.kept().collect() == []
+
+
+# --- plans -----------------------------------------------------------------
+
+@pytest.mark.parametrize("name", ["op3_quality", "op8_sharding", "op9_urls", "op10_exact_dedup"])
+def test_native_queries_run_no_python_and_no_cross_join(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
