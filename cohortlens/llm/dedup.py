@@ -78,10 +78,12 @@ class Result:
     def _check_bytes(self) -> DataFrame | None:
         """Classes by full bytes of digests whose rows are not all equal; None if there are none."""
         of_hits = maybe_among(self.docs.select("digest", "text", "file", "row"), self.hits, ["digest"]).where("__hit").drop("__hit")
-        stays = of_hits.join(self.hits.select("digest", "keep"), "digest").where(
-            "file = keep.file AND row = keep.row").select("digest", F.col("text").alias("kept"))
+        # One text for each hit digest, written, and a join with nothing behind it
+        # that needs a digest's rows together: a hot digest can be split.
+        stays = materialize(of_hits.join(self.hits.select("digest", "keep"), "digest").where(
+            "file = keep.file AND row = keep.row").select("digest", F.col("text").alias("kept")), "dedup-kept")
         differ = of_hits.join(stays, "digest").where(F.col("text") != F.col("kept")).select("digest")
-        odd = materialize(differ.distinct(), "dedup-odd")
+        odd = materialize(differ, "dedup-differ").distinct()
         if odd.isEmpty():
             return None
         return self.docs.join(odd, "digest").groupBy("digest", "text").agg(
