@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import materialize
+
 WORDS = 8  # 64-bit words in a block: one bit of each is set for a key
 KEYS_PER_BLOCK = 32  # 16 bits a key
 
@@ -85,6 +87,8 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", default: st
     best = possible.join(exact, ["__host", "__path"]).groupBy("host", "__head").agg(
         F.max(F.struct((F.length("__host") + F.length("__path")).alias("n"), F.length("__host").alias("m"),
                        F.concat("__host", "__path").alias("rule"), F.col("__v").alias("verdict"))).alias("__b"))
+    # Written, so that the join has a shuffle on both sides and a hot host can be split.
+    best = materialize(best, "url-rules")
     return parsed.join(best, ["host", "__head"], "left").select(
         *kept, "host", "path", F.col("__b.rule").alias("rule"),
         F.coalesce(F.col("__b.verdict"), F.lit(default)).alias("verdict"))
