@@ -52,18 +52,26 @@ def _drop_years(df: DataFrame, partial_years: Sequence[int]) -> DataFrame:
     return df.where(~F.year("first_day_exposition").isin(list(partial_years)))
 
 
-def _median(value: str, count: str):
-    """Discrete median from (value, count) rows, as an aggregate.
+def _pairs(value: str, count: str):
+    """Sorted (value, count) pairs of a group, as an aggregate.
 
-    The list of a group has a row for each distinct pair of room and balcony
-    numbers, which are small integers.
+    A group has one for each distinct pair of room and balcony numbers, which
+    are small integers.
     """
-    pairs = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(
+    return F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(
         F.col(value).alias("v"), F.col(count).alias("n")))))
-    half = F.ceil(F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x["n"]) / 2)
+
+
+def _half(pairs: str):
+    """Rank of the discrete median."""
+    return F.ceil(F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x["n"]) / 2)
+
+
+def _median(pairs: str, half: str):
     none = F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("int").alias("v"))
     return F.aggregate(pairs, none, lambda a, x: F.struct(
-        (a["c"] + x["n"]).alias("c"), F.when((a["c"] < half) & (a["c"] + x["n"] >= half), x["v"]).otherwise(a["v"]).alias("v")),
+        (a["c"] + x["n"]).alias("c"),
+        F.when((a["c"] < F.col(half)) & (a["c"] + x["n"] >= F.col(half)), x["v"]).otherwise(a["v"]).alias("v")),
         lambda a: a["v"])
 
 
@@ -92,12 +100,13 @@ def exposure_segments(flats: DataFrame, ads: DataFrame, cities: DataFrame, capit
     agg = pre.groupBy(*keys).agg(
         F.sum("n").alias("total_ads"), safe_div(F.sum("s_pps"), F.sum("c_pps")).alias("pps"),
         safe_div(F.sum("s_ta"), F.sum("c_ta")).alias("ta"),
-        _median("rooms", "n").alias("median_rooms"), _median("balcony", "n").alias("median_balcony"))
+        _pairs("rooms", "n").alias("r"), _pairs("balcony", "n").alias("b"))
+    agg = agg.withColumns({"half_r": _half("r"), "half_b": _half("b")})
     return agg.select(*keys, F.col("total_ads").cast("long").alias("total_ads"),
                     round_half_up("pps", 0).alias("avg_price_per_sqm"),
                     round_half_up("ta", 2).alias("avg_total_area"),
-                    F.col("median_rooms").cast("int").alias("median_rooms"),
-                    F.col("median_balcony").cast("int").alias("median_balcony"))
+                    _median("r", "half_r").alias("median_rooms"),
+                    _median("b", "half_b").alias("median_balcony"))
 
 
 def listing_seasonality(flats: DataFrame, ads: DataFrame,
