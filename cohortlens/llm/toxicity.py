@@ -4,9 +4,12 @@ A document is a bag of sentences.  A sentence s has the probability
 p(s) = sigmoid(bias + weights of its distinct words), where a word's weight is
 the sum over the word itself and its beginnings of 3 to 6 letters (inflected
 insults share a stem), and a document is toxic if any of its sentences is
-(noisy-or):
+(noisy-or).  Only sentences whose words raise z(s) over the bias stand for
+themselves; all others, however many, count together as one sentence without
+words (the leak), so that length alone makes no document toxic:
 
-    P(document) = 1 - prod(1 - p(s)) = 1 - exp(-sum(softplus(z(s))))
+    P(document) = 1 - (1 - sigmoid(bias)) * prod(1 - p(s))
+                = 1 - exp(-softplus(bias) - sum(softplus(z(s))))    over z(s) > bias
 
 The weights are trained from document labels alone; sentence scores come with
 them and locate the offending sentences.
@@ -75,12 +78,13 @@ class Model:
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Score of a text and (start, end, probability) of its sentences.
 
-        A text without words is one sentence of none.
+        A text without words has the score of the leak alone.
         """
         sentences = sentence_words(text)
-        z = self.sentence_scores(sentences) if sentences else np.array([self.bias])
+        z = self.sentence_scores(sentences)
         p = 1 / (1 + np.exp(-z))
-        return float(-np.expm1(-np.logaddexp(0, z).sum())), [(a, b, float(x)) for (a, b, _), x in zip(sentences, p)]
+        q = np.logaddexp(0, self.bias) + np.logaddexp(0, z[z > self.bias]).sum()
+        return float(-np.expm1(-q)), [(a, b, float(x)) for (a, b, _), x in zip(sentences, p)]
 
 
 def _informative(bags: list, toxic: np.ndarray, min_documents: int, min_chi2: float) -> dict[str, int]:
@@ -99,7 +103,11 @@ def _informative(bags: list, toxic: np.ndarray, min_documents: int, min_chi2: fl
 
 def fit(texts: list[str], toxic: np.ndarray, importance: np.ndarray, min_documents: int = 4, min_chi2: float = 15.0,
         steps: int = 200, rate: float = 0.1, penalty: float = 2e-5) -> Model:
-    """Weighted log loss of the noisy-or, minimised by Adam with an L1 penalty."""
+    """Weighted log loss of the noisy-or, minimised by Adam with an L1 penalty.
+
+    Here every sentence stands for itself: all of a clean document's are clean,
+    which holds the bias down.
+    """
     bags = [sentence_words(t) for t in texts]
     vocabulary = _informative(bags, toxic, min_documents, min_chi2)
     words, sentence, document = [], [], []
@@ -129,13 +137,26 @@ def fit(texts: list[str], toxic: np.ndarray, importance: np.ndarray, min_documen
     return Model(float(theta[-1]), {w: float(theta[i]) for w, i in vocabulary.items() if theta[i]})
 
 
+def within(sizes: list[tuple], left: dict[int, int]) -> list:
+    """Ids of the (id, label, characters) that take at most half of what is left for their label, in turn."""
+    left, taken = dict(left), []
+    for d, y, n in sizes:
+        if 2 * n <= left[y]:
+            left[y] -= n
+            taken.append(d)
+    return taken
+
+
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", max_toxic: int = 1_000, max_clean: int = 3_000, max_chars: int = 200_000) -> Model:
+          label_col: str = "toxic", max_toxic: int = 1_000, max_clean: int = 3_000, total_chars: int = 32_000_000) -> Model:
     """Model from a bounded sample of the labelled rows for which ``allowed`` holds.
 
     The sample has at most ``max_toxic`` and ``max_clean`` documents, taken in
-    the order of a hash of the id, none over ``max_chars`` characters; weights
-    restore the labels' own proportions.  A null id or label is left out; an
+    the order of a hash of the id, and about ``total_chars`` characters, which
+    the classes share as they do the documents.  A text of any length goes in
+    if it takes at most half of the characters its class has left, so a few
+    long ones never crowd out the others.  Weights restore the labels' own
+    proportions.  A null id or label is left out; an
     id with several labels is toxic if any says so.  Without both classes the
     model is the prior alone.
     """
@@ -150,7 +171,12 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     chosen = spark.createDataFrame(picked, StructType([StructField("__id", truth.schema[0].dataType),
                                                        StructField("__y", LongType())]))
     # at most max_toxic + max_clean rows of an id and a label
-    rows = docs.where(F.char_length(text_col) <= max_chars).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(
+    sample = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
+    chars = {r["__id"]: r["n"] for r in sample.groupBy("__id").agg(F.max(F.char_length(text_col)).alias("n")).collect()}
+    fit_in = within([(d, y, chars[d]) for d, y in picked if d in chars],
+                    {y: total_chars * most // (max_toxic + max_clean) for y, most in ((1, max_toxic), (0, max_clean))})
+    taken = F.broadcast(spark.createDataFrame([(d,) for d in fit_in], StructType(chosen.schema.fields[:1])))
+    rows = sample.join(taken, "__id", "left_semi").select(
         F.col("__id"), F.col("__y"), F.col(text_col).alias("__t")).dropDuplicates(["__id"]).orderBy("__id").collect()
     toxic = np.array([r["__y"] for r in rows], float)
     found = {y: max(int((toxic == y).sum()), 1) for y in (0, 1)}

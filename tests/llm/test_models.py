@@ -115,6 +115,28 @@ def test_learns_from_document_labels_and_locates_the_sentence():
             assert max(range(len(scores[i][1])), key=lambda j: scores[i][1][j][2]) == k
 
 
+def test_length_alone_makes_no_document_toxic():
+    model = toxicity.Model(-9.0, {"vilein": 10.0, "pale": -2.0})
+    clean = "A quiet day. Pale light fell on it.\n" * 10_000
+    assert len(toxicity.sentence_words(clean)) == 20_000
+    assert model.score(clean)[0] == pytest.approx(1 / (1 + math.exp(9))) and model.score("")[0] == model.score(clean)[0]
+    score, sentences = model.score(clean + "You vilein.\n" + clean)
+    assert score > 0.3 and sum(p > 0.3 for _, _, p in sentences) == 1
+
+
+def test_long_labelled_texts_are_in_the_sample(spark):
+    line = "some plain words stand here. "
+    rows = [(i, line * 8_000 + ("vilein thing." if i % 2 else "other thing.")) for i in range(24)]
+    docs = spark.createDataFrame(rows + [(99, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)] + [(99, 0)], "doc_id long, toxic int")
+    assert len(rows[0][1]) > 200_000
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert model.weights
+    small = toxicity.train(docs, labels, F.lit(True), total_chars=400_000)
+    assert not small.weights
+    assert toxicity.within([(1, 0, 60), (2, 0, 40), (3, 1, 5), (4, 0, 31), (5, 0, 30)], {0: 100, 1: 10}) == [2, 3, 5]
+
+
 def test_toxicity_query(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic")
     rows = catalog.op4_toxicity(spark, DATA).join(labels, "doc_id", "left").collect()
