@@ -4,7 +4,10 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortlens.llm import jaccard
@@ -140,6 +143,51 @@ def test_stages_take_effect_and_keep_the_columns(spark, tmp_path):
     assert counts == sorted(counts, reverse=True) and counts[0] > counts[1] and counts[2] > counts[3]
 
 
+def test_run_by_brute_force_with_a_certified_cutoff(spark, tmp_path):
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) + ("." if k % 5 == 4 else "") for k in range(n))
+    texts = [prose(30) for _ in range(1800)]
+    labels = [(i, 1, 0) for i in range(1800)]
+    for i in range(200):
+        texts.append(prose(30) + " You vilein.")
+        labels.append((len(texts) - 1, 1, 1))
+    for i in range(60):
+        texts.append(prose(30) + " " + "#" * (20 + i % 3))
+        labels.append((len(texts) - 1, 0, 0))
+    near = texts[3].split(" ")
+    texts += [prose(30) + " " + "#" * 30, prose(30) + " #", prose(19), None, texts[5], texts[5], " ".join(near[:-1] + ["other"]),
+              prose(30) + " vileins stay away.", prose(100_000)]
+    assert len(texts[-1]) > 200_000
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def symbols(t):
+        return 1000 * t.count("#") // len(re.sub(r"\s", "", t))
+
+    cutoff = min(symbols(texts[i]) for i, good, _ in labels if not good)
+    stay = {i: t for i, t in enumerate(texts) if t and len(t.split()) >= 20 and symbols(t) < cutoff and "vilein" not in t}
+    stay = {i: t for t, i in {t: i for i, t in sorted(stay.items())}.items()}
+    long = {i: t for i, t in stay.items() if len(t) > 200_000}
+    want = {r[1] for r in brute([(i, t) for i, t in stay.items() if i not in long])} | set(long)
+    assert len(long) == 1 and len(want) == 1802
+    pieces = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces[r.doc_id].append(r)
+    assert set(pieces) == want
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, got in pieces.items():
+        at = 0
+        for r in sorted(got, key=lambda r: r.start):
+            assert r.start == at and r.offset + r.length <= 1024
+            at += r.length
+        assert {r.doc_tokens for r in got} == {at}
+        # and the end of the text
+        assert i in long or at == len(tokenizer.encode(texts[i], add_special_tokens=False).ids) + 1
+
+
 def test_stages_on_edge_rows(spark, edge, nothing, tmp_path):
     for kind, frame in (("edge", edge), ("nothing", nothing)):
         frame.write.parquet(str(tmp_path / kind))
