@@ -9,7 +9,7 @@
    with the longest prefixes; found links, each weighted by the inverse of
    its probability of being found, estimate how many links there are, and the
    prefixes are shortened until the estimated share of links found reaches
-   the target (at ``FLOOR`` even a pair right at the threshold misses with
+   the target in every similarity bin with links, whatever their number (at ``FLOOR`` even a pair right at the threshold misses with
    less than 1 in 10,000).
 3. Texts that share a trie node are brought together under the node's least
    text, whole sets once for each such hub; a hub with many texts is cut into
@@ -86,14 +86,17 @@ def found_probability(similarity, depth: int):
 def next_depth(histogram: np.ndarray, middles: np.ndarray, depth: int, target: float = TARGET) -> int:
     """Depth to go on with after links were counted by similarity at ``depth``; the same one: enough.
 
-    A bin without a link counts half a found link, so that few links don't
-    promise too much.
+    Every bin with a link has to reach the target by itself, and all bins
+    together, where one without a link counts half as much; how many links a
+    bin has doesn't matter, so no large group hides the others' bins.
     """
     if depth <= FLOOR:
         return depth
-    there = np.maximum(histogram, 0.5) / found_probability(middles, depth)
+    seen = histogram > 0
+    there = np.where(seen, 1.0, 0.5) / found_probability(middles, depth)
     for k in range(depth, FLOOR, -1):
-        if (there * found_probability(middles, k)).sum() >= target * there.sum():
+        found = found_probability(middles, k)
+        if (found[seen] >= target).all() and (there * found).sum() >= target * there.sum():
             return k
     return FLOOR
 

@@ -103,6 +103,17 @@ def test_depth_shortens_until_the_target():
     assert jaccard.found_probability(0.8, jaccard.FLOOR) > 0.9999
 
 
+def test_a_hot_group_does_not_hide_a_borderline_bin():
+    middles = 0.8 + (np.arange(jaccard.BINS) + 0.5) / jaccard.BINS * 0.2
+    alone = np.zeros(jaccard.BINS)
+    alone[0] = 2
+    hot = alone.copy()
+    hot[-1] = 1e9
+    depth = jaccard.next_depth(hot, middles, jaccard.DEPTH)
+    assert depth == jaccard.next_depth(alone, middles, jaccard.DEPTH) < jaccard.DEPTH
+    assert jaccard.found_probability(middles[0], depth) >= jaccard.TARGET
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     for common in (300, 700, 900):
