@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import located, materialize, maybe_among, text_slices
 
@@ -37,6 +37,8 @@ DEPTH = 6
 FLOOR = 4
 TARGET = 0.9995
 BLOCK = 192
+BLOCK_SHINGLES = 2_000_000
+BLOCK_ROWS = 2  # of texts with more shingles than a block should have
 BINS = 20
 COLUMNS = 4096
 WORD = re.compile(r"\w+")
@@ -194,9 +196,15 @@ def _hubs(texts: DataFrame, depth: int) -> DataFrame:
     return nodes.join(shared, "node").groupBy("rid").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))
 
 
+def _blocks(texts: Column, shingled: Column) -> Column:
+    """Number of blocks for a hub's texts and their shingles: bounded by rows and by bytes."""
+    by_size = F.least(F.ceil(shingled / BLOCK_SHINGLES), F.ceil(texts / BLOCK_ROWS))
+    return F.greatest(F.ceil(texts / BLOCK), by_size).cast("int")
+
+
 def _links(rows: DataFrame, texts: DataFrame, depth: int, threshold: float) -> DataFrame:
     """(rid, label, links, bins) of all texts linked with one that shares a trie node at ``depth``."""
-    members = materialize(_hubs(texts, depth).join(texts.select("rid", "file", "row"), "rid"), "jaccard-members")
+    members = materialize(_hubs(texts, depth).join(texts.select("rid", "file", "row", "n"), "rid"), "jaccard-members")
     places = members.select("rid", "hubs", F.col("file").alias("at_file"), F.col("row").alias("at_row"))
     marked = maybe_among(rows.select("text", "file", "row"), members, ["file", "row"]).where("__hit")
     with_text = marked.join(places, (F.col("file") == F.col("at_file")) & (F.col("row") == F.col("at_row"))).select(
@@ -209,10 +217,10 @@ def _links(rows: DataFrame, texts: DataFrame, depth: int, threshold: float) -> D
                                              ["rid", "hubs", "set"])
 
     sets = with_text.mapInArrow(run, "rid long, hubs array<bigint>, set binary")
-    # A hub's texts in blocks of about BLOCK, every two blocks (and each by
-    # itself) in a group of their own.
-    sizes = members.select(F.explode("hubs").alias("hub")).groupBy("hub").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # A hub's texts in blocks of about BLOCK, or fewer of long texts, every two
+    # blocks (and each by itself) in a group of their own.
+    sizes = members.select(F.explode("hubs").alias("hub"), "n").groupBy("hub").agg(
+        _blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
     placed = sets.select("*", F.explode("hubs").alias("hub")).join(sizes, "hub")
     placed = placed.withColumn("b", F.pmod(F.xxhash64("rid", "hub"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -76,6 +76,17 @@ def test_links_and_classes_by_brute_force(spark, monkeypatch, block):
     assert there * 0.999 <= found <= there
 
 
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    given = [(1, 100), (1000, 500_000), (200, 300_000_000), (10, 10_000_000), (3, 9_000_000)]
+    frame = spark.createDataFrame(given, "m long, n long")
+    got = {r.m: r.b for r in frame.select("m", jaccard._blocks(F.col("m"), F.col("n")).alias("b")).collect()}
+    assert got == {1: 1, 1000: 6, 200: 100, 10: 5, 3: 2}
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 500)
+    rows = near_copies(random.Random(7), n_base=2, copies=20)
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r)[:2] for r in found} == {w[:2] for w in brute(rows)}
+
+
 def test_given_documents_and_edges(spark, small_docs, edge):
     for frame in (small_docs, edge):
         rows = [(r.doc_id, r.text) for r in frame.collect()]
