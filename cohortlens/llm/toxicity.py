@@ -5,11 +5,12 @@ p(s) = sigmoid(bias + weights of its distinct words), where a word's weight is
 the sum over the word itself and its beginnings of 3 to 6 letters (inflected
 insults share a stem), and a document is toxic if any of its sentences is
 (noisy-or).  Only sentences whose words raise z(s) over the bias stand for
-themselves; all others, however many, count together as one sentence without
-words (the leak), so that length alone makes no document toxic:
+themselves; all others are the leak, whose sum is bounded, so that length
+alone makes no document toxic:
 
-    P(document) = 1 - (1 - sigmoid(bias)) * prod(1 - p(s))
-                = 1 - exp(-softplus(bias) - sum(softplus(z(s))))    over z(s) > bias
+    P(document) = 1 - exp(-leak - sum(softplus(z(s))))    over z(s) > bias
+    leak = min(r, softplus(bias) + LEAK * (1 - exp(-r / LEAK))),
+    r = sum(softplus(z(s)))    over z(s) <= bias
 
 The weights are trained from document labels alone; sentence scores come with
 them and locate the offending sentences.
@@ -31,6 +32,7 @@ from .common import text_slices
 SENTENCE_END = re.compile(r"(?<=[.!?\n])")
 WORD = re.compile(r"\w+")
 MAX_CACHE = 300_000
+LEAK = 0.05  # all sentences not over the bias add less than this to one of theirs
 
 
 def sentence_words(text: str) -> list[tuple[int, int, set[str]]]:
@@ -83,7 +85,9 @@ class Model:
         sentences = sentence_words(text)
         z = self.sentence_scores(sentences)
         p = 1 / (1 + np.exp(-z))
-        q = np.logaddexp(0, self.bias) + np.logaddexp(0, z[z > self.bias]).sum()
+        one, own = np.logaddexp(0, self.bias), z > self.bias
+        rest = np.logaddexp(0, z[~own]).sum() if len(z) else one
+        q = min(rest, one - LEAK * np.expm1(-rest / LEAK)) + np.logaddexp(0, z[own]).sum()
         return float(-np.expm1(-q)), [(a, b, float(x)) for (a, b, _), x in zip(sentences, p)]
 
 
