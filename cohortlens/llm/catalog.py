@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, dedup, jaccard, langid, packing, quality, sharding, token_counts, toxicity, urls
+from . import (bpe, conversations, dedup, jaccard, langid, packing, quality, secret_scan, sharding, spelling, token_counts,
+               toxicity, urls)
 from .common import crc_remainder, materialize, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -161,6 +162,129 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
 FROM documents
 """
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    secrets = F.col("secrets")
+    base = secret_scan.of_kinds(secrets, *secret_scan.BASE_KINDS)
+    counts = [F.size(secret_scan.of_kinds(secrets, k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.joined(secrets).alias("spans"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+    return repaired.withColumnRenamed("conv", "conv_id")
+
+
+# crc32 of a string below U+0800: its bytes folded through the table of the reflected polynomial.
+CRC_TABLE = """
+bits(k, c, step) AS (
+  SELECT i, i, 0 FROM range(256) t(i) UNION ALL
+  SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
+crc_table AS (SELECT list(c ORDER BY k) AS t FROM bits WHERE step = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    codes = (f"flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] "
+             "ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END))")
+    return (f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)")
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+keyed AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hashed AS (SELECT *, {crc32_sql('k')} % 20 AS f FROM keyed, crc_table),
+damaged AS (
+  SELECT g, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hashed, unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) copies(copy) WHERE f <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial,
+         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending FROM damaged),
+marked AS (
+  SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+         coalesce(lag(initial) OVER (PARTITION BY g ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM ordered),
+faults AS (
+  SELECT *, ending = '' AS blank, ending <> '' AND again AS duplicate,
+         ending <> '' AND NOT again AND ending NOT IN ('.', '!', '?') AS truncated FROM marked),
+sizes AS (SELECT g, count(*) AS n FROM faults GROUP BY g),
+-- Cheapest edits of the last rows by state (nothing yet, after s, after u, after a), ties by the audit.
+steps(g, i, v) AS (
+  SELECT g, n, [{{'c': 0, 'a': ''}}, {{'c': 4, 'a': 'II'}}, {{'c': 2, 'a': 'I'}}, {{'c': 0, 'a': ''}}] FROM sizes UNION ALL
+  SELECT g, i - 1, [list_min([r[q], {{'c': 2 + y[nx[q]].c, 'a': 'I' || y[nx[q]].a}}]) FOR q IN [1, 2, 3, 4]]
+  FROM (
+    SELECT *, [list_min([r[q], {{'c': 2 + x[nx[q]].c, 'a': 'I' || x[nx[q]].a}}]) FOR q IN [1, 2, 3, 4]] AS y
+    FROM (
+      SELECT *, [list_min([r[q], {{'c': 2 + r[nx[q]].c, 'a': 'I' || r[nx[q]].a}}]) FOR q IN [1, 2, 3, 4]] AS x
+      FROM (
+        SELECT *, [list_min([
+            {{'c': 3 + v[q].c, 'a': 'D' || v[q].a}},
+            {{'c': CASE WHEN to_keep[q] > 0 THEN cut + v[to_keep[q]].c ELSE 1000000000 END,
+             'a': 'K' || CASE WHEN to_keep[q] > 0 THEN v[to_keep[q]].a ELSE '' END}},
+            {{'c': must + 2 + cut + v[nx[q]].c, 'a': 'R' || v[nx[q]].a}}]) FOR q IN [1, 2, 3, 4]] AS r
+        FROM (
+          SELECT s.g, s.i, s.v, [3, 3, 4, 3] AS nx, truncated::INT AS cut,
+                 CASE WHEN blank OR duplicate THEN 1000000000 ELSE 0 END AS must,
+                 CASE WHEN blank OR duplicate THEN [0, 0, 0, 0] WHEN initial = 's' THEN [2, 0, 0, 0]
+                      WHEN initial = 'u' THEN [3, 3, 0, 3] WHEN initial = 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS to_keep
+          FROM steps s JOIN faults f ON s.g = f.g AND s.i = f.i))))),
+audits AS (SELECT g, v[1].c AS cost, v[1].a AS audit FROM steps WHERE i = 0),
+edits AS (
+  SELECT g, k, substr(audit, k, 1) AS e, length(replace(left(audit, k), 'I', '')) AS i,
+         length(replace(left(audit, k), 'D', '')) AS place
+  FROM audits, range(1, length(audit) + 1) p(k)),
+kept AS (
+  SELECT e.*, f.role, f.text, bool_or(e.place = 1 AND e.e = 'K' AND f.initial = 's') OVER (PARTITION BY e.g) AS led
+  FROM edits e LEFT JOIN faults f ON e.g = f.g AND e.i = f.i AND e.e <> 'I' WHERE e.e <> 'D'),
+repaired AS (
+  SELECT g, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (place + led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                              || ':' || coalesce(text, ''), chr(10) ORDER BY k)) AS h FROM kept GROUP BY g),
+figures AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (illegal) AS illegal FROM faults GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM keyed) LEFT JOIN figures USING (g) LEFT JOIN audits USING (g) LEFT JOIN repaired USING (g)
+"""
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), misspell=199))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+found AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{6,}}')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+keyed AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS k, count(*) AS n FROM found GROUP BY ALL),
+hashed AS (SELECT run, n, {crc32_sql('k')} AS h FROM keyed, crc_table),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+         sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING sum(n) >= 5 AND length(word) >= 6),
+dels AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS d FROM words, range(0, length(word)) p(i)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM dels a JOIN dels b ON a.i = b.i AND a.d = b.d AND a.word <> b.word UNION
+  SELECT a.word, b.word FROM dels a JOIN words b ON a.d = b.word UNION
+  SELECT b.word, a.word FROM dels a JOIN words b ON a.d = b.word),
+ranked AS (
+  SELECT p.word, p.near, w.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+         row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, p.near) AS place
+  FROM pairs p JOIN words w ON w.word = p.near),
+forms AS (SELECT r.word, near AS form, near_n FROM ranked r JOIN words w ON w.word = r.word WHERE place = 1 AND near_n >= 5 * w.n),
+chains(word, link, depth) AS (
+  SELECT word, word, 0 FROM words UNION ALL SELECT c.word, f.form, depth + 1 FROM chains c JOIN forms f ON f.word = c.link),
+roots AS (SELECT word, arg_max(link, depth) AS root FROM chains GROUP BY word)
+SELECT w.word, f.form, root, w.n, coalesce(r.n_near, 0) AS n_near, f.near_n AS form_n
+FROM words w JOIN roots USING (word) LEFT JOIN forms f ON f.word = w.word LEFT JOIN ranked r ON r.word = w.word AND r.place = 1
+"""
+
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -173,10 +297,15 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_urls": op9_urls,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_secrets": op11_secrets,
+    "op12_conversations": op12_conversations,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE: dict[str, str] = {
     "op3_quality": OP3_SQL,
     "op9_urls": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op12_conversations": OP12_SQL,
+    "op13_spelling": OP13_SQL,
 }
