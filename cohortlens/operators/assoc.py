@@ -5,23 +5,27 @@ Distributed part: interval columns are cut into ``bins`` equal-width bins
 over [min, max] (the bounds are a one-row aggregate, broadcast), every row
 emits one (pair, value_a, value_b) record per column pair, and a
 map-side-combined ``groupBy`` builds all contingency tables in one shuffle.
-Marginals and chi-square come from window sums over the (small) cell table.
+The non-empty cells are written once; marginals are aggregates of them, and
+joins on (pair, value) bring them back, so no task holds a pair's table.
 
 Only the phi_K inversion is Python: a vectorised pandas UDF over the
 per-pair rows (one row per column pair) that solves chi2(rho) = observed for
-a bivariate normal binned with the table's shape.
+a bivariate normal cut into as many equal-width bins as the table has rows
+and columns.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions.common import round_half_up
+from cohortlens.session import written
 
 
 def _binned(df: DataFrame, cols: Sequence[str], interval_cols: Sequence[str], bins: int) -> DataFrame:
@@ -67,17 +71,17 @@ def chi2_matrix(df: DataFrame, cols: Sequence[str], interval_cols: Sequence[str]
     over the full table, since an empty cell contributes exactly its
     expectation).  Empty rows/columns do not count towards the dof.
     """
-    cells = contingency_cells(df, cols, interval_cols, bins)
-    pair = Window.partitionBy("col_a", "col_b")
-    c = (cells.withColumn("ra", F.sum("n").over(Window.partitionBy("col_a", "col_b", "va")))
-              .withColumn("cb", F.sum("n").over(Window.partitionBy("col_a", "col_b", "vb")))
-              .withColumn("tot", F.sum("n").over(pair)))
-    g = c.groupBy("col_a", "col_b").agg(
-        F.first("tot").alias("total"),
-        # doubles: n^2 * total overflows a long at scale
-        (F.sum(F.col("n").cast("double") * F.col("n") * F.col("tot") / (F.col("ra").cast("double") * F.col("cb")))
-         - F.first("tot")).alias("chi2"),
-        F.countDistinct("va").alias("r"), F.countDistinct("vb").alias("k"))
+    cells = written(contingency_cells(df, cols, interval_cols, bins), "cells")
+    pair = ["col_a", "col_b"]
+    rows = cells.groupBy(*pair, "va").agg(F.sum("n").alias("ra"))
+    columns = cells.groupBy(*pair, "vb").agg(F.sum("n").alias("cb"))
+    sizes = rows.groupBy(*pair).agg(F.sum("ra").alias("total"), F.count(F.lit(1)).alias("r")).join(
+        columns.groupBy(*pair).agg(F.count(F.lit(1)).alias("k")), pair)
+    # doubles: n^2 * total overflows a long at scale
+    n = F.col("n").cast("double")
+    shares = cells.join(rows, [*pair, "va"]).join(columns, [*pair, "vb"]).groupBy(*pair).agg(
+        F.sum(n * n / (F.col("ra").cast("double") * F.col("cb"))).alias("share"))
+    g = sizes.join(shares, pair).withColumn("chi2", F.col("total") * F.col("share") - F.col("total"))
     m = F.least(F.col("r"), F.col("k")) - 1
     return g.select("col_a", "col_b", F.col("total").cast("long").alias("n"),
                     round_half_up(F.greatest(F.col("chi2"), F.lit(0.0)), dp).alias("chi2"),
@@ -88,79 +92,77 @@ def chi2_matrix(df: DataFrame, cols: Sequence[str], interval_cols: Sequence[str]
 
 
 # ---------------------------------------------------------------- phi_K inversion (numpy)
-def _phi(x: np.ndarray) -> np.ndarray:
-    """Standard normal CDF, vectorised: the same Hart rational approximation
-    as ``functions.stats.norm_cdf``, evaluated with numpy."""
-    from cohortlens.functions.stats import HART_DEN, HART_NUM, SQRT_2PI
-    x = np.asarray(x, dtype=float)
-    a = np.abs(x)
-    e = np.exp(-a * a / 2.0)
-    num = np.polyval(HART_NUM, a)
-    den = np.polyval(HART_DEN, a)
-    small = e * num / den
-    cf = a + 0.65
-    for k in (4.0, 3.0, 2.0, 1.0):
-        cf = a + k / cf
-    large = e / cf / SQRT_2PI
-    lower = np.where(a > 37.0, 0.0, np.where(a < 7.07106781186547, small, large))
-    return np.where(x > 0, 1.0 - lower, lower)
-
-
-def _binorm_cells(rho: float, nx: int, ny: int, grid: int = 801) -> np.ndarray:
-    """Cell probabilities of a standard bivariate normal with correlation
-    ``rho`` cut into nx x ny equal-probability bins."""
-    ex = np.array([-np.inf] + [_ppf((i + 1) / nx) for i in range(nx - 1)] + [np.inf])
-    ey = np.array([-np.inf] + [_ppf((j + 1) / ny) for j in range(ny - 1)] + [np.inf])
-    rho = min(max(rho, -0.999999), 0.999999)
-    s = math.sqrt(1.0 - rho * rho)
-    out = np.zeros((nx, ny))
-    for i in range(nx):
-        a = max(ex[i], -8.5)
-        b = min(ex[i + 1], 8.5)
-        x = np.linspace(a, b, grid)
-        w = np.exp(-x * x / 2.0) / math.sqrt(2.0 * math.pi)
-        cond = np.stack([_phi((e - rho * x) / s) if np.isfinite(e) else (np.ones_like(x) if e > 0 else np.zeros_like(x))
-                         for e in ey])
-        dens = w[None, :] * (cond[1:] - cond[:-1])
-        out[i] = np.trapezoid(dens, x, axis=1)
-    return out / out.sum()
-
-
-def _ppf(p: float) -> float:
-    from statistics import NormalDist
-    return NormalDist().inv_cdf(p)
-
-
-def _chi2_of_rho(rho: float, n: float, nx: int, ny: int, base: np.ndarray) -> float:
-    p = _binorm_cells(rho, nx, ny)
-    return n * float(np.sum((p - base) ** 2 / base))
+EDGE = 5.0  # the reference distribution is cut into equal-width bins over -EDGE .. EDGE
+NODES = 160  # of the Gauss-Legendre rule
+CHUNK = 1 << 22
+
+
+def _edges(bins: int) -> np.ndarray:
+    return np.linspace(-EDGE, EDGE, bins + 1)
+
+
+def _cdf(x: np.ndarray) -> np.ndarray:
+    return np.array([NormalDist().cdf(v) for v in x])
+
+
+def _excess(rho: float, nx: int, ny: int) -> np.ndarray:
+    """Cell probabilities of the standard bivariate normal less those at correlation 0.
+
+    The derivative of its distribution function by rho is its density, so the
+    excess at a corner (h, k) is the density's integral over correlations
+    0 .. rho, here with rho = sin(theta) by a Gauss-Legendre rule; a cell is
+    the second difference of its corners.  Worked through by rows of corners,
+    so memory is bounded; work is proportional to the cells.
+    """
+    node, weight = np.polynomial.legendre.leggauss(NODES)
+    top = math.asin(rho)
+    theta, weight = (node + 1) * top / 2, weight * top / 2
+    sine, cosine2 = np.sin(theta), np.cos(theta) ** 2
+    h, k = _edges(nx), _edges(ny)
+    corner = np.empty((nx + 1, ny + 1))
+    step = max(1, CHUNK // ((ny + 1) * NODES))
+    for i in range(0, nx + 1, step):
+        a, b = h[i:i + step, None, None], k[None, :, None]
+        corner[i:i + step] = np.exp(-(a * a + b * b - 2 * a * b * sine) / (2 * cosine2)) @ weight / (2 * math.pi)
+    return np.diff(np.diff(corner, axis=0), axis=1)
 
 
 def phik_from_chi2(chi2: float, n: float, nx: int, ny: int, pedestal: float) -> float:
-    """Invert chi2(rho) (scaled so rho=1 reaches n*min(nx-1, ny-1), offset by
-    the noise pedestal) by bisection."""
-    if nx < 2 or ny < 2 or n <= 0 or chi2 is None or np.isnan(chi2):
-        return float("nan")
-    base = np.full((nx, ny), 1.0 / (nx * ny))
-    chi2_max = n * min(nx - 1, ny - 1)
-    one = _chi2_of_rho(1.0, n, nx, ny, base)
-    scale = (chi2_max - pedestal) / one if one > 0 else 0.0
-
-    def f(r):
-        return _chi2_of_rho(r, n, nx, ny, base) * scale + pedestal
+    """Correlation of the binned bivariate normal with this chi-square.
 
+    chi2(rho) = pedestal + scale * n * sum((p(rho) - p(0))^2 / p(0)), where the
+    scale lets rho = 1 reach n * min(nx - 1, ny - 1).  A bracketed false
+    position (with halved weights) finds the root.  NaN for a table with one
+    row or column.
+    """
+    if nx < 2 or ny < 2 or n <= 0 or chi2 is None or math.isnan(chi2):
+        return math.nan
+    most = n * min(nx - 1, ny - 1)
     if chi2 <= pedestal:
         return 0.0
-    if chi2 >= chi2_max:
+    if chi2 >= most:
         return 1.0
-    lo, hi = 0.0, 1.0
-    for _ in range(40):
-        mid = (lo + hi) / 2
-        if f(mid) < chi2:
-            lo = mid
+    fx, fy = _cdf(_edges(nx)), _cdf(_edges(ny))
+    base = np.outer(np.diff(fx), np.diff(fy))
+    # Correlation 1: a cell has what its two intervals have in common.
+    low, high = np.maximum.outer(fx[:-1], fy[:-1]), np.minimum.outer(fx[1:], fy[1:])
+    one = float(((np.maximum(high - low, 0.0) - base) ** 2 / base).sum())
+    goal = (chi2 - pedestal) / (most - pedestal)
+
+    def miss(rho: float) -> float:
+        return float((_excess(rho, nx, ny) ** 2 / base).sum()) / one - goal
+
+    a, b, fa, fb, side = 0.0, 1.0, -goal, 1.0 - goal, 0
+    for _ in range(100):
+        rho = (a * fb - b * fa) / (fb - fa)
+        f = miss(rho)
+        if f < 0:
+            a, fa, fb, side = rho, f, fb / 2 if side < 0 else fb, -1
         else:
-            hi = mid
-    return (lo + hi) / 2
+            b, fb, fa, side = rho, f, fa / 2 if side > 0 else fa, 1
+        if abs(f) < 1e-12 or b - a < 1e-9:
+            break
+    return rho
 
 
 def _phik_udf():

@@ -1,5 +1,6 @@
 """Descriptive statistics: describe(), box-plot numbers, IQR fences, ECDF,
-equal-width density histograms.  All are aggregates + exact quantiles."""
+equal-width density histograms.  The first three share one pass over the
+input, its value counts (``ranks.Distribution``)."""
 
 from __future__ import annotations
 
@@ -7,66 +8,60 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.functions.common import exact_avg, round_half_up, safe_div
-from cohortlens.operators.quantiles import _null_safe_join, quantiles
+from cohortlens.functions.common import round_half_up, safe_div
+from cohortlens.operators.ranks import Distribution, attach, null_safe
+from cohortlens.session import written
 
 
-def describe(df: DataFrame, value: str, by: Sequence[str] = (), dp: int = 4,
-             method: str = "exact") -> DataFrame:
+def described(dist: Distribution, dp: int = 4) -> DataFrame:
+    """``describe`` of a distribution that is at hand."""
+    by = dist.by
+    j = null_safe(dist.moments(), dist.quantiles({"p25": .25, "p50": .5, "p75": .75}), by, "left")
+    r = lambda c: round_half_up(c, dp).alias(c)
+    return j.select(*by, "count", r("mean"), r("std"), "min", r("p25"), r("p50"), r("p75"), "max")
+
+
+def describe(df: DataFrame, value: str, by: Sequence[str] = (), dp: int = 4) -> DataFrame:
     """pandas ``describe()``: count, mean, std (ddof=1), min, quartiles, max.
 
     Quartiles are interpolated (``PERCENTILE_CONT``); nulls are ignored.
-    Group keys follow pandas: null keys are dropped.
+    Group keys follow pandas: null keys are dropped.  The input is evaluated
+    once.
     """
-    by = list(by)
-    x = df
     for k in by:
-        x = x.where(F.col(k).isNotNull())
-    agg = x.groupBy(*by).agg(F.count(value).alias("count"), exact_avg(value).alias("mean"),
-                             F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
-                             F.max(value).alias("max"))
-    q = quantiles(x, value, {"p25": .25, "p50": .5, "p75": .75}, by, kind="cont", method=method)
-    j = _null_safe_join(agg, q, by, "left")
-    r = lambda c: round_half_up(c, dp).alias(c)
-    return j.select(*by, "count", r("mean"), r("std"), F.col("min").cast("double").alias("min"),
-                    r("p25"), r("p50"), r("p75"), F.col("max").cast("double").alias("max"))
+        df = df.where(F.col(k).isNotNull())
+    return described(Distribution.of(df, value, by), dp)
+
 
+def _fenced(dist: Distribution, probs: dict[str, float], k: float) -> DataFrame:
+    """Quartiles with the fences ``k`` interquartile ranges outside, and the rows on both sides of them."""
+    iqr = F.col("q3") - F.col("q1")
+    q = dist.quantiles(probs).withColumns({"iqr": iqr, "lower": F.col("q1") - k * iqr, "upper": F.col("q3") + k * iqr})
+    return dist.around(q, "lower", "upper")
 
-def iqr_bounds(df: DataFrame, value: str, k: float = 1.5, by: Sequence[str] = (),
-               dp: int = 4, method: str = "exact") -> DataFrame:
-    """Tukey fences q1 - k*IQR, q3 + k*IQR and the ECDF at the upper fence."""
+
+def iqr_bounds(df: DataFrame, value: str, k: float = 1.5, by: Sequence[str] = (), dp: int = 4) -> DataFrame:
+    """Tukey fences q1 - k*IQR, q3 + k*IQR and the ECDF at the upper fence (share of non-null values <= it)."""
     by = list(by)
-    q = quantiles(df, value, {"q1": .25, "q3": .75}, by, kind="cont", method=method)
-    q = q.select(*by, "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
-    q = q.select(*by, "q1", "q3", "iqr", (F.col("q1") - k * F.col("iqr")).alias("lower"),
-                 (F.col("q3") + k * F.col("iqr")).alias("upper"))
-    # ECDF(upper) = share of non-null values <= upper: one more aggregate,
-    # joined against the (one row per group) fences.
-    j = _null_safe_join(df.select(*by, value).where(F.col(value).isNotNull()), q.select(*by, "upper"), by)
-    e = j.groupBy(*by).agg(F.avg((F.col(value) <= F.col("upper")).cast("double")).alias("ecdf"))
-    out = _null_safe_join(q, e, by, "left")
+    out = _fenced(Distribution.of(df.where(F.col(value).isNotNull()), value, by), {"q1": .25, "q3": .75}, k)
+    ecdf = safe_div(F.col("up_to"), F.col("up_to") + F.col("above"))
     r = lambda c: round_half_up(c, dp).alias(c)
     return out.select(*by, r("q1"), r("q3"), r("iqr"), r("lower"), r("upper"),
-                      round_half_up(F.col("ecdf") * 100.0, dp).alias("upper_percentile"))
+                      round_half_up(ecdf * 100.0, dp).alias("upper_percentile"))
+
+
+def boxed(dist: Distribution, k: float = 1.5, dp: int = 4) -> DataFrame:
+    """``box_stats`` of a distribution that is at hand."""
+    g = _fenced(dist, {"q1": .25, "median": .5, "q3": .75}, k)
+    r = lambda c, name=None: round_half_up(c, dp).alias(name or c)
+    return g.select(*dist.by, r("q1"), r("median"), r("q3"), r("inner_low", "whisker_low"),
+                    r("inner_high", "whisker_high"), (F.col("below") + F.col("above")).alias("fliers"))
 
 
-def box_stats(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.5, dp: int = 4,
-              method: str = "exact") -> DataFrame:
+def box_stats(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.5, dp: int = 4) -> DataFrame:
     """Box-plot numbers: quartiles, whiskers at the extreme points within
     k*IQR of the box, and the number of fliers."""
-    by = list(by)
-    q = quantiles(df, value, {"q1": .25, "median": .5, "q3": .75}, by, kind="cont", method=method)
-    x = _null_safe_join(df.select(*by, value).where(F.col(value).isNotNull()), q, by)
-    lo = F.col("q1") - k * (F.col("q3") - F.col("q1"))
-    hi = F.col("q3") + k * (F.col("q3") - F.col("q1"))
-    v = F.col(value).cast("double")
-    g = x.groupBy(*by).agg(F.first("q1").alias("q1"), F.first("median").alias("median"),
-                           F.first("q3").alias("q3"),
-                           F.min(F.when(v >= lo, v)).alias("whisker_low"),
-                           F.max(F.when(v <= hi, v)).alias("whisker_high"),
-                           F.sum(((v < lo) | (v > hi)).cast("long")).alias("fliers"))
-    r = lambda c: round_half_up(c, dp).alias(c)
-    return g.select(*by, r("q1"), r("median"), r("q3"), r("whisker_low"), r("whisker_high"), "fliers")
+    return boxed(Distribution.of(df.where(F.col(value).isNotNull()), value, by), k, dp)
 
 
 def density_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 30,
@@ -77,24 +72,20 @@ def density_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: i
     count 0 by exploding ``sequence(0, bins-1)`` per group (bins * groups rows).
     """
     by = list(by)
-    x = df.select(*by, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     for k in by:
-        x = x.where(F.col(k).isNotNull())
-    rng = x.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
-    if not by:
-        # Global histogram: three numbers, fetched once and used as literals
-        # (bounded), so the input is not re-evaluated for the bin grid.
-        r = rng.first()
-        rng = x.sparkSession.range(1).select(F.lit(r["lo"]).cast("double").alias("lo"),
-                                             F.lit(r["hi"]).cast("double").alias("hi"),
-                                             F.lit(r["n"]).cast("long").alias("n"))
+        df = df.where(F.col(k).isNotNull())
+    dist = Distribution.of(df.where(F.col(value).isNotNull()), value, by)
+    # The ranges and the bins both come from the value counts; the ranges, one
+    # row a group, meet them salted or by a counted broadcast.
+    rng = written(dist.index().groupBy(*by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                                                F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "ranges")
     width = (F.col("hi") - F.col("lo")) / float(bins)
-    j = _null_safe_join(x, rng, by)
+    j = attach(dist.counts, rng, by)
     idx = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
-    cnt = j.groupBy(*by, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+        F.least(F.floor((F.col("__v").cast("double") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
+    cnt = j.groupBy(*by, idx.alias("bin")).agg(F.sum("__c").alias("count"))
     grid = rng.select(*by, "lo", "hi", "n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    g = _null_safe_join(grid, cnt, by + ["bin"], "left")
+    g = null_safe(grid, cnt, by + ["bin"], "left")
     w = (F.col("hi") - F.col("lo")) / float(bins)
     low = F.col("lo") + F.col("bin") * w
     return g.select(*by, "bin", round_half_up(low, dp).alias("low"),

@@ -1,4 +1,4 @@
-"""Exact quantiles (discrete and interpolated) per group, distributed.
+"""Quantiles (discrete and interpolated) per group.
 
 Semantics
 ---------
@@ -11,28 +11,9 @@ Nulls are ignored; a group whose values are all null yields no row.
 
 Methods
 -------
-``exact`` (default) never holds a whole group in one task:
-
-1. pre-aggregate to ``(group, value) -> count`` (map-side combine: a hot
-   value collapses to one row) and checkpoint it, so the two passes below
-   read the counts instead of re-evaluating the input;
-2. split every group into ``buckets`` value ranges whose bounds come from
-   ``percentile_approx`` over the distinct values.  The bounds only balance
-   the work, they do not affect the answer, and they are fixed once so every
-   later use sees the same bounds even if a task is recomputed: a global
-   quantile fetches its (at most ``buckets - 1``) bounds as literals, so does
-   a caller that proves a small group count (``literal_groups``, e.g. one
-   group per column in ``column_quantiles``); other grouped bounds are
-   checkpointed (reliable checkpoint in ``spark.checkpoint.dir``);
-3. bucket totals -> running offsets per group (at most ``buckets`` rows per
-   group);
-4. only the bucket holding each target rank is scanned with a running sum,
-   partitioned by (group, bucket, target).
-
-``domain`` is the same computation with a single bucket per group: exact,
-no checkpoint, and still safe for a hot group because the window runs over
-the group's *distinct values*.  Use it when the value domain is small by
-construction (counts, ratings, small integer codes).
+``exact`` (default) counts the values of each group once and finds the ranks
+by refining ranges of values (see ``ranks.Distribution``): no task holds a
+group, whatever its number of distinct values.
 
 ``builtin`` uses Spark's ``percentile`` / ``percentile_disc`` aggregates
 (one pass; memory per group proportional to its distinct values), fine when
@@ -42,184 +23,46 @@ group cardinality is known to be small.  ``approx`` uses
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlens.session import checkpoint
-from cohortlens.operators.scalar import with_scalars
-
-
-def _bucket(bounds: Column, v: Column, buckets: int) -> Column:
-    """Number of ascending ``bounds`` below ``v``, by binary search."""
-    steps = [1 << k for k in reversed(range((buckets - 1).bit_length()))]
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0),
-                       lambda lo, step: F.when(F.get(bounds, lo + step - 1) < v, lo + step).otherwise(lo))
-
-
-def _probs(probs) -> dict[str, float]:
-    if isinstance(probs, Mapping):
-        return {str(k): float(v) for k, v in probs.items()}
-    return {f"p{int(round(p * 100)):02d}" if p * 100 == int(p * 100) else f"p{p}": float(p)
-            for p in probs}
-
-
-def _null_safe_join(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``by`` treating null keys as equal (SQL groups keep a null key)."""
-    if not by:
-        # Global case: ``b`` is a one-row aggregate - attach it as scalars.
-        return with_scalars(a, b)
-    rb = b.select(*[F.col(k).alias(f"__r_{k}") for k in by], *[c for c in b.columns if c not in by])
-    cond = None
-    for k in by:
-        c = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-        cond = c if cond is None else cond & c
-    return a.join(rb, cond, how).drop(*[f"__r_{k}" for k in by])
+from cohortlens.operators.ranks import Distribution, probabilities
 
 
 def quantiles(df: DataFrame, value: str | Column, probs, by: Sequence[str] = (),
-              kind: str = "cont", method: str = "exact", buckets: int = 128,
-              accuracy: int = 10000, out_type: str = "double", literal_groups: int = 0) -> DataFrame:
+              kind: str = "cont", method: str = "exact", accuracy: int = 10000,
+              out_type: str = "double") -> DataFrame:
     """Quantiles of ``value`` per ``by`` group, one column per probability.
 
     ``probs`` is a list of fractions (columns named ``p25``, ``p50``...) or a
     mapping ``{column_name: fraction}``.
     """
-    pm = _probs(probs)
-    by = list(by)
-    v = F.col(value) if isinstance(value, str) else value
-    base = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull())
     if kind not in ("cont", "disc"):
         raise ValueError("kind must be 'cont' or 'disc'")
-
-    if method == "builtin":
-        if kind == "cont":
-            aggs = [F.percentile(F.col("__v"), F.lit(p)).alias(n) for n, p in pm.items()]
-        else:
-            aggs = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY __v)").alias(n)
-                    for n, p in pm.items()]
-        out = base.groupBy(*by).agg(*aggs)
-        return out.select(*by, *[F.col(n).cast(out_type).alias(n) for n in pm])
+    by, v = list(by), F.col(value) if isinstance(value, str) else value
+    base = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull())
+    if method == "exact":
+        return Distribution.of(base, "__v", by).quantiles(probs, kind, out_type)
+    pm = probabilities(probs)
     if method == "approx":
-        aggs = [F.percentile_approx("__v", p, accuracy).alias(n) for n, p in pm.items()]
-        out = base.groupBy(*by).agg(*aggs)
-        return out.select(*by, *[F.col(n).cast(out_type).alias(n) for n in pm])
-    if method not in ("exact", "domain"):
-        raise ValueError(f"unknown method {method}")
-
-    vc = base.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    if method == "domain":
-        # The running window sees one row per distinct value of the group.
-        return _from_value_counts(vc, pm, by, kind, out_type)
-    # Both remaining passes (bounds, ranks) read the value counts: materialise
-    # them once (reliable checkpoint) instead of re-evaluating the input.
-    vc = checkpoint(vc)
-    fr = [i / buckets for i in range(1, buckets)]
-    approx = vc.groupBy(*by).agg(F.percentile_approx(F.col("__v").cast("double"), fr, accuracy).alias("__bnd"))
-    v = F.col("__v").cast("double")
-    if not by:
-        # Global: at most ``buckets - 1`` numbers, fetched once as a literal
-        # array (a bounded scalar result), so every use sees the same bounds.
-        bnd = approx.first()["__bnd"] or []
-        bk = vc.select("__v", "__c", _bucket(F.array(*[F.lit(float(b)) for b in bnd] or [F.lit(None).cast("double")]),
-                                             v, buckets).alias("__b"))
-    elif literal_groups and len(by) == 1:
-        # The caller proves the group count is at most ``literal_groups``
-        # (e.g. one group per profiled column): fetch the bounded bound arrays
-        # once and use them as a literal map keyed by the group value.
-        rows = approx.limit(literal_groups + 1).collect()
-        if len(rows) > literal_groups:
-            raise ValueError(f"more than {literal_groups} groups")
-        kv = [x for r in rows for x in (F.lit(r[by[0]]), F.array(*[F.lit(float(b)) for b in (r["__bnd"] or [])]
-                                                                  or [F.lit(None).cast("double")]))]
-        bmap = F.create_map(*kv)
-        bk = vc.select(*by, "__v", "__c", _bucket(F.element_at(bmap, F.col(by[0])), v, buckets).alias("__b"))
+        aggs = {n: F.percentile_approx("__v", p, accuracy) for n, p in pm.items()}
+    elif method == "builtin" and kind == "cont":
+        aggs = {n: F.percentile(F.col("__v"), F.lit(p)) for n, p in pm.items()}
+    elif method == "builtin":
+        aggs = {n: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY __v)") for n, p in pm.items()}
     else:
-        # Grouped: one bound array per group, checkpointed (reliable) so a
-        # recomputed task cannot see different bounds; joined on the group key.
-        bounds = checkpoint(approx)
-        bk = _null_safe_join(vc, bounds, by).select(
-            *by, "__v", "__c", _bucket(F.col("__bnd"), v, buckets).alias("__b"))
-    tot = bk.groupBy(*by, "__b").agg(F.sum("__c").alias("__nb"))
-    gw = Window.partitionBy(*by)
-    tot = (tot.withColumn("__off", F.sum("__nb").over(gw.orderBy("__b")) - F.col("__nb"))
-              .withColumn("__n", F.sum("__nb").over(gw)))
-
-    # Target ranks (1-based) per group and probability.
-    targets = []
-    for name, p in pm.items():
-        if kind == "disc":
-            k = F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("__n")).cast("long"))
-            targets.append(F.struct(F.lit(name).alias("q"), F.lit("lo").alias("w"), k.alias("k")))
-        else:
-            h = F.lit(p) * (F.col("__n") - 1)
-            targets.append(F.struct(F.lit(name).alias("q"), F.lit("lo").alias("w"),
-                                    (F.floor(h) + 1).cast("long").alias("k")))
-            targets.append(F.struct(F.lit(name).alias("q"), F.lit("hi").alias("w"),
-                                    (F.ceil(h) + 1).cast("long").alias("k")))
-    tg = (tot.select(*by, "__b", "__off", "__nb", "__n", F.explode(F.array(*targets)).alias("t"))
-          .select(*by, "__b", "__off", "__n", "t.q", "t.w", "t.k")
-          .where((F.col("k") > F.col("__off")) & (F.col("k") <= F.col("__off") + F.col("__nb"))))
-    det = _null_safe_join(bk, tg, by + ["__b"])
-    rw = Window.partitionBy(*by, "__b", "q", "w").orderBy("__v")
-    det = det.withColumn("__cum", F.col("__off") + F.sum("__c").over(rw))
-    hit = (det.where((F.col("__cum") >= F.col("k")) & (F.col("__cum") - F.col("__c") < F.col("k")))
-           .select(*by, "q", "w", "__n", F.col("__v").cast("double").alias("val")))
-    aggs = []
-    for name, p in pm.items():
-        lo = F.max(F.when((F.col("q") == name) & (F.col("w") == "lo"), F.col("val")))
-        if kind == "disc":
-            aggs.append(lo.alias(name))
-        else:
-            hi = F.max(F.when((F.col("q") == name) & (F.col("w") == "hi"), F.col("val")))
-            h = F.lit(p) * (F.max("__n") - 1)
-            aggs.append((lo + (hi - lo) * (h - F.floor(h))).alias(name))
-    out = hit.groupBy(*by).agg(*aggs)
-    return out.select(*by, *[F.col(n).cast(out_type).alias(n) for n in pm])
-
-
-def _rank_targets(kind: str, p: float, n):
-    """1-based ranks to read for probability p: [(tag, rank)]."""
-    if kind == "disc":
-        return [("lo", F.greatest(F.lit(1), F.ceil(F.lit(p) * n).cast("long")))]
-    h = F.lit(p) * (n - 1)
-    return [("lo", (F.floor(h) + 1).cast("long")), ("hi", (F.ceil(h) + 1).cast("long"))]
-
-
-def _from_value_counts(vc: DataFrame, pm: dict[str, float], by: list[str], kind: str,
-                       out_type: str) -> DataFrame:
-    """Quantiles straight from (group, value, count) rows with a running
-    count per group; every target rank is picked by a conditional aggregate
-    (no join).  Work per group is proportional to its distinct values."""
-    gw = Window.partitionBy(*by)
-    x = (vc.withColumn("__cum", F.sum("__c").over(gw.orderBy("__v")))
-           .withColumn("__n", F.sum("__c").over(gw)))
-    v = F.col("__v").cast("double")
-    aggs = []
-    for name, p in pm.items():
-        got = {}
-        for tag, k in _rank_targets(kind, p, F.col("__n")):
-            hit = (F.col("__cum") >= k) & (F.col("__cum") - F.col("__c") < k)
-            got[tag] = F.max(F.when(hit, v))
-        if kind == "disc":
-            aggs.append(got["lo"].alias(name))
-        else:
-            h = F.lit(p) * (F.max("__n") - 1)
-            aggs.append((got["lo"] + (got["hi"] - got["lo"]) * (h - F.floor(h))).alias(name))
-    out = x.groupBy(*by).agg(*aggs)
-    return out.select(*by, *[F.col(n).cast(out_type).alias(n) for n in pm])
+        raise ValueError(f"unknown method {method}")
+    return base.groupBy(*by).agg(*[a.cast(out_type).alias(n) for n, a in aggs.items()])
 
 
 def quantiles_from_counts(counts: DataFrame, value: str, count: str, probs, by: Sequence[str] = (),
                           kind: str = "cont", out_type: str = "double") -> DataFrame:
     """Exact quantiles from an already aggregated (group, value, count)
     frame - e.g. a pre-aggregate shared with other metrics - so the raw rows
-    are not read again.  Work per group is proportional to its distinct
-    values (the ``domain`` path)."""
-    by = list(by)
-    vc = (counts.where(F.col(value).isNotNull())
-          .groupBy(*by, F.col(value).alias("__v")).agg(F.sum(count).alias("__c")))
-    return _from_value_counts(vc, _probs(probs), by, kind, out_type)
+    are not read again."""
+    rows = counts.where(F.col(value).isNotNull())
+    return Distribution.of_counts(rows, value, count, by).quantiles(probs, kind, out_type)
 
 
 def median(df: DataFrame, value: str, by: Sequence[str] = (), kind: str = "cont",
@@ -228,21 +71,17 @@ def median(df: DataFrame, value: str, by: Sequence[str] = (), kind: str = "cont"
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs, by: Sequence[str] = (),
-                     kind: str = "cont", method: str = "exact", buckets: int = 128) -> DataFrame:
+                     kind: str = "cont", method: str = "exact") -> DataFrame:
     """Quantiles of several columns in one distributed pass.
 
     The columns are unpivoted to ``(column, value)`` rows and handled as one
     more grouping key, so k columns cost one shuffle instead of k.  Returns one
     row per ``by`` group with columns ``{col}_{prob_name}``.
     """
-    pm = _probs(probs)
-    by = list(by)
+    pm, by = probabilities(probs), list(by)
     long = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__val")) for c in cols
     ])).alias("__kv")).select(*by, "__kv.__col", "__kv.__val")
-    # Without outer groups the only key is the column name: at most len(cols)
-    # groups, so the bucket bounds can travel as literals.
-    q = quantiles(long, "__val", pm, by + ["__col"], kind=kind, method=method, buckets=buckets,
-                  literal_groups=0 if by else len(cols))
+    q = quantiles(long, "__val", pm, by + ["__col"], kind=kind, method=method)
     aggs = [F.max(F.when(F.col("__col") == c, F.col(n))).alias(f"{c}_{n}") for c in cols for n in pm]
     return q.groupBy(*by).agg(*aggs)

@@ -10,7 +10,7 @@ from cohortlens.operators.quantiles import column_quantiles
 
 
 def trim_outliers(df: DataFrame, upper: Mapping[str, float], lower: Mapping[str, float] | None = None,
-                  null_ok: Iterable[str] = (), method: str = "exact") -> DataFrame:
+                  null_ok: Iterable[str] = ()) -> DataFrame:
     """Keep rows strictly inside discrete-percentile limits.
 
     ``upper={col: p}`` keeps ``col < PERCENTILE_DISC(p)``; ``lower`` keeps
@@ -31,7 +31,7 @@ def trim_outliers(df: DataFrame, upper: Mapping[str, float], lower: Mapping[str,
         probs[f"lo_{c}"] = p
     uniq = {f"q{i}": p for i, p in enumerate(sorted(set(probs.values())))}
     name_of = {p: n for n, p in uniq.items()}
-    lim = column_quantiles(df, cols, uniq, kind="disc", method=method)
+    lim = column_quantiles(df, cols, uniq, kind="disc")
     lim = lim.select(*[F.col(f"{c}_{name_of[p]}").alias(f"__hi_{c}") for c, p in upper.items()],
                      *[F.col(f"{c}_{name_of[p]}").alias(f"__lo_{c}") for c, p in lower.items()])
     # The limits are one row of len(upper) + len(lower) numbers: fetched once

@@ -376,3 +376,5 @@ query("phik_matrix")(lambda spark, d: P.rating_association(_places(spark, d)))
 query("phik_matrix__chi2")(lambda spark, d: P.rating_association(_places(spark, d), with_phik=False))
 query("phik_matrix__strongest")(lambda spark, d: strongest_correlate(
     P.rating_association(_places(spark, d)), "rating"))
+query("phik_matrix__strongest_v")(lambda spark, d: strongest_correlate(
+    P.rating_association(_places(spark, d), with_phik=False), "rating", metric="cramers_v"))

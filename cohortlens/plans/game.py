@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions.common import exact_avg, exact_sum, round_half_up, safe_div
-from cohortlens.operators.quantiles import quantiles
+from cohortlens.operators.ranks import Distribution
 from cohortlens.operators.scalar import scalar_frame, with_scalars
 
 
@@ -41,13 +41,10 @@ def payer_share_by_race(users: DataFrame, total_row: bool = True, dp: int = 4) -
 
 def purchase_stats(purchases: DataFrame, dp: int = 4) -> DataFrame:
     """count, min, max, mean, interpolated median and sample std of amounts."""
-    a = purchases.agg(F.count("amount").alias("count"), F.min("amount").alias("min"),
-                      F.max("amount").alias("max"), exact_avg("amount").alias("mean"),
-                      F.stddev_samp("amount").alias("std"))
-    m = quantiles(purchases, "amount", {"median": .5}, kind="cont")
-    return with_scalars(a, m).select(
-        "count", F.col("min").cast("double").alias("min"), F.col("max").cast("double").alias("max"),
-        round_half_up("mean", dp).alias("mean"), round_half_up("median", dp).alias("median"),
+    amounts = Distribution.of(purchases, "amount")
+    found = with_scalars(amounts.moments(), amounts.quantiles({"median": .5}))
+    return found.select(
+        "count", "min", "max", round_half_up("mean", dp).alias("mean"), round_half_up("median", dp).alias("median"),
         round_half_up("std", dp).alias("std"))
 
 

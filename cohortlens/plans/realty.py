@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions.common import exact_avg, exact_sum, round_half_up, safe_div
 from cohortlens.operators.trim import trim_outliers
-from cohortlens.session import checkpoint
+from cohortlens.session import written
 
 # --- fixed values: the study's exposure buckets (inclusive day ranges);
 # anything else, including still-active listings with a null duration,
@@ -28,10 +28,11 @@ def trim_flats(flats: DataFrame) -> DataFrame:
     """The study's standard trimming: 99th percentile caps, ceiling height
     also floored at the 1st percentile; nulls pass except for total area.
 
-    The flats are written once (checkpoint), for the limits and the filter.
+    The flats are written once, with the columns that they have, for the limits
+    and the filter.
     """
     return trim_outliers(
-        checkpoint(flats),
+        written(flats, "flats"),
         upper={"total_area": .99, "rooms": .99, "balcony": .99, "ceiling_height": .99},
         lower={"ceiling_height": .01},
         null_ok=("rooms", "balcony", "ceiling_height"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions.common import round_half_up, round_half_even, safe_div
 from cohortlens.operators import hypothesis as H
-from cohortlens.operators.quantiles import quantiles
+from cohortlens.operators.ranks import Distribution
 from cohortlens.operators.scalar import with_scalars
 
 
@@ -69,12 +69,10 @@ def page_counter_dist(sessions: DataFrame) -> DataFrame:
 
 def page_counter_stats(sessions: DataFrame, dp: int = 4) -> DataFrame:
     """Median (interpolated), mean and max pages per session."""
-    # pages per session is a small integer: exact median over its domain.
-    med = quantiles(sessions, "page_counter", {"median_pages": .5}, kind="cont", method="domain")
-    agg = sessions.agg(round_half_up(F.avg("page_counter"), dp).alias("mean_pages"),
-                       F.max("page_counter").alias("max_pages"))
-    return with_scalars(agg, med).select(
-        round_half_up("median_pages", dp).alias("median_pages"), "mean_pages", "max_pages")
+    pages = Distribution.of(sessions, "page_counter")
+    found = with_scalars(pages.moments(), pages.quantiles({"median": .5}))
+    return found.select(round_half_up("median", dp).alias("median_pages"), round_half_up("mean", dp).alias("mean_pages"),
+                        F.col("max").cast(sessions.schema["page_counter"].dataType).alias("max_pages"))
 
 
 def _good(min_pages: int):

@@ -15,8 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions.common import exact_avg, exact_sum, round_half_even, round_half_up, safe_div
-from cohortlens.operators.describe import box_stats, describe
-from cohortlens.operators.quantiles import quantiles
+from cohortlens.operators.describe import boxed, described
+from cohortlens.operators.ranks import Distribution
 from cohortlens.operators.scalar import with_scalars
 from cohortlens.sources.tables import normalize_headers
 
@@ -44,9 +44,8 @@ def funding_by_year(cr: DataFrame, min_rounds: int = 50, dp: int = 4) -> DataFra
     ``min_rounds`` rounds)."""
     x = (cr.select(F.year("funded_at").alias("funded_year"), "raised_amount")
          .where(F.col("raised_amount").isNotNull() & F.col("funded_year").isNotNull()))
-    cnt = x.groupBy("funded_year").agg(F.count("raised_amount").alias("rounds_count"))
-    med = quantiles(x, "raised_amount", {"typical_round": .5}, ["funded_year"], kind="cont")
-    j = cnt.where(F.col("rounds_count") > min_rounds).join(med, "funded_year")
+    rounds = Distribution.of(x, "raised_amount", ["funded_year"])
+    j = rounds.quantiles({"typical_round": .5}, total="rounds_count").where(F.col("rounds_count") > min_rounds)
     return j.select("funded_year", round_half_up("typical_round", dp).alias("typical_round"), "rounds_count")
 
 
@@ -192,9 +191,10 @@ def status_consistency(final: DataFrame) -> DataFrame:
 
 
 def funding_summary(final: DataFrame) -> DataFrame:
-    """describe() of total funding plus box numbers of the positive part."""
-    d = describe(final, "funding_total")
-    b = box_stats(final.where(F.col("funding_total") > 0), "funding_total")
+    """describe() of total funding plus box numbers of the positive part, from one table of value counts."""
+    funding = Distribution.of(final, "funding_total")
+    d = described(funding)
+    b = boxed(funding.where(F.col("__v") > 0))
     b = b.select(*[F.col(c).alias(f"box_{c}") for c in ("q1", "median", "q3")], "whisker_low",
                  "whisker_high", "fliers")
     return with_scalars(d, b)
@@ -217,29 +217,22 @@ def category_price_stats(final: DataFrame, acquisition: DataFrame, min_count: in
                          order_by: str = "median_price", k: int = 10, dp: int = 4) -> DataFrame:
     """Seven price statistics per category (n >= ``min_count``), top ``k``."""
     j = _deals(final, acquisition).where(F.col("category_code").isNotNull())
-    agg = j.groupBy("category_code").agg(
-        F.count("price_amount").alias("count"), exact_avg("price_amount").alias("mean_price"),
-        F.stddev_samp("price_amount").alias("std_price"), F.min("price_amount").alias("min_price"),
-        F.max("price_amount").alias("max_price"))
-    q = quantiles(j, "price_amount", {"q1": .25, "median_price": .5, "q3": .75}, ["category_code"],
-                  kind="cont")
-    s = agg.where(F.col("count") >= min_count).join(q, "category_code", "left")
+    prices = Distribution.of(j, "price_amount", ["category_code"])
+    q = prices.quantiles({"q1": .25, "median_price": .5, "q3": .75})
+    s = prices.moments().withColumnsRenamed({c: f"{c}_price" for c in ("mean", "std", "min", "max")})
+    s = s.where(F.col("count") >= min_count).join(q, "category_code", "left")
     s = s.select("category_code", "count", round_half_up("median_price", dp).alias("median_price"),
                  round_half_up("mean_price", dp).alias("mean_price"),
                  round_half_up("std_price", dp).alias("std_price"),
-                 F.col("min_price").cast("double").alias("min_price"),
-                 F.col("max_price").cast("double").alias("max_price"),
+                 "min_price", "max_price",
                  round_half_up(F.col("q3") - F.col("q1"), dp).alias("iqr_price"))
     return s.orderBy(F.col(order_by).desc_nulls_last(), "category_code").limit(k)
 
 
 def rounds_by_status(final: DataFrame, dp: int = 4) -> DataFrame:
     x = final.where(F.col("status").isNotNull())
-    agg = x.groupBy("status").agg(F.avg("funding_rounds").alias("mean"),
-                                  F.count("funding_rounds").alias("count"))
-    # funding_rounds is a small integer count: exact median over its domain.
-    q = quantiles(x, "funding_rounds", {"median": .5}, ["status"], kind="cont", method="domain")
-    j = agg.join(q, "status", "left")
+    rounds = Distribution.of(x, "funding_rounds", ["status"])
+    j = rounds.moments().join(rounds.quantiles({"median": .5}), "status", "left")
     return j.select("status", round_half_up("median", dp).alias("median"),
                     round_half_up("mean", dp).alias("mean"), "count")
 

@@ -58,13 +58,17 @@ def test_keep_one_combines_map_side(spark):
     assert {r["k"]: r["ord"] for r in out.where("k = 0").collect()} == {0: 2997}
 
 
-def test_exact_quantile_rank_window_is_bucketed(spark):
-    from cohortlens.operators.quantiles import quantiles
-    df = spark.range(0, 3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'cold' END AS g",
-                                         "CAST(id AS DOUBLE) AS v")
-    q = quantiles(df, "v", [0.5], ["g"], buckets=8)
-    p = q._jdf.queryExecution().optimizedPlan().toString()
-    # the running-count window is partitioned by (group, bucket, target), not by group alone
-    assert any("__b" in line and "Window" in line for line in p.splitlines())
-    hot = q.where("g = 'hot'").first()["p50"]
-    assert hot == 1498.5
+def test_quantiles_without_windows_or_joins_on_the_group(spark, monkeypatch):
+    import re
+    from cohortlens.operators import ranks
+    monkeypatch.setattr(ranks, "BROADCAST_ROWS", 0)  # as if the groups were many
+    df = spark.range(0, 30000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'cold' END AS g",
+                                          "1000 + CAST(id AS DOUBLE) / 1e6 AS v")
+    q = ranks.Distribution.of(df, "v", ["g"]).quantiles([0.5])
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    # the value counts meet cells of a group, dealt to parts
+    joins = [line for line in plan.splitlines() if "Join" in line and "salt" in line]
+    assert joins and all(re.search(r"\bb#", line) for line in joins)
+    assert q.where("g = 'hot'").first()["p50"] == pytest.approx(1000.0149985)
+
