@@ -35,7 +35,8 @@ FANOUT = 1024
 SALT = 32
 BROADCAST_ROWS = 10_000
 PER_E_FOLD = 64
-CELL = "struct<b:double,n:bigint,d:bigint,lo:double,hi:double>"
+HIT = "struct<off:bigint,cell:struct<b:double,n:bigint,d:bigint,lo:double,hi:double>>"
+X = "CAST(__v AS DOUBLE)"
 
 
 def probabilities(probs: Mapping[str, float] | Sequence[float]) -> dict[str, float]:
@@ -45,13 +46,17 @@ def probabilities(probs: Mapping[str, float] | Sequence[float]) -> dict[str, flo
     return {f"p{int(round(p * 100)):02d}" if p * 100 == int(p * 100) else f"p{p}": float(p) for p in probs}
 
 
+def names(*columns: str) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join where null keys are equal; ``right`` has one row if there are no keys."""
     if not keys:
         return with_scalars(left, right)
-    named = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
-    return left.join(named, same, how).drop(*[f"__r_{k}" for k in keys])
+    same = F.expr(" AND ".join(f"l.`{k}` <=> r.`{k}`" for k in keys))
+    return left.alias("l").join(right.alias("r"), same, how).select(
+        "l.*", *[f"r.`{c}`" for c in right.columns if c not in keys])
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,37 +69,29 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
         return with_scalars(rows, table)
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return null_safe(rows, F.broadcast(table), keys)
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALT)).cast("int"))
-    parts = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.selectExpr("*", f"CAST(pmod(xxhash64(__v), {SALT}) AS INT) AS __salt")
+    parts = table.selectExpr("*", f"explode(sequence(0, {SALT - 1})) AS __salt")
     return null_safe(salted, parts, [*keys, "__salt"]).drop("__salt")
 
 
-def first_cell(x: Column) -> Column:
-    """Number of a double's first cell: ascending, the same for all groups (null: null).
+# Number of a double's first cell: ascending, the same for all groups (null: null).  The logarithm is monotone, so
+# cells are ranges; NaN, the largest value, has a cell to itself.
+FIRST_CELL = (f"CASE WHEN isnan({X}) THEN 1e6D WHEN __v IS NOT NULL THEN CAST(floor(least(greatest("
+              f"signum({X}) * log1p(abs({X})), -720D), 720D) * {PER_E_FOLD}) AS DOUBLE) END")
 
-    The logarithm is monotone, so cells are ranges; NaN, the largest value,
-    has a cell to itself.
-    """
-    log = F.signum(x) * F.log1p(F.abs(x))
-    number = F.floor(F.least(F.greatest(log, F.lit(-720.0)), F.lit(720.0)) * PER_E_FOLD).cast("double")
-    return F.when(F.isnan(x), F.lit(1e6)).when(x.isNotNull(), number)
 
+def _holding(rank: str) -> str:
+    """(off, cell): the cell of the sorted ``cells`` that holds a 1-based rank, and the counts before it."""
+    return (f"aggregate(cells, named_struct('off', 0L, 'hit', CAST(NULL AS {HIT})), (a, c) -> named_struct("
+            f"'off', a.off + c.n, 'hit', CASE WHEN a.off < {rank} AND a.off + c.n >= {rank} "
+            f"THEN named_struct('off', a.off, 'cell', c) ELSE a.hit END), a -> a.hit)")
 
-def _holding(cells: Column, rank: Column) -> Column:
-    """(off, cell): the cell of a sorted array that holds a 1-based rank, and the counts before it."""
-    start = F.struct(F.lit(0).cast("long").alias("off"), F.lit(None).cast(f"struct<off:bigint,cell:{CELL}>").alias("hit"))
-    return F.aggregate(cells, start, lambda a, c: F.struct(
-        (a["off"] + c["n"]).alias("off"),
-        F.when((a["off"] < rank) & (a["off"] + c["n"] >= rank), F.struct(a["off"].alias("off"), c.alias("cell")))
-        .otherwise(a["hit"]).alias("hit")), lambda a: a["hit"])
 
-
-def _ranks(kind: str, p: float, n: Column) -> list[tuple[str, Column]]:
-    """1-based ranks that a quantile is made of."""
+def _ranks(kind: str, p: float) -> dict[str, str]:
+    """1-based ranks among ``total`` values that a quantile is made of."""
     if kind == "disc":
-        return [("lo", F.greatest(F.lit(1), F.ceil(F.lit(p) * n).cast("long")))]
-    h = F.lit(p) * (n - 1)
-    return [("lo", (F.floor(h) + 1).cast("long")), ("hi", (F.ceil(h) + 1).cast("long"))]
+        return {"lo": f"greatest(1L, CAST(ceil({p!r}D * total) AS BIGINT))"}
+    return {w: f"CAST({f}({p!r}D * (total - 1)) AS BIGINT) + 1" for w, f in (("lo", "floor"), ("hi", "ceil"))}
 
 
 class Distribution:
@@ -107,7 +104,7 @@ class Distribution:
     @classmethod
     def of(cls, df: DataFrame, value: str | Column, by: Sequence[str] = ()) -> Distribution:
         v = F.col(value) if isinstance(value, str) else value
-        counts = df.select(*by, v.alias("__v")).groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
+        counts = df.select(*by, v.alias("__v")).groupBy(*by, "__v").agg(F.expr("count(1) AS __c"))
         return cls(written(counts, "value-counts"), by)
 
     @classmethod
@@ -116,18 +113,20 @@ class Distribution:
         counts = df.groupBy(*by, F.col(value).alias("__v")).agg(F.sum(count).alias("__c"))
         return cls(written(counts, "value-counts"), by)
 
-    def where(self, condition: Column) -> Distribution:
+    def where(self, condition: Column | str) -> Distribution:
         """The part whose values (``__v``) meet a condition, without reading the input again."""
         return Distribution(self.counts.where(condition), self.by)
 
+    def _grouped(self, df: DataFrame, keys: Sequence[str], *aggregates: str) -> DataFrame:
+        return df.groupBy(*keys).agg(*map(F.expr, aggregates))
+
     def index(self, keep: bool = True) -> DataFrame:
         """(by, b, n, d, lo, hi, s): rows, distinct values, range and exact sum of each first cell."""
         if self._index is None:
-            x = F.col("__v").cast("double")
-            times = F.col("__v").cast("decimal(28,6)") * F.col("__c").cast("decimal(18,0)")
-            cells = self.counts.groupBy(*self.by, first_cell(x).alias("b")).agg(
-                F.sum("__c").alias("n"), F.count(F.lit(1)).alias("d"), F.min(x).alias("lo"), F.max(x).alias("hi"),
-                F.sum(times).alias("s"))
+            cells = self._grouped(
+                self.counts.selectExpr(*map(names, self.by), "__v", "__c", f"{X} AS x", f"{FIRST_CELL} AS b"), [*self.by, "b"],
+                "sum(__c) AS n", "count(1) AS d", "min(x) AS lo", "max(x) AS hi",
+                "sum(CAST(__v AS DECIMAL(28,6)) * CAST(__c AS DECIMAL(18,0))) AS s")
             if not keep:
                 return cells
             self._index = written(cells, "value-cells")
@@ -135,19 +134,16 @@ class Distribution:
 
     def moments(self) -> DataFrame:
         """(by, count, mean, std, min, max); std with n - 1, null for one value; groups without values have count 0."""
-        real = F.col("b").isNotNull()
-        sums = self.index().groupBy(*self.by).agg(
-            F.coalesce(F.sum(F.when(real, F.col("n"))), F.lit(0)).cast("long").alias("count"), F.sum("s").alias("s"),
-            F.min("lo").alias("min"), F.max("hi").alias("max"))
-        sums = written(sums.select(*self.by, "count", F.try_divide(F.col("s").cast("double"), F.col("count").cast("double"))
-                                   .alias("mean"), "min", "max"), "means")
-        off = F.col("__v").cast("double") - F.col("mean")
-        spread = attach(self.counts.where("__v IS NOT NULL"), sums.select(*self.by, "mean"), self.by).groupBy(*self.by).agg(
-            F.sum(F.col("__c") * off).alias("e"), F.sum(F.col("__c") * off * off).alias("ee"))
-        squares = F.greatest(F.col("ee") - F.col("e") * F.col("e") / F.col("count"), F.lit(0.0))
-        return null_safe(sums, spread, self.by, "left").select(
-            *self.by, "count", "mean",
-            F.when(F.col("count") > 1, F.sqrt(squares / (F.col("count") - 1))).alias("std"), "min", "max")
+        sums = self._grouped(self.index(), self.by, "coalesce(sum(CASE WHEN b IS NOT NULL THEN n END), 0L) AS count",
+                             "sum(s) AS s", "min(lo) AS min", "max(hi) AS max")
+        sums = written(sums.selectExpr(*map(names, self.by), "count",
+                                       "try_divide(CAST(s AS DOUBLE), CAST(count AS DOUBLE)) AS mean", "min", "max"), "means")
+        rows = attach(self.counts.where("__v IS NOT NULL"), sums.select(*self.by, "mean"), self.by)
+        spread = self._grouped(rows.selectExpr(*map(names, self.by), "__c", f"{X} - mean AS off"), self.by,
+                               "sum(__c * off) AS e", "sum(__c * off * off) AS ee")
+        return null_safe(sums, spread, self.by, "left").selectExpr(
+            *map(names, self.by), "count", "mean",
+            "CASE WHEN count > 1 THEN sqrt(greatest(ee - e * e / count, 0D) / (count - 1)) END AS std", "min", "max")
 
     def quantiles(self, probs: Mapping[str, float] | Sequence[float], kind: str = "cont", out_type: str = "double",
                   total: str | None = None) -> DataFrame:
@@ -157,19 +153,19 @@ class Distribution:
         """
         if kind not in ("cont", "disc"):
             raise ValueError("kind must be 'cont' or 'disc'")
-        wanted, by = probabilities(probs), self.by
-        cells = self.index(keep=False).where("b IS NOT NULL").groupBy(*by).agg(
-            F.array_sort(F.collect_list(F.struct("b", "n", "d", "lo", "hi"))).alias("cells"), F.sum("n").alias("total"))
-        ranks = [F.struct(F.lit(q).alias("q"), F.lit(w).alias("w"), k.alias("k"), _holding(F.col("cells"), k).alias("h"))
-                 for q, p in wanted.items() for w, k in _ranks(kind, p, F.col("total"))]
-        hits = written(cells.select(*by, "total", F.explode(F.array(*ranks)).alias("t")).select(
-            *by, "total", "t.q", "t.w", "t.k", "t.h.off", F.col("t.h.cell.b").alias("b"), "t.h.cell.d", "t.h.cell.lo",
-            "t.h.cell.hi").where("lo IS NOT NULL"), "ranks")
+        wanted, by = probabilities(probs), list(map(names, self.by))
+        cells = self._grouped(self.index(keep=False).where("b IS NOT NULL"), self.by,
+                              "array_sort(collect_list(struct(b, n, d, lo, hi))) AS cells", "sum(n) AS total")
+        ranks = [f"named_struct('q', {i}, 'w', '{w}', 'k', {k}, 'h', {_holding(k)})"
+                 for i, p in enumerate(wanted.values()) for w, k in _ranks(kind, p).items()]
+        hits = written(cells.selectExpr(*by, "total", f"inline(array({', '.join(ranks)}))").selectExpr(
+            *by, "total", "q", "w", "k", "h.off", "h.cell.b", "h.cell.d", "h.cell.lo", "h.cell.hi").where("lo IS NOT NULL"),
+            "ranks")
         found = []
         while True:
             found.append(hits.where("lo = hi"))
             hits = hits.where("lo < hi")
-            size = hits.agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
+            size = hits.selectExpr("count(1) AS n", "max(d) AS d").first()
             if not size["n"]:
                 break
             hits = self._refined(hits)
@@ -177,31 +173,30 @@ class Distribution:
                 found.append(hits)
                 break
             hits = written(hits, "ranks")
-        values = reduce(DataFrame.unionByName, [f.select(*by, "total", "q", "w", F.col("lo").alias("v")) for f in found])
+        values = reduce(DataFrame.unionByName, found)
         out = []
-        for q, p in wanted.items():
-            at = {w: F.max(F.when((F.col("q") == q) & (F.col("w") == w), F.col("v"))) for w in ("lo", "hi")}
-            h = F.lit(p) * (F.max("total") - 1)
-            v = at["lo"] if kind == "disc" else at["lo"] + (at["hi"] - at["lo"]) * (h - F.floor(h))
-            out.append(v.cast(out_type).alias(q))
-        return values.groupBy(*by).agg(*out, *([F.max("total").alias(total)] if total else []))
+        for i, (q, p) in enumerate(wanted.items()):
+            low, high = (f"max(CASE WHEN q = {i} AND w = '{w}' THEN lo END)" for w in ("lo", "hi"))
+            h = f"({p!r}D * (max(total) - 1))"
+            v = low if kind == "disc" else f"{low} + ({high} - {low}) * ({h} - floor({h}))"
+            out.append(f"CAST({v} AS {out_type}) AS `{q}`")
+        return self._grouped(values, self.by, *out, *([f"max(total) AS `{total}`"] if total else []))
 
     def _refined(self, hits: DataFrame) -> DataFrame:
         """Open ranks moved to a finer cell."""
-        cell = [*self.by, "b", "low", "high"]
-        hits = hits.withColumnsRenamed({"lo": "low", "hi": "high"})
-        open_cells = hits.groupBy(*cell).agg(F.max("d").alias("values"))
-        x = F.col("__v").cast("double")
-        rows = self.counts.where("__v IS NOT NULL").withColumn("b", first_cell(x))
-        inside = attach(rows, open_cells, [*self.by, "b"]).where(x.between(F.col("low"), F.col("high")))
-        part = F.least(F.floor((x - F.col("low")) / (F.col("high") - F.col("low")) * FANOUT), F.lit(FANOUT - 1)).cast("double")
-        finer = inside.groupBy(*cell, F.when(F.col("values") <= SMALL, x).otherwise(part).alias("part")).agg(
-            F.sum("__c").alias("n"), F.count(F.lit(1)).alias("d"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-        cells = finer.groupBy(*cell).agg(F.array_sort(F.collect_list(
-            F.struct(F.col("part").alias("b"), "n", "d", "lo", "hi"))).alias("cells"))
-        moved = null_safe(hits, cells, cell).withColumn("h", _holding(F.col("cells"), F.col("k") - F.col("off")))
-        return moved.select(*self.by, "total", "q", "w", "k", (F.col("off") + F.col("h.off")).alias("off"), "b",
-                            F.col("h.cell.d").alias("d"), F.col("h.cell.lo").alias("lo"), F.col("h.cell.hi").alias("hi"))
+        by, cell = list(map(names, self.by)), [*self.by, "b", "low", "high"]
+        hits = hits.selectExpr(*by, "total", "q", "w", "k", "off", "b", "d", "lo AS low", "hi AS high")
+        open_cells = self._grouped(hits, cell, "max(d) AS values")
+        rows = self.counts.where("__v IS NOT NULL").selectExpr(*by, "__v", "__c", f"{X} AS x", f"{FIRST_CELL} AS b")
+        inside = attach(rows, open_cells, [*self.by, "b"]).where("x BETWEEN low AND high")
+        finer = self._grouped(inside.selectExpr(
+            *map(names, cell), "__c", "x", f"CASE WHEN values <= {SMALL} THEN x ELSE "
+            f"CAST(least(floor((x - low) / (high - low) * {FANOUT}), {FANOUT - 1}) AS DOUBLE) END AS part"), [*cell, "part"],
+            "sum(__c) AS n", "count(1) AS d", "min(x) AS lo", "max(x) AS hi")
+        cells = self._grouped(finer, cell, "array_sort(collect_list(named_struct("
+                              "'b', part, 'n', n, 'd', d, 'lo', lo, 'hi', hi))) AS cells")
+        moved = null_safe(hits, cells, cell).selectExpr(*by, "total", "q", "w", "k", "off", "b", f"{_holding('(k - off)')} AS h")
+        return moved.selectExpr(*by, "total", "q", "w", "k", "off + h.off AS off", "b", "h.cell.d", "h.cell.lo", "h.cell.hi")
 
     def around(self, points: DataFrame, lower: str, upper: str) -> DataFrame:
         """Value to rank: ``points`` (one row a group) with what lies inside and outside of two of its columns.
@@ -210,11 +205,11 @@ class Distribution:
         ``upper``), ``inner_low`` and ``inner_high`` (outermost values inside).
         """
         points = written(points, "points")
-        x, c = F.col("__v").cast("double"), F.col("__c")
-        sides = attach(self.counts.where("__v IS NOT NULL"), points.select(*self.by, lower, upper), self.by)
-        sides = sides.groupBy(*self.by).agg(
-            F.sum(F.when(x < F.col(lower), c).otherwise(0)).alias("below"),
-            F.sum(F.when(x > F.col(upper), c).otherwise(0)).alias("above"),
-            F.sum(F.when(x <= F.col(upper), c).otherwise(0)).alias("up_to"),
-            F.min(F.when(x >= F.col(lower), x)).alias("inner_low"), F.max(F.when(x <= F.col(upper), x)).alias("inner_high"))
+        ends = points.selectExpr(*map(names, self.by), f"`{lower}` AS a", f"`{upper}` AS z")
+        sides = attach(self.counts.where("__v IS NOT NULL"), ends, self.by)
+        sides = self._grouped(
+            sides.selectExpr(*map(names, self.by), "__c", "a", "z", f"{X} AS x"), self.by,
+            "sum(CASE WHEN x < a THEN __c ELSE 0 END) AS below", "sum(CASE WHEN x > z THEN __c ELSE 0 END) AS above",
+            "sum(CASE WHEN x <= z THEN __c ELSE 0 END) AS up_to", "min(CASE WHEN x >= a THEN x END) AS inner_low",
+            "max(CASE WHEN x <= z THEN x END) AS inner_high")
         return null_safe(points, sides, self.by, "left")
