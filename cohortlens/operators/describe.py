@@ -80,7 +80,7 @@ def density_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: i
     rng = written(dist.index().groupBy(*by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"),
                                                 F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "ranges")
     width = (F.col("hi") - F.col("lo")) / float(bins)
-    j = attach(dist.counts, rng, by)
+    j = attach(dist.counts, rng, by, dist.groups())
     idx = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("__v").cast("double") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
     cnt = j.groupBy(*by, idx.alias("bin")).agg(F.sum("__c").alias("count"))

@@ -59,15 +59,15 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
         "l.*", *[f"r.`{c}`" for c in right.columns if c not in keys])
 
 
-def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``rows`` (with ``__v``) joined with a written table that has few rows for each key.
+def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """``rows`` (with ``__v``) joined with a table of at most ``most`` rows (as counted), few of them for each key.
 
-    Broadcast up to ``BROADCAST_ROWS`` counted rows; beyond, the table is
-    replicated over ``SALT`` parts and the rows dealt to them by their value.
+    Broadcast up to ``BROADCAST_ROWS`` rows; beyond, the table is replicated
+    over ``SALT`` parts and the rows dealt to them by their value.
     """
     if not keys:
         return with_scalars(rows, table)
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if most <= BROADCAST_ROWS:
         return null_safe(rows, F.broadcast(table), keys)
     salted = rows.selectExpr("*", f"CAST(pmod(xxhash64(__v), {SALT}) AS INT) AS __salt")
     parts = table.selectExpr("*", f"explode(sequence(0, {SALT - 1})) AS __salt")
@@ -100,6 +100,7 @@ class Distribution:
     def __init__(self, counts: DataFrame, by: Sequence[str]):
         self.counts, self.by = counts, list(by)  # (*by, __v, __c)
         self._index: DataFrame | None = None
+        self._groups: int | None = None
 
     @classmethod
     def of(cls, df: DataFrame, value: str | Column, by: Sequence[str] = ()) -> Distribution:
@@ -120,6 +121,12 @@ class Distribution:
     def _grouped(self, df: DataFrame, keys: Sequence[str], *aggregates: str) -> DataFrame:
         return df.groupBy(*keys).agg(*map(F.expr, aggregates))
 
+    def groups(self) -> int:
+        """Number of groups, counted up to where it no longer matters."""
+        if self._groups is None:
+            self._groups = (self.index().select(*self.by).distinct().limit(BROADCAST_ROWS + 1).count() if self.by else 1)
+        return self._groups
+
     def index(self, keep: bool = True) -> DataFrame:
         """(by, b, n, d, lo, hi, s): rows, distinct values, range and exact sum of each first cell."""
         if self._index is None:
@@ -136,9 +143,9 @@ class Distribution:
         """(by, count, mean, std, min, max); std with n - 1, null for one value; groups without values have count 0."""
         sums = self._grouped(self.index(), self.by, "coalesce(sum(CASE WHEN b IS NOT NULL THEN n END), 0L) AS count",
                              "sum(s) AS s", "min(lo) AS min", "max(hi) AS max")
-        sums = written(sums.selectExpr(*map(names, self.by), "count",
-                                       "try_divide(CAST(s AS DOUBLE), CAST(count AS DOUBLE)) AS mean", "min", "max"), "means")
-        rows = attach(self.counts.where("__v IS NOT NULL"), sums.select(*self.by, "mean"), self.by)
+        sums = sums.selectExpr(*map(names, self.by), "count",
+                               "try_divide(CAST(s AS DOUBLE), CAST(count AS DOUBLE)) AS mean", "min", "max")
+        rows = attach(self.counts.where("__v IS NOT NULL"), sums.select(*self.by, "mean"), self.by, self.groups())
         spread = self._grouped(rows.selectExpr(*map(names, self.by), "__c", f"{X} - mean AS off"), self.by,
                                "sum(__c * off) AS e", "sum(__c * off * off) AS ee")
         return null_safe(sums, spread, self.by, "left").selectExpr(
@@ -168,7 +175,7 @@ class Distribution:
             size = hits.selectExpr("count(1) AS n", "max(d) AS d").first()
             if not size["n"]:
                 break
-            hits = self._refined(hits)
+            hits = self._refined(hits, size["n"])
             if size["d"] <= SMALL:  # value by value: nothing stays open
                 found.append(hits)
                 break
@@ -182,13 +189,13 @@ class Distribution:
             out.append(f"CAST({v} AS {out_type}) AS `{q}`")
         return self._grouped(values, self.by, *out, *([f"max(total) AS `{total}`"] if total else []))
 
-    def _refined(self, hits: DataFrame) -> DataFrame:
-        """Open ranks moved to a finer cell."""
+    def _refined(self, hits: DataFrame, most: int) -> DataFrame:
+        """Open ranks (``most`` of them) moved to a finer cell."""
         by, cell = list(map(names, self.by)), [*self.by, "b", "low", "high"]
         hits = hits.selectExpr(*by, "total", "q", "w", "k", "off", "b", "d", "lo AS low", "hi AS high")
         open_cells = self._grouped(hits, cell, "max(d) AS values")
         rows = self.counts.where("__v IS NOT NULL").selectExpr(*by, "__v", "__c", f"{X} AS x", f"{FIRST_CELL} AS b")
-        inside = attach(rows, open_cells, [*self.by, "b"]).where("x BETWEEN low AND high")
+        inside = attach(rows, open_cells, [*self.by, "b"], most).where("x BETWEEN low AND high")
         finer = self._grouped(inside.selectExpr(
             *map(names, cell), "__c", "x", f"CASE WHEN values <= {SMALL} THEN x ELSE "
             f"CAST(least(floor((x - low) / (high - low) * {FANOUT}), {FANOUT - 1}) AS DOUBLE) END AS part"), [*cell, "part"],
@@ -206,7 +213,7 @@ class Distribution:
         """
         points = written(points, "points")
         ends = points.selectExpr(*map(names, self.by), f"`{lower}` AS a", f"`{upper}` AS z")
-        sides = attach(self.counts.where("__v IS NOT NULL"), ends, self.by)
+        sides = attach(self.counts.where("__v IS NOT NULL"), ends, self.by, self.groups())
         sides = self._grouped(
             sides.selectExpr(*map(names, self.by), "__c", "a", "z", f"{X} AS x"), self.by,
             "sum(CASE WHEN x < a THEN __c ELSE 0 END) AS below", "sum(CASE WHEN x > z THEN __c ELSE 0 END) AS above",
