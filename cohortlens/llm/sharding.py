@@ -9,8 +9,9 @@ there, so the largest shard is as small as any contiguous partition allows.
 The walk needs no list of all groups.  Sizes are first summed over fixed
 ranges of the hash (``RANGES`` of them, whatever the input).  On such sums the
 search gives a lower bound (a range may be cut anywhere) and an upper bound (a
-range is never cut).  Only ranges in which a cut can fall between the two
-bounds are summed again by finer ranges, until both bounds meet.  What reaches
+range is never cut).  Ranges heavier than an equal share, and ranges in which a cut can
+fall between the two bounds, are summed again by finer ranges, until both
+bounds meet; no bound is below the largest group.  What reaches
 the driver is bounded by ``RANGES`` plus ``REFINED`` rows a round.  A cut is a
 hash value, so assigning rows is a comparison, without a join.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import materialize
 
@@ -89,10 +90,21 @@ class Ranges:
         return sorted(found)
 
 
+def _lowest(width: int) -> Column:
+    """Lowest hash of the range of 2**width values that a row is in."""
+    return F.shiftleft(F.shiftright(F.col("h"), width), width) if width else F.col("h")
+
+
 def _sums(sized: DataFrame, width: int) -> list[tuple[int, int, int]]:
     """Bytes by hash range of 2**width values."""
-    low = F.shiftleft(F.shiftright(F.col("h"), width), width) if width else F.col("h")
-    return [(r.low, width, r.b) for r in sized.groupBy(low.alias("low")).agg(F.sum("size").alias("b")).collect()]
+    return [(r.low, width, r.b) for r in sized.groupBy(_lowest(width).alias("low")).agg(F.sum("size").alias("b")).collect()]
+
+
+def _within(sized: DataFrame, width: int, lows: list[int]) -> DataFrame:
+    """Rows in the listed ranges (at most RANGES + REFINED), by a hash join."""
+    listed = sized.sparkSession.range(1).select(
+        F.explode(F.split(F.lit(",".join(map(str, lows))), ",").cast("array<long>")).alias("listed"))
+    return sized.join(F.broadcast(listed), _lowest(width) == F.col("listed"), "left_semi")
 
 
 def minimax_cuts(sized: DataFrame, shards: int) -> tuple[list[int], int]:
@@ -103,30 +115,26 @@ def minimax_cuts(sized: DataFrame, shards: int) -> tuple[list[int], int]:
     width = HASH_BITS - RANGE_BITS
     ranges = Ranges(_sums(sized, width))
     while True:
-        low = ranges.smallest(ranges.split, shards, -(-ranges.total // shards))
-        high = ranges.smallest(ranges.whole, shards, low)
-        todo = [] if low == high else ranges.open_ranges(low, high, shards)
+        share = -(-ranges.total // shards)
+        # Ranges over an equal share come first (fewer than the shards): a large group in them
+        # decides the capacity, and then the bounds meet.
+        todo = [i for i, r in enumerate(ranges.rows) if r[2] > share and not ranges.atomic(i)]
         if not todo:
-            ends = ranges.whole(high, shards) or []
-            return [ranges.rows[j][0] for j in ends if j < len(ranges.rows)], high
+            low = ranges.smallest(ranges.split, shards, max([share, *(r[2] for r in ranges.rows if r[1] == 0)]))
+            high = ranges.smallest(ranges.whole, shards, low)
+            todo = [] if low == high else ranges.open_ranges(low, high, shards)
+            if not todo:
+                ends = ranges.whole(high, shards) or []
+                return [ranges.rows[j][0] for j in ends if j < len(ranges.rows)], high
         # Finer sums of the open ranges: as fine as REFINED rows allow.
         by_width: dict[int, list[int]] = {}
         for i in todo:
             by_width.setdefault(ranges.rows[i][1], []).append(ranges.rows[i][0])
-        rows = [r for i, r in enumerate(ranges.rows) if i not in set(todo)]
+        chosen = set(todo)
+        rows = [r for i, r in enumerate(ranges.rows) if i not in chosen]
         for wide, lows in by_width.items():
             finer = max(0, wide - max(1, (REFINED // len(todo)).bit_length() - 1))
-            # neighbouring ranges are asked for as one interval
-            spans: list[list[int]] = []
-            for x in sorted(lows):
-                if spans and spans[-1][1] + 1 == x:
-                    spans[-1][1] = x + (1 << wide) - 1
-                else:
-                    spans.append([x, x + (1 << wide) - 1])
-            hit = F.lit(False)
-            for a, b in spans:
-                hit = hit | F.col("h").between(a, b)
-            rows += _sums(sized.where(hit), finer)
+            rows += _sums(_within(sized, wide, lows), finer)
         ranges = Ranges(rows)
 
 

@@ -143,6 +143,38 @@ def test_shards_and_slots(spark, edge, nothing, small_docs):
     assert sharding.shard(nothing, 8).collect() == []
 
 
+@pytest.mark.parametrize("hot", [0, 1 / 3, 1 / 2, 1])
+def test_capacity_with_a_hot_group(spark, hot):
+    """Least capacity over at least 50,000 groups in hash order, a share of the rows being one text."""
+    n, shards = 60_000, 8
+    first = round(n * hot) if hot < 1 else n
+    docs = spark.range(n).selectExpr("id AS doc_id", f"IF(id < {first}, 'the hot text', concat('text ', id, repeat('x', int(id % 50)))) AS text")
+    if hot in (1 / 3, 1 / 2):  # enough other groups
+        docs = docs.unionByName(spark.range(n, 2 * n).selectExpr("id AS doc_id", "concat('more ', id) AS text"))
+    rows = sharding.shard(docs, shards).select("size", "text_crc32", "shard", "slot").collect()
+    groups = docs.selectExpr("xxhash64(text) AS h", "octet_length(text) + 1 AS size").groupBy("h").sum("size").orderBy("h").collect()
+    sizes = [g[1] for g in groups]
+
+    def needed(capacity):
+        used, room = 0, 0
+        for x in sizes:
+            if x > room:
+                used, room = used + 1, capacity
+            room -= x
+        return used
+
+    low, high = max(sizes), sum(sizes)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if needed(mid) <= shards else (mid + 1, high)
+    loads, slots = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        loads[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert max(loads.values()) == low and set(loads) <= set(range(shards))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 # --- urls ------------------------------------------------------------------
 
 def brute_url(url, entries):
