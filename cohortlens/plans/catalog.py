@@ -12,8 +12,10 @@ from cohortlens.operators.describe import density_histogram, describe as _descri
 from cohortlens.operators.profile import profile
 from cohortlens.plans import books, cohort as C, delivery, game as G, places as P, realty
 from cohortlens.plans import sessions as S, startups as SU, talks as K
+from cohortlens.session import scratch
 from cohortlens.sources import adapters as A
-from cohortlens.sources.tables import Tables
+from cohortlens.sources.tables import Tables, read_csv, read_csv_in_order
+from cohortlens.sources.zipped import read_zipped_csv, write_zipped_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -209,9 +211,13 @@ query("lift_confint")(lambda spark, d: S.lift_confint(_sess(spark, d)))
 TEST = "interface_eu_test"
 
 
+def _raw_hours(spark, d):
+    return A.b_user_hours(_user_hours(spark, d), BOOK_CITIES)
+
+
 def _hours(spark, d):
     """The hours file of the mart (M13) without repeated users: one lazy chain."""
-    return C.dedup_users(A.b_user_hours(_user_hours(spark, d), BOOK_CITIES))
+    return C.dedup_users(_raw_hours(spark, d))
 
 
 query("dedup_users")(_hours)
@@ -378,3 +384,41 @@ query("phik_matrix__strongest")(lambda spark, d: strongest_correlate(
     P.rating_association(_places(spark, d)), "rating"))
 query("phik_matrix__strongest_v")(lambda spark, d: strongest_correlate(
     P.rating_association(_places(spark, d), with_phik=False), "rating", metric="cramers_v"))
+
+
+# ------------------------------------------------------------- files (S2-S4)
+
+
+@query("zipped_csv")
+def _zipped(spark, d):
+    """The event log through zip archives of CSV files: one a task, read member by member."""
+    events, path = Tables(spark, d).events, scratch(spark, "zipped-events")
+    write_zipped_csv(events, path)
+    return read_zipped_csv(spark, path, events.schema)
+
+
+@query("csv_with_schema")
+def _csv_with_schema(spark, d):
+    """Orders through plain CSV files with an explicit schema."""
+    orders, path = Tables(spark, d).orders, scratch(spark, "csv-orders")
+    orders.write.option("header", True).csv(path)
+    return read_csv(spark, path, orders.schema)
+
+
+@query("dedup_users__index_column")
+def _dedup_index_column(spark, d):
+    """The hours file with its index as the first column, which decides the row that stays."""
+    hours, path = _raw_hours(spark, d).select("row_idx", "puid", "city", "hours"), scratch(spark, "csv-hours")
+    hours.withColumnRenamed("row_idx", "_c0").write.option("header", True).csv(path)
+    schema = hours.withColumnRenamed("row_idx", "_c0").schema
+    return C.dedup_users(read_csv(spark, path, schema, index_col="row_idx"))
+
+
+@query("dedup_users__file_order")
+def _dedup_file_order(spark, d):
+    """The hours file without an index: the order of its lines decides the row that stays."""
+    hours, path = _raw_hours(spark, d), scratch(spark, "csv-hours")
+    columns = hours.select("puid", "city", "hours")
+    hours.repartitionByRange("row_idx").sortWithinPartitions("row_idx").select(*columns.columns).write.option(
+        "header", True).csv(path)
+    return C.dedup_users(read_csv_in_order(spark, path, columns.schema)).drop("row_idx")

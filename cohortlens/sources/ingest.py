@@ -1,60 +1,15 @@
-"""Ingest helpers for inputs Spark cannot read natively, and mart output.
+"""Marts: results persisted as Parquet between steps.
 
-* ``read_zipped_csv`` - zip archives of CSV files (gzip/bz2 are native to
-  the CSV reader; zip is not).  ``binaryFile`` lists the archives and each
-  archive is unpacked in ``mapInPandas`` in chunks of ``chunk_rows``.  A task
-  holds the compressed bytes of the archives in one Arrow batch, and an
-  archive over 2 GB can't be read this way: large inputs should be unpacked
-  (or recompressed with gzip per file) at ingest.
-* ``write_mart`` / ``read_mart`` - persist a result as a Parquet mart,
-  optionally partitioned (e.g. by date) so later date-window filters prune
-  partitions.
+``write_mart`` / ``read_mart`` optionally partition by columns (e.g. by date),
+so later date-window filters prune partitions.  Zip archives of CSV files are
+in ``sources.zipped``, plain CSV files in ``sources.tables``.
 """
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DateType, StringType, StructField, StructType, TimestampNTZType, TimestampType
-
-
-def read_zipped_csv(spark: SparkSession, path: str, schema: StructType, *, chunk_rows: int = 200_000,
-                    sep: str = ",") -> DataFrame:
-    """Rows of every CSV member of the zip archive(s) at ``path`` (glob ok)."""
-    names = [f.name for f in schema.fields]
-    time_cols = [f.name for f in schema.fields if isinstance(f.dataType, (TimestampType, TimestampNTZType))]
-    date_cols = [f.name for f in schema.fields if isinstance(f.dataType, DateType)]
-
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for content in b["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                    for member in zf.namelist():
-                        if member.endswith("/"):
-                            continue
-                        with zf.open(member) as fh:
-                            for chunk in pd.read_csv(fh, sep=sep, chunksize=chunk_rows, dtype=str):
-                                chunk = chunk.reindex(columns=names)
-                                for c in time_cols:
-                                    chunk[c] = pd.to_datetime(chunk[c], errors="coerce")
-                                for c in date_cols:
-                                    chunk[c] = pd.to_datetime(chunk[c], errors="coerce").dt.date
-                                yield chunk
-
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    # Parse as strings first, then cast with Spark so numeric typing follows
-    # Spark's rules (null on malformed values under try_cast).
-    temporal = set(time_cols + date_cols)
-    str_schema = StructType([f if f.name in temporal else StructField(f.name, StringType(), True)
-                             for f in schema.fields])
-    parsed = raw.mapInPandas(explode, schema=str_schema)
-    return parsed.select(*[F.col(f.name) if f.name in temporal
-                           else F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name)
-                           for f in schema.fields])
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_mart(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:

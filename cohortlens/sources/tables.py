@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
+from cohortlens.session import written
+
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -45,7 +47,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, *,
     ``index_col`` names the first, unnamed column of a pandas-written CSV
     (``index_col=0``): it is kept as an ordinary column and gives
     order-dependent operators (keep first/last) an explicit row order.
-    gzip/bz2 inputs are read natively; zip archives must be unpacked at ingest.
+    gzip/bz2 inputs are read natively, zip archives by ``sources.zipped``;
+    ``read_csv_in_order`` numbers the rows of files without such a column.
     """
     r = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if timestamp_format:
@@ -58,6 +61,34 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, *,
     return df
 
 
+def read_csv_in_order(spark: SparkSession, path: str, schema: StructType | str, *, index_col: str = "row_idx",
+                      sep: str = ",", header: bool = True) -> DataFrame:
+    """CSV rows after ``index_col``, their number (from 0) in file order: files by name, then lines.
+
+    Files are split as any text is.  One job writes the lines with their split
+    and their order in it; the lines of each split are counted, prefix sums
+    over the splits (one row a split) give the number of its first line, and a
+    line's own number follows.  So order-dependent operators need no column of
+    the caller's, and no task reads a whole file.  A record is one line; text
+    that does not fit the schema becomes null; empty lines don't count; with
+    ``header`` the first line of each file is left out.
+    """
+    kind = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    # Ids are consecutive within a split, whose lines stand together in a partition.
+    lines = written(spark.read.text(path).where("value != ''").select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at")), "csv-lines")
+    splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    in_file = Window.partitionBy("file").orderBy("start")
+    splits = splits.withColumn("head", (F.row_number().over(in_file) == 1).cast("long") if header else F.lit(0))
+    before = F.sum(F.col("n") - F.col("head")).over(Window.orderBy("file", "start"))
+    splits = splits.select("file", "start", "first", "head", (before - F.col("n")).alias("before"))
+    placed = lines.join(splits, ["file", "start"]).withColumn("place", F.col("at") - F.col("first"))
+    rows = placed.where((F.col("head") == 0) | (F.col("place") > 0)).select(
+        (F.col("before") + F.col("place")).alias(index_col), F.from_csv("value", kind, {"sep": sep}).alias("r"))
+    return rows.select(index_col, "r.*")
+
+
 def normalize_headers(df: DataFrame, pattern: str = " {2}", repl: str = "_") -> DataFrame:
     """Rename columns whose header uses runs of spaces as separators.
 

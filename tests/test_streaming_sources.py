@@ -1,14 +1,12 @@
-"""Streaming DAU against the batch definition; zipped-CSV ingest; marts."""
+"""Streaming DAU against the batch definition; marts; CSV with an index column."""
 
-import io
 import os
 import tempfile
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.sources.ingest import read_mart, read_zipped_csv, write_mart
+from cohortlens.sources.ingest import read_mart, write_mart
 from cohortlens.streaming import streaming_conversion, streaming_dau
 
 SF = "/root/testdata/sf0.001"
@@ -46,23 +44,6 @@ def test_streaming_conversion_runs(spark):
     assert rows and all(0.0 <= r["cr"] <= 1.0 for r in rows)
 
 
-def test_read_zipped_csv(spark):
-    d = tempfile.mkdtemp(prefix="zipcsv-")
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as zf:
-        zf.writestr("events.csv", "user_id,event_dt,event_name,details\n1,2024-01-01 10:00:00,login,\n"
-                                  "2,2024-01-02 11:30:00,purchase,x\nbad,2024-01-03 00:00:00,login,\n")
-    with open(os.path.join(d, "ev.zip"), "wb") as fh:
-        fh.write(buf.getvalue())
-    df = read_zipped_csv(spark, os.path.join(d, "*.zip"),
-                         spark.createDataFrame([], "user_id long, event_dt timestamp, event_name string, "
-                                                   "details string").schema)
-    rows = sorted(df.collect(), key=lambda r: r["event_name"] + str(r["user_id"]))
-    assert len(rows) == 3
-    assert [r["user_id"] for r in rows if r["event_name"] == "purchase"] == [2]
-    assert any(r["user_id"] is None for r in rows)      # "bad" -> null under try_cast
-
-
 def test_mart_roundtrip_partitioned(spark):
     d = tempfile.mkdtemp(prefix="mart-")
     df = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2)], "log_date string, n int")
