@@ -59,17 +59,17 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
         "l.*", *[f"r.`{c}`" for c in right.columns if c not in keys])
 
 
-def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
-    """``rows`` (with ``__v``) joined with a table of at most ``most`` rows (as counted), few of them for each key.
+def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], most: int, deal: str = "__v") -> DataFrame:
+    """``rows`` joined with a table of at most ``most`` rows (as counted), few of them for each key.
 
     Broadcast up to ``BROADCAST_ROWS`` rows; beyond, the table is replicated
-    over ``SALT`` parts and the rows dealt to them by their value.
+    over ``SALT`` parts and the rows dealt to them by the column ``deal``.
     """
     if not keys:
         return with_scalars(rows, table)
     if most <= BROADCAST_ROWS:
         return null_safe(rows, F.broadcast(table), keys)
-    salted = rows.selectExpr("*", f"CAST(pmod(xxhash64(__v), {SALT}) AS INT) AS __salt")
+    salted = rows.selectExpr("*", f"CAST(pmod(xxhash64({deal}), {SALT}) AS INT) AS __salt")
     parts = table.selectExpr("*", f"explode(sequence(0, {SALT - 1})) AS __salt")
     return null_safe(salted, parts, [*keys, "__salt"]).drop("__salt")
 

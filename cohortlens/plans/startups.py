@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions.common import exact_avg, exact_sum, round_half_even, round_half_up, safe_div
+from cohortlens.operators.dedup import keep_one
 from cohortlens.operators.describe import boxed, described
 from cohortlens.operators.ranks import Distribution
 from cohortlens.operators.scalar import with_scalars
@@ -113,16 +114,17 @@ def join_key_overlaps(frames: Mapping[str, DataFrame], col: str) -> DataFrame:
 
 
 def split_companies(cr: DataFrame) -> DataFrame:
-    """Company-level columns, one row per company (they repeat identically on
-    every round row, so any surviving row is the same)."""
-    c = cr.select(*COMPANY_COLS).dropDuplicates(["company_ID"])
+    """Company-level columns, one row per company: that of its first round by
+    date and id (they repeat on every round row)."""
+    c = keep_one(cr.select(*COMPANY_COLS, "funded_at", "funding_round_id"), "company_ID",
+                 ["funded_at", "funding_round_id"]).select(*COMPANY_COLS)
     return c.withColumns({"founded_at": parse_date("founded_at"), "closed_at": parse_date("closed_at")})
 
 
 def split_rounds(cr: DataFrame) -> DataFrame:
-    """Round-level columns, one row per round id."""
+    """Round-level columns, one row per round id (that of the least company)."""
     r = cr.select(*ROUND_COLS).where(F.col("funding_round_id").isNotNull())
-    return r.dropDuplicates(["funding_round_id"]).withColumnRenamed("company_id_round", "company_id")
+    return keep_one(r, "funding_round_id", "company_id_round").withColumnRenamed("company_id_round", "company_id")
 
 
 def normalize_companies_rounds(cr: DataFrame, dp: int = 4) -> DataFrame:

@@ -48,14 +48,42 @@ def test_no_cross_or_row_udf_in_any_query(spark):
     assert bad == []
 
 
-def test_keep_one_combines_map_side(spark):
+def test_keep_one_decides_on_slim_rows(spark):
     from cohortlens.operators.dedup import keep_one
-    # one key holds a third of the rows
-    df = spark.range(0, 3000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id AS ord")
+    # one key holds a third of the rows; the rows are wide
+    df = spark.range(0, 3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS k", "id AS ord",
+                                         "repeat('x', 100) AS wide")
     out = keep_one(df, "k", "ord", "last")
-    p = out._jdf.queryExecution().executedPlan().toString()
-    assert "partial_max_by" in p
-    assert {r["k"]: r["ord"] for r in out.where("k = 0").collect()} == {0: 2997}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    aggregates = [line for line in plan.splitlines() if "Aggregate(" in line]
+    assert aggregates and not any("wide" in line for line in aggregates) and any("partial_max" in a for a in aggregates)
+    assert {r["k"]: r["ord"] for r in out.where("k IS NULL").collect()} == {None: 2997}
+    assert out.count() == 2001
+
+
+def test_ties_of_keep_one_do_not_depend_on_the_layout(spark):
+    from cohortlens.operators.dedup import keep_one
+    rows = [(k, 1, f"text {i}") for i in range(40) for k in (None, "a", "b")]
+    df = spark.createDataFrame(rows, "k string, ord int, v string")
+    kept = [sorted(map(repr, keep_one(df.repartition(n), "k", "ord", keep).collect())) for n in (1, 7) for keep in ("first", "last")]
+    assert kept[0] == kept[2] and kept[1] == kept[3] and len(kept[0]) == 3
+
+
+def test_all_duplicates_spread_a_heavy_null_key(spark, monkeypatch):
+    from cohortlens.operators import ranks
+    from cohortlens.operators.dedup import all_duplicates
+    monkeypatch.setattr(ranks, "BROADCAST_ROWS", 0)  # as if the repeated keys were many
+    df = spark.range(0, 3000).selectExpr("CASE WHEN id % 3 > 0 THEN id DIV 2 END AS a",
+                                         "CASE WHEN id % 3 > 0 THEN 'x' END AS b", "id")
+    out = all_duplicates(df, ["a", "b"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join" in line and "salt" in line for line in plan.splitlines())
+    assert "monotonically" not in plan  # the input is not evaluated again
+    got = {r["id"] for r in out.collect()}
+    pairs = {}
+    for i in range(3000):
+        pairs.setdefault(i // 2 if i % 3 else None, []).append(i)
+    assert got == {i for same in pairs.values() if len(same) > 1 for i in same}
 
 
 def test_quantiles_without_windows_or_joins_on_the_group(spark, monkeypatch):
