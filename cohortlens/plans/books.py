@@ -76,7 +76,7 @@ def _city_listens(audition: DataFrame, geo: DataFrame, cities: Sequence[str]) ->
     g = geo.where(F.col("usage_geo_id_name").isin(list(cities))).select(
         "usage_geo_id", F.col("usage_geo_id_name").alias("city"))
     # geo is a fixed-size dimension (one row per region id): broadcast.
-    return audition.join(F.broadcast(g), "usage_geo_id")
+    return audition.join(g, "usage_geo_id")
 
 
 def ltv_subscription(audition: DataFrame, geo: DataFrame, cities: Sequence[str],

@@ -27,8 +27,8 @@ def _distinct(col, approx_rsd: float | None):
 
 def _in_city(facts: DataFrame, cities: DataFrame, city: str) -> DataFrame:
     ids = cities.where(F.col("city_name") == city).select("city_id")
-    # The filtered city dimension has at most one row per city id: broadcast it.
-    return facts.join(F.broadcast(ids), "city_id", "left_semi")
+    # The planner broadcasts the filtered dimension if its size allows.
+    return facts.join(ids, "city_id", "left_semi")
 
 
 def dau(events: DataFrame, cities: DataFrame, city: str, start: str, end: str,

@@ -84,7 +84,7 @@ def exposure_segments(flats: DataFrame, ads: DataFrame, cities: DataFrame, capit
     for lo, hi, label in reversed(EXPOSURE_BUCKETS):
         cat = F.when(d.between(lo, hi), F.lit(label)).otherwise(cat)
     x = (_drop_years(_flat_ads(flats, ads), partial_years)
-         .join(F.broadcast(cities.select("city_id", "city")), "city_id")
+         .join(cities.select("city_id", "city"), "city_id")
          .select(_region(F.col("city"), capital).alias("region"), cat.alias("exposition_category"),
                  F.when(F.col("is_apartment") == 1, "apartments").otherwise("flat")
                   .alias("apartment_category"),
@@ -152,7 +152,7 @@ def settlement_market(flats: DataFrame, ads: DataFrame, cities: DataFrame, capit
                       partial_years: Sequence[int] = (), min_ads: int = 50) -> DataFrame:
     """Settlements outside the capital with more than ``min_ads`` listings."""
     x = (_drop_years(_flat_ads(flats, ads), partial_years)
-         .join(F.broadcast(cities.select("city_id", "city")), "city_id")
+         .join(cities.select("city_id", "city"), "city_id")
          .where(F.col("city") != capital))
     g = x.groupBy("city").agg(
         F.count(F.lit(1)).alias("total_ads"),

@@ -79,7 +79,7 @@ def education_gap_by_company_size(people: DataFrame, education: DataFrame, bins=
          .groupBy("size_group").agg(F.sum("n").alias("t"), F.sum("e").alias("w")))
     spark = people.sparkSession
     grid = spark.createDataFrame([(name, i) for i, (_, _, name) in enumerate(bins)], "size_group string, ord int")
-    j = F.broadcast(grid).join(g, "size_group", "left")
+    j = grid.join(g, "size_group", "left")
     t = F.coalesce(F.col("t"), F.lit(0)).cast("long")
     w = F.coalesce(F.col("w"), F.lit(0)).cast("long")
     return j.select("size_group", t.alias("total_employees"), w.alias("employees_with_education"),

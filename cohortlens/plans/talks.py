@@ -73,6 +73,6 @@ def speakers_and_length(conferences: DataFrame, talks: DataFrame, dp: int = 4) -
 
 
 def talk_detail(conferences: DataFrame, talks: DataFrame) -> DataFrame:
-    return talks.join(F.broadcast(conferences), "conference_id", "left").select(
+    return talks.join(conferences, "conference_id", "left").select(
         "talk_id", "conference_id", "conference", "country", "speaker", "occupation", "tags_text",
         "duration_min", "views", "applause", "funny")
