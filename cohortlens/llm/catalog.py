@@ -95,7 +95,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_remainder("doc_id", 4) == 2
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score(docs, model).select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "offending")
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "offending")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_remainder("doc_id", 5) == 0
     model = langid.train(docs, ~held_out, public_tokenizers.path(PIECES))
-    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

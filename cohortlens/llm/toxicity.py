@@ -1,19 +1,21 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence s has the probability
-p(s) = sigmoid(bias + weights of its distinct words), where a word's weight is
-the sum over the word itself and its beginnings of 3 to 6 letters (inflected
-insults share a stem), and a document is toxic if any of its sentences is
-(noisy-or).  Only sentences whose words raise z(s) over the bias stand for
-themselves; all others are the leak, whose sum is bounded, so that length
-alone makes no document toxic:
-
-    P(document) = 1 - exp(-leak - sum(softplus(z(s))))    over z(s) > bias
-    leak = min(r, softplus(bias) + LEAK * (1 - exp(-r / LEAK))),
-    r = sum(softplus(z(s)))    over z(s) <= bias
-
-The weights are trained from document labels alone; sentence scores come with
-them and locate the offending sentences.
+p(s) = sigmoid(z(s)), z(s) = bias + weights of its distinct words, where a word's
+weight is the sum over the word itself and its beginnings of 3 to 6 letters
+(inflected insults share a stem), and a document is toxic if any of its
+sentences is (noisy-or).  In a noisy-or of all sentences length alone would
+make a document toxic; so what a sentence without learned words has counts
+once for the document (the leak), and a sentence adds what its words raise it
+over that, weak rises by their square:
+
+    P(document) = 1 - exp(-q),    q = leak + sum(gain(z(s))),    leak = softplus(bias)
+    gain(z) = max(0, softplus(z) - leak) ** 2 / softplus(z)
+
+The gain is smooth in z, nothing for a sentence that its words don't raise,
+and near softplus(z), the noisy-or's own term, for one that they raise much.  Weights and bias are trained by this very likelihood, from document
+labels alone; sentence scores come with them and locate the offending
+sentences.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ from .common import text_slices
 SENTENCE_END = re.compile(r"(?<=[.!?\n])")
 WORD = re.compile(r"\w+")
 MAX_CACHE = 300_000
-LEAK = 0.05  # all sentences not over the bias add less than this to one of theirs
 
 
 def sentence_words(text: str) -> list[tuple[int, int, set[str]]]:
@@ -85,14 +86,14 @@ class Model:
         sentences = sentence_words(text)
         z = self.sentence_scores(sentences)
         p = 1 / (1 + np.exp(-z))
-        one, own = np.logaddexp(0, self.bias), z > self.bias
-        rest = np.logaddexp(0, z[~own]).sum() if len(z) else one
-        q = min(rest, one - LEAK * np.expm1(-rest / LEAK)) + np.logaddexp(0, z[own]).sum()
+        own, leak = np.logaddexp(0, z), np.logaddexp(0, self.bias)
+        q = leak + (np.maximum(own - leak, 0) ** 2 / own).sum()
         return float(-np.expm1(-q)), [(a, b, float(x)) for (a, b, _), x in zip(sentences, p)]
 
 
-def _informative(bags: list, toxic: np.ndarray, min_documents: int, min_chi2: float) -> dict[str, int]:
-    """Numbers of the features whose presence depends on the label (chi-square of the 2 x 2 table)."""
+def _informative(bags: list, toxic: np.ndarray, min_documents: int, min_chi2: float) -> tuple[dict[str, int], np.ndarray]:
+    """Numbers of the features whose presence depends on the label (chi-square of the 2 x 2 table), and 1 for
+    those that stand in a larger share of the toxic documents, else 0."""
     seen = [Counter(), Counter()]
     for bag, y in zip(bags, toxic):
         words = set().union(*[s[2] for s in bag]) if bag else set()
@@ -102,18 +103,40 @@ def _informative(bags: list, toxic: np.ndarray, min_documents: int, min_chi2: fl
     a, b = (np.array([seen[k][f] for f in names], float) for k in (1, 0))
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = (pos + neg) * (a * (neg - b) - b * (pos - a)) ** 2 / (pos * neg * (a + b) * (pos + neg - a - b))
-    return {f: i for i, f in enumerate(sorted(f for f, c in zip(names, chi2) if c >= min_chi2))}
+    kept = {f: float(x * neg > y * pos) for f, c, x, y in sorted(zip(names, chi2, a, b)) if c >= min_chi2}
+    return {f: i for i, f in enumerate(kept)}, np.array(list(kept.values()), float)
 
 
-def fit(texts: list[str], toxic: np.ndarray, importance: np.ndarray, min_documents: int = 4, min_chi2: float = 15.0,
+def loss_and_gradient(theta: np.ndarray, words: np.ndarray, sentence: np.ndarray, document: np.ndarray, share: np.ndarray,
+                      toxic: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted log loss and its gradient by the weights and the bias (the last of ``theta``).
+
+    ``words`` has the feature and ``sentence`` the sentence of each occurrence,
+    ``document`` the document of each sentence.
+    """
+    bias = theta[-1]
+    z = bias + np.bincount(sentence, theta[words], len(document))
+    own, leak = np.logaddexp(0, z), np.logaddexp(0, bias)
+    rise = np.maximum(1 - leak / own, 0)
+    q = leak + np.bincount(document, own * rise ** 2, len(toxic))
+    loss = -(share * np.where(toxic > 0, np.log(-np.expm1(-np.maximum(q, 1e-9))), -q)).sum()
+    by_document = share * np.where(toxic > 0, -1 / np.expm1(np.clip(q, 1e-9, 500)), 1.0)
+    # slopes of the gain: 1 - (1 - rise)^2 by softplus(z), -2 * rise by the leak
+    by_sentence = by_document[document] * rise * (2 - rise) / (1 + np.exp(-z))
+    from_leak = by_document.sum() - 2 * (by_document[document] * rise).sum()
+    from_bias = by_sentence.sum() + from_leak / (1 + np.exp(-bias))
+    return float(loss), np.append(np.bincount(words, by_sentence[sentence], len(theta) - 1), from_bias)
+
+
+def fit(texts: list[str], toxic: np.ndarray, importance: np.ndarray, min_documents: int = 3, min_chi2: float = 10.0,
         steps: int = 200, rate: float = 0.1, penalty: float = 2e-5) -> Model:
-    """Weighted log loss of the noisy-or, minimised by Adam with an L1 penalty.
+    """Weighted log loss of the documents' probabilities, minimised by Adam with an L1 penalty.
 
-    Here every sentence stands for itself: all of a clean document's are clean,
-    which holds the bias down.
+    Features that a larger share of the toxic documents has than of the others
+    start with a weight of 1: at 0 no sentence is raised and nothing would move.
     """
     bags = [sentence_words(t) for t in texts]
-    vocabulary = _informative(bags, toxic, min_documents, min_chi2)
+    vocabulary, more = _informative(bags, toxic, min_documents, min_chi2)
     words, sentence, document = [], [], []
     for d, bag in enumerate(bags):
         for _, _, ws in bag or [(0, 0, set())]:
@@ -125,14 +148,11 @@ def fit(texts: list[str], toxic: np.ndarray, importance: np.ndarray, min_documen
     share = importance / importance.sum()
     prior = float(np.clip((share * toxic).sum(), 1e-4, 1 - 1e-4))
     theta = np.zeros(len(vocabulary) + 1)
-    theta[-1] = np.log(prior / max(len(document) / max(len(texts), 1), 1.0))
+    theta[-1] = np.log(prior) - 1
+    theta[:-1] = more
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        z = theta[-1] + np.bincount(sentence, theta[words], len(document))
-        q = np.bincount(document, np.logaddexp(0, z), len(texts))
-        slope = share * np.where(toxic > 0, -1 / np.expm1(np.maximum(q, 1e-9)), 1.0)
-        by_sentence = slope[document] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(words, by_sentence[sentence], len(vocabulary)), by_sentence.sum())
+        _, grad = loss_and_gradient(theta, words, sentence, document, share, toxic)
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad * grad
         theta -= rate * (mean / (1 - 0.9 ** t)) / (np.sqrt(square / (1 - 0.999 ** t)) + 1e-8)
         # soft threshold: what no document needs stays zero
@@ -160,8 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     the classes share as they do the documents.  A text of any length goes in
     if it takes at most half of the characters its class has left, so a few
     long ones never crowd out the others.  Weights restore the labels' own
-    proportions.  A null id or label is left out; an
-    id with several labels is toxic if any says so.  Without both classes the
+    proportions.  A null id or label is left out; an id with several labels is
+    toxic if any says so, and of several texts of an id the one with the least
+    digest is taken.  Without both classes the
     model is the prior alone.
     """
     spark = docs.sparkSession
@@ -181,7 +202,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
                     {y: total_chars * most // (max_toxic + max_clean) for y, most in ((1, max_toxic), (0, max_clean))})
     taken = F.broadcast(spark.createDataFrame([(d,) for d in fit_in], StructType(chosen.schema.fields[:1])))
     rows = sample.join(taken, "__id", "left_semi").select(
-        F.col("__id"), F.col("__y"), F.col(text_col).alias("__t")).dropDuplicates(["__id"]).orderBy("__id").collect()
+        F.col("__id"), F.col("__y"), F.col(text_col).alias("__t"))
+    # of repeated ids the text with the least digest
+    rows = rows.groupBy("__id", "__y").agg(F.min_by("__t", F.sha2(F.col("__t").cast("binary"), 256)).alias("__t")).orderBy(
+        "__id").collect()
     toxic = np.array([r["__y"] for r in rows], float)
     found = {y: max(int((toxic == y).sum()), 1) for y in (0, 1)}
     if not len(rows):

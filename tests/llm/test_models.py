@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,11 +91,74 @@ def test_noisy_or_by_brute_force():
     z = [-2 + 3, -2 + 1.5 + 0.5, -2 + 3, -2]
     p = [1 / (1 + math.exp(-x)) for x in z]
     score, sentences = model.score(text)
-    assert score == pytest.approx(1 - math.prod(1 - x for x in p))
+    leak = math.log1p(math.exp(-2))
+    own = [math.log1p(math.exp(x)) for x in z]
+    assert score == pytest.approx(1 - math.exp(-leak - sum((x - leak) ** 2 / x for x in own if x > leak)))
+    # far over the bias a sentence has the noisy-or's own probability
+    assert toxicity.Model(-20.0, {"bad": 21.0}).score("bad")[0] == pytest.approx(1 / (1 + math.exp(-1)), abs=1e-6)
     assert [s[2] for s in sentences] == pytest.approx(p)
     assert [text[a:b].strip() for a, b, _ in sentences] == ["A bad day.", "Worst of all!", "bad bad", "Fine."]
 
 
+def test_gradient_of_the_trained_likelihood():
+    """The fit follows the loss of the very score that is given out."""
+    rng = np.random.default_rng(2)
+    document = np.sort(rng.integers(0, 12, 40))
+    words, sentence = rng.integers(0, 6, 90), rng.integers(0, 40, 90)
+    toxic, share = (np.arange(12) % 3 == 0).astype(float), np.full(12, 1 / 12)
+    theta = np.append(rng.normal(0.5, 1, 6), -3.0)
+    loss, grad = toxicity.loss_and_gradient(theta, words, sentence, document, share, toxic)
+    for i in range(7):
+        step = np.zeros(7)
+        step[i] = 1e-6
+        high, low = (toxicity.loss_and_gradient(theta + s, words, sentence, document, share, toxic)[0] for s in (step, -step))
+        assert grad[i] == pytest.approx((high - low) / 2e-6, rel=1e-4, abs=1e-8)
+    model = toxicity.Model(-3.0, {f"w{i}": theta[i] for i in range(6)})
+    texts = [". ".join(" ".join({f"w{w}" for w in words[sentence == s]}) or "none" for s in np.flatnonzero(document == d))
+             for d in range(12)]
+    counts = np.unique(np.stack([sentence, words]), axis=1)  # a word counts once in a sentence
+    once, _ = toxicity.loss_and_gradient(theta, counts[1], counts[0], document, share, toxic)
+    scores = np.array([model.score(t)[0] for t in texts])
+    assert once == pytest.approx(-(share * np.where(toxic > 0, np.log(scores), np.log1p(-scores))).sum())
+
+
+def test_score_is_continuous_in_the_weights():
+    text = "Some plain words. More of them here.\n" * 250
+    scores = [toxicity.Model(-5.0, {"plain": w}).score(text)[0] for w in (-1.0, -1e-6, 0.0, 1e-6, 1e-3, 1e-2)]
+    assert scores[0] == scores[1] == scores[2] and scores[3] == pytest.approx(scores[2], abs=1e-9)
+    assert scores[4] == pytest.approx(scores[2], abs=1e-5) and scores[5] == pytest.approx(scores[2], abs=1e-3)
+
+
+@pytest.mark.parametrize("size", [1_000_000, 5_000_000, 20_000_000])
+def test_long_clean_texts_stay_below_the_threshold(size, fitted):
+    model, clean = fitted
+    text = "\n".join(clean)
+    text = (text + "\n") * (size // len(text) + 1)
+    assert model.score(text)[0] < 0.3
+
+
+@pytest.fixture(scope="module")
+def fitted():
+    """A model of three quarters of the labelled documents, and the clean ones of the last quarter."""
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{DATA}/labels.parquet").to_pylist() if r["toxic"] is not None}
+    rows = [(r["doc_id"], r["text"] or "", labels[r["doc_id"]]) for r in pq.read_table(f"{DATA}/documents.parquet").to_pylist()
+            if r["doc_id"] in labels]
+    seen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    model = toxicity.fit([t for _, t, _ in seen], np.array([float(y) for *_, y in seen]), np.ones(len(seen)))
+    clean = [t for i, t, y in rows if not y and zlib.crc32(str(i).encode()) % 4 == 2]
+    passed = [t for t in clean if model.score(t)[0] < 0.3]
+    assert len(passed) > 0.95 * len(clean)
+    return model, passed
+
+
+def test_the_text_of_a_repeated_id_is_fixed(spark):
+    rows = [(i, f"text {k} of {i} is " + ("vilein." if i % 2 else "fine.") + " x" * k) for i in range(40) for k in range(3)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [toxicity.train(docs.repartition(n), labels, F.lit(True)) for n in (1, 5)]
+    assert models[0] == models[1] and models[0].weights
+
+
 def test_learns_from_document_labels_and_locates_the_sentence():
     rng = random.Random(11)
     words = ["w%d" % i for i in range(60)]
@@ -119,7 +183,7 @@ def test_length_alone_makes_no_document_toxic():
     model = toxicity.Model(-9.0, {"vilein": 10.0, "pale": -2.0})
     clean = "A quiet day. Pale light fell on it.\n" * 10_000
     assert len(toxicity.sentence_words(clean)) == 20_000
-    assert model.score("")[0] < model.score(clean)[0] < 0.06
+    assert model.score("")[0] == model.score(clean)[0] < 0.06  # length adds nothing
     score, sentences = model.score(clean + "You vilein.\n" + clean)
     assert score > 0.3 and sum(p > 0.3 for _, _, p in sentences) == 1
 
