@@ -38,18 +38,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__file`` and ``__row``, the place of each row's content.
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc, file, row): the rows of ``docs`` as structs with the place of each row's content.
 
     Rows that don't come straight from files are written to the shared folder first.
     """
-    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    place = [F.struct(*docs.columns).alias("doc"), F.col("_metadata.file_path").alias("file"),
+             F.col("_metadata.row_index").alias("row")]
     try:
-        return docs.select("*", *place)
+        return docs.select(*place)
     except AnalysisException as e:
         if not (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
             raise
-    return materialize(docs, "located").select("*", *place)
+    return materialize(docs, "located").select(*place)
 
 
 def maybe_among(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,15 +70,13 @@ def maybe_among(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFram
     return joined.withColumn("__hit", F.coalesce(value, F.lit(False))).drop("__bucket", "__bits")
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` (from ``located``) less the rows whose ``__file`` and ``__row`` are in ``dropped``.
+def without_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents of ``rows`` (from ``placed``) less those whose ``file`` and ``row`` are in ``dropped``.
 
     Only rows that may be dropped are shuffled.
     """
-    columns = [c for c in docs.columns if c not in ("__file", "__row")]
-    rows = docs.select(F.struct(*columns).alias("doc"), "__file", "__row")
-    marked = maybe_among(rows, dropped, ["__file", "__row"])
-    stay = marked.where("__hit").join(dropped.select("__file", "__row"), ["__file", "__row"], "left_anti")
+    marked = maybe_among(rows, dropped, ["file", "row"])
+    stay = marked.where("__hit").join(dropped.select("file", "row"), ["file", "row"], "left_anti")
     return marked.where(~F.col("__hit")).select("doc.*").unionByName(stay.select("doc.*"))
 
 

@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import located, materialize, maybe_among, text_slices
+from .common import materialize, maybe_among, placed, text_slices
 
 NGRAM = 5
 TREES = 20
@@ -161,10 +161,9 @@ def compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, id, text, digest, file, row): ``docs`` with names that can't clash."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return located(docs).select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), text.alias("text"),
-                                F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
-                                F.col("__file").alias("file"), F.col("__row").alias("row"))
+    text = F.coalesce(F.col("doc")[text_col], F.lit(""))
+    return placed(docs).select("doc", F.col("doc")[id_col].alias("id"), text.alias("text"),
+                               F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), "file", "row")
 
 
 def represent(rows: DataFrame) -> DataFrame:

@@ -44,17 +44,21 @@ def _without(text: Column, chars: str) -> Column:
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns ``MADE``; a null text has no words.
 
-    Columns of ``docs`` with those names are replaced.
+    Columns of ``docs`` with those names are replaced, others may have any name.
+    An empty text has no words either.  Texts may be of any length: one is
+    measured in its row, in time and memory linear in it but for sorting its
+    windows where some repeat.
     """
     kept = [c for c in docs.columns if c not in MADE]
     if text_col not in kept:
         raise ValueError(f"the text column can't be named {text_col}")
     text = F.col("__t")
-    out = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
-    out = out.select(*kept, "__t", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("__w"),
+    # The caller's columns in one struct: no name of theirs can meet one used here.
+    out = docs.select(F.struct(*kept).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
+    out = out.select("__doc", "__t", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("__w"),
                      F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACES, "") != "").alias("__l"))
     out = out.select(
-        *kept, "__w", F.size("__w").cast("long").alias("n_words"),
+        "__doc", "__w", F.size("__w").cast("long").alias("n_words"),
         _without(text, SPACES).cast("long").alias("word_chars"),
         (F.char_length(text) - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
@@ -84,7 +88,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # One struct through explode: a filter on the results stays above it and
     # doesn't copy the nested expressions into itself.
     made = F.explode(F.array(F.struct(*MADE[:-1], failed.alias("base_failed"))))
-    return out.select(*kept, made.alias("__made")).select(*kept, "__made.*")
+    return out.select("__doc", made.alias("__made")).select("__doc.*", "__made.*")
 
 
 def rates() -> Column:
@@ -139,17 +143,22 @@ def _most(n: Column, p: float, log_level: Column) -> Column:
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: Column) -> DataFrame:
-    """``measured`` with ``rejected_by`` (rules, empty if none) and ``kept``."""
+    """``measured`` with ``rejected_by`` (rules, empty if none) and ``kept``, which replace columns of these names.
+
+    Every row gets a decision of its own, repeated ones and those with a null
+    id too; a stratum without a cutoff rejects nothing.
+    """
     chosen = materialize(cutoffs.groupBy(F.col("stratum").alias("__stratum")).agg(F.map_from_entries(
         F.collect_list(F.struct("rule", "reject_from"))).alias("__cut")), "quality-cutoffs")
     if chosen.count() <= MAX_STRATA:  # a row of a few numbers for each stratum
         chosen = F.broadcast(chosen)
     kept = [c for c in measured.columns if c not in ("rejected_by", "kept")]
-    joined = measured.withColumn("__stratum", stratum).join(chosen, "__stratum", "left")
-    by = F.transform(F.filter(rates(), lambda r: r["rate"] >= F.coalesce(
+    rows = measured.select(F.struct(*kept).alias("row"), stratum.alias("__stratum"), rates().alias("rates"), "base_failed")
+    by = F.transform(F.filter("rates", lambda r: r["rate"] >= F.coalesce(
         F.try_element_at("__cut", r["rule"]), F.lit(1001))), lambda r: r["rule"])
-    joined = joined.withColumn("rejected_by", by)
-    return joined.select(*kept, "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"))
+    joined = rows.join(chosen, "__stratum", "left").select("row", "base_failed", by.alias("by"))
+    passed = ~F.col("base_failed") & (F.size("by") == 0)
+    return joined.select("row.*", F.col("by").alias("rejected_by"), passed.alias("kept"))
 
 
 def language(lang_col: str = "lang") -> Column:

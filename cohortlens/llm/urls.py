@@ -53,24 +53,29 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", default: st
     no entry fits is not listed: rule null, verdict ``default``.  A null url
     and one without ``://`` have empty host and path, which fit no entry.
     An entry listed twice counts once (the verdict ``block`` before
-    ``allow``).  Columns of ``pages`` with the names of the four are replaced.
+    ``allow``).  Columns of ``pages`` with the names of the four are replaced,
+    others may have any name.  Urls may be of any length: of a host only the
+    last labels, as many as the longest listed host has, are tried, and of a
+    path only a head as long as the longest listed one.
     """
     listed = listed.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).where("host != ''")
-    size = listed.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.length("path")).alias("lengths")).first()
+    size = listed.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.length("path")).alias("lengths"),
+                      F.max(F.size(F.split("host", r"\."))).alias("labels")).first()
     lengths = sorted(size["lengths"])
     host, path = split_url(F.col(url_col))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    parsed = pages.select(*kept, host.alias("host"), path.alias("path")) if url_col in kept else None
-    if parsed is None:
+    if url_col not in kept:
         raise ValueError(f"the url column can't be named {url_col}")
+    # The caller's columns in one struct: no name of theirs can meet one used here.
+    parsed = pages.select(F.struct(*kept).alias("page"), host.alias("host"), path.alias("path"))
     if not lengths:
-        return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return parsed.select("page.*", "host", "path", F.lit(None).cast("string").alias("rule"),
+                             F.lit(default).alias("verdict"))
     # Only the path's first characters can matter: few distinct rows are left.
     parsed = parsed.withColumn("__head", F.substring("path", 1, max(lengths)))
     heads = parsed.where("host != ''").select("host", "__head").distinct()
-    labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                          lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parents = F.transform(F.sequence(F.lit(1), F.lit(size["labels"])),
+                          lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     tries = heads.select("host", "__head", F.explode(F.array_distinct(parents)).alias("__host")).select(
         "*", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("__n")).where(F.length("__head") >= F.col("__n"))
     tries = tries.select("host", "__head", "__host", F.expr("substring(__head, 1, __n)").alias("__path"))
@@ -90,7 +95,7 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", default: st
     # Written, so that the join has a shuffle on both sides and a hot host can be split.
     best = materialize(best, "url-rules")
     return parsed.join(best, ["host", "__head"], "left").select(
-        *kept, "host", "path", F.col("__b.rule").alias("rule"),
+        "page.*", "host", "path", F.col("__b.rule").alias("rule"),
         F.coalesce(F.col("__b.verdict"), F.lit(default)).alias("verdict"))
 
 

@@ -177,6 +177,14 @@ def test_capacity_with_a_hot_group(spark, hot):
 
 # --- urls ------------------------------------------------------------------
 
+def test_a_host_of_half_a_million_labels(spark):
+    long = "http://" + "a." * 500_000 + "b.example.com/en/x"
+    rows = [(1, long), (2, "http://www.example.com/en/"), (3, "http://" + "x" * 1_000_000 + "/"), (4, "http://net/es/" + "p" * 1_000_000)]
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(
+        spark.createDataFrame(rows, "page_id long, url string"), urls.rules(spark, catalog.URL_RULES)).collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: ("www.example.com/en/", "allow"), 3: (None, "allow"), 4: ("net/es/", "block")}
+
+
 def brute_url(url, entries):
     rest = url.partition("://")[2] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0]
@@ -252,6 +260,50 @@ def test_state_goes_on_with_more_rows(spark, tmp_path):
         (r.doc_id, r.keep_id, r.group_size, r.kept) for r in got)
 
 
+def weak(text):
+    return F.unhex(F.md5(F.substring(text, 1, 1).cast("binary")))
+
+
+def test_bytes_are_compared_across_calls(spark, tmp_path):
+    """A digest of the first letter: apple and axe meet in one digest, over two calls."""
+    frames = [[(1, "apple"), (2, "bean"), (3, "apple")], [(4, "axe"), (5, "bean"), (6, "apple"), (7, "axe")]]
+    frames = [spark.createDataFrame(rows, "doc_id long, text string") for rows in frames]
+    state = str(tmp_path / "state")
+    dedup.deduplicate(frames[0], digest=weak, state_dir=state)
+    got = dedup.deduplicate(frames[1], digest=weak, state_dir=state).decisions().collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {
+        (1, 6, 3, False), (3, 6, 3, False), (6, 6, 3, True), (4, 7, 2, False), (7, 7, 2, True), (2, 5, 2, False), (5, 5, 2, True)}
+
+
+def test_a_repeated_call_adds_nothing(spark, tmp_path):
+    path, state = str(tmp_path / "docs"), str(tmp_path / "state")
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    dedup.deduplicate(docs.where("doc_id < 3"), state_dir=state)
+    for _ in range(2):  # the rest of the file is new once
+        got = dedup.deduplicate(docs, state_dir=state).decisions().collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == [(1, 3, 2), (2, 2, 1), (3, 3, 2)]
+    frame = spark.createDataFrame([(9, "b")], "doc_id long, text string")
+    for _ in range(2):  # a frame that is in no file is known by its call's name
+        got = dedup.deduplicate(frame, state_dir=state, call="later").decisions().collect()
+        assert (2, 9, 2) in {(r.doc_id, r.keep_id, r.group_size) for r in got} and len(got) == 4
+
+
+def test_any_column_names(spark):
+    """Columns named like those used inside come out as they went in."""
+    names = ["__file", "__row", "file", "row", "doc", "text2", "digest", "__w", "__t", "__doc", "__made", "__head", "__b", "__hit",
+             "__bucket", "page", "rates", "by", "__stratum", "__cut", "keep", "n"]
+    rows = [(1, "http://a.net/es/x", "http://a.net/es/x", *range(len(names))), (2, "other " * 30, None, *range(len(names)))]
+    frame = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, url string", *(f"{n} int" for n in names)]))
+    frame = frame.withColumn("lang", F.lit("en"))
+    want = {r.doc_id: tuple(r[n] for n in names) for r in frame.collect()}
+    measured = quality.measure(frame)
+    cutoffs = quality.thresholds(measured, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), quality.language())
+    for out in (measured, quality.judge(measured, cutoffs, quality.language()), dedup.deduplicate(frame).kept(),
+                urls.judge(frame, urls.rules(spark, catalog.URL_RULES))):
+        assert {r.doc_id: tuple(r[n] for n in names) for r in out.collect()} == want
+
+
 def test_dedup_of_nothing(nothing):
     found = dedup.deduplicate(nothing)
     assert found.decisions().collect() == [] and found.kept().collect() == []
