@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm import dedup, jaccard, packing, quality, toxicity
-from cohortlens.llm.common import crc_remainder, located, materialize, table, without_rows
+from cohortlens.llm.common import crc_remainder, materialize, placed, table, without_rows
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +18,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text has no words and fails the base rules.
     """
-    rows, lang = located(docs), F.col("lang")
-    slim = rows.select("__file", "__row", "doc_id", quality.language().alias("lang"), "text")
+    rows, lang = placed(docs), F.col("lang")
+    slim = rows.select("file", "row", "doc.doc_id", quality.language("doc.lang").alias("lang"), "doc.text")
     measured = materialize(quality.measure(slim).drop("text"), "quality")
     cutoffs = quality.thresholds(measured, table(spark, sf_dir, "labels"), lang)
-    rejected = quality.judge(measured, cutoffs, lang).where("NOT kept").select("__file", "__row")
+    rejected = quality.judge(measured, cutoffs, lang).where("NOT kept").select("file", "row")
     return without_rows(rows, materialize(rejected, "quality-rejected"))
 
 
