@@ -128,12 +128,17 @@ class Distribution:
         return self._groups
 
     def index(self, keep: bool = True) -> DataFrame:
-        """(by, b, n, d, lo, hi, s): rows, distinct values, range and exact sum of each first cell."""
+        """(by, b, n, d, lo, hi, s, f): rows, distinct values, range, exact and floating sum of each first cell.
+
+        The exact sum is null where a value or the sum is beyond decimals (or not finite).
+        """
         if self._index is None:
             cells = self._grouped(
-                self.counts.selectExpr(*map(names, self.by), "__v", "__c", f"{X} AS x", f"{FIRST_CELL} AS b"), [*self.by, "b"],
+                self.counts.selectExpr(*map(names, self.by), "__v", "__c", f"{X} AS x", f"{FIRST_CELL} AS b",
+                                       "try_cast(__v AS DECIMAL(28,6)) AS exact"), [*self.by, "b"],
                 "sum(__c) AS n", "count(1) AS d", "min(x) AS lo", "max(x) AS hi",
-                "sum(CAST(__v AS DECIMAL(28,6)) * CAST(__c AS DECIMAL(18,0))) AS s")
+                "CASE WHEN count(__v) = count(exact) THEN try_sum(try_multiply(exact, CAST(__c AS DECIMAL(18,0)))) END AS s",
+                "sum(x * __c) AS f")
             if not keep:
                 return cells
             self._index = written(cells, "value-cells")
@@ -142,9 +147,10 @@ class Distribution:
     def moments(self) -> DataFrame:
         """(by, count, mean, std, min, max); std with n - 1, null for one value; groups without values have count 0."""
         sums = self._grouped(self.index(), self.by, "coalesce(sum(CASE WHEN b IS NOT NULL THEN n END), 0L) AS count",
-                             "sum(s) AS s", "min(lo) AS min", "max(hi) AS max")
+                             "CASE WHEN count(b) = count(s) THEN try_sum(s) END AS s", "sum(f) AS f", "min(lo) AS min",
+                             "max(hi) AS max")
         sums = sums.selectExpr(*map(names, self.by), "count",
-                               "try_divide(CAST(s AS DOUBLE), CAST(count AS DOUBLE)) AS mean", "min", "max")
+                               "try_divide(coalesce(CAST(s AS DOUBLE), f), CAST(count AS DOUBLE)) AS mean", "min", "max")
         rows = attach(self.counts.where("__v IS NOT NULL"), sums.select(*self.by, "mean"), self.by, self.groups())
         spread = self._grouped(rows.selectExpr(*map(names, self.by), "__c", f"{X} - mean AS off"), self.by,
                                "sum(__c * off) AS e", "sum(__c * off * off) AS ee")

@@ -75,6 +75,15 @@ def test_moments(values):
     assert (got["none"]["count"], got["none"]["mean"], got["none"]["std"]) == (0, None, None)
 
 
+def test_moments_beyond_decimals(spark):
+    rows = [("big", 1e30), ("big", 3e30), ("inf", 1.0), ("inf", float("inf")), ("nan", float("nan")), ("nan", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in describe(df, "v", ["g"]).collect()}
+    assert (got["big"]["mean"], got["big"]["p50"]) == (2e30, 2e30) and got["big"]["std"] == pytest.approx(2 ** .5 * 1e30)
+    assert got["inf"]["mean"] == float("inf") and np.isnan(got["nan"]["mean"])
+    assert sum(r["count"] for r in density_histogram(df.where("g = 'big'"), "v", ["g"], bins=3).collect()) == 2
+
+
 def test_nothing_at_all(spark):
     empty = spark.createDataFrame([], "g string, v double")
     assert Distribution.of(empty, "v", ["g"]).moments().count() == 0
