@@ -6,10 +6,12 @@ smallest capacity for which a greedy walk over the ordered groups needs no
 more than ``shards`` shards is found by binary search, and the cuts are made
 there, so the largest shard is as small as any contiguous partition allows.
 
-The walk needs no list of all groups.  Sizes are first summed over fixed
-ranges of the hash (``RANGES`` of them, whatever the input).  On such sums the
-search gives a lower bound (a range may be cut anywhere) and an upper bound (a
-range is never cut).  Ranges heavier than an equal share, and ranges in which a cut can
+The walk needs no list of all groups at the driver.  Sizes are summed by hash
+once, in a written table in which a group of any number of copies is one row;
+all later sums read that.  They are first taken over fixed ranges of the hash
+(``RANGES`` of them, whatever the input).  On such sums the search gives a
+lower bound (a range may be cut anywhere) and an upper bound (a range is never
+cut).  Ranges heavier than an equal share, and ranges in which a cut can
 fall between the two bounds, are summed again by finer ranges, until both
 bounds meet; no bound is below the largest group.  What reaches
 the driver is bounded by ``RANGES`` plus ``REFINED`` rows a round.  A cut is a
@@ -95,16 +97,16 @@ def _lowest(width: int) -> Column:
     return F.shiftleft(F.shiftright(F.col("h"), width), width) if width else F.col("h")
 
 
-def _sums(sized: DataFrame, width: int) -> list[tuple[int, int, int]]:
+def _sums(groups: DataFrame, width: int) -> list[tuple[int, int, int]]:
     """Bytes by hash range of 2**width values."""
-    return [(r.low, width, r.b) for r in sized.groupBy(_lowest(width).alias("low")).agg(F.sum("size").alias("b")).collect()]
+    return [(r.low, width, r.b) for r in groups.groupBy(_lowest(width).alias("low")).agg(F.sum("size").alias("b")).collect()]
 
 
-def _within(sized: DataFrame, width: int, lows: list[int]) -> DataFrame:
-    """Rows in the listed ranges (at most RANGES + REFINED), by a hash join."""
-    listed = sized.sparkSession.range(1).select(
+def _within(groups: DataFrame, width: int, lows: list[int]) -> DataFrame:
+    """Groups in the listed ranges (at most RANGES + REFINED), by a hash join."""
+    listed = groups.sparkSession.range(1).select(
         F.explode(F.split(F.lit(",".join(map(str, lows))), ",").cast("array<long>")).alias("listed"))
-    return sized.join(F.broadcast(listed), _lowest(width) == F.col("listed"), "left_semi")
+    return groups.join(F.broadcast(listed), _lowest(width) == F.col("listed"), "left_semi")
 
 
 def minimax_cuts(sized: DataFrame, shards: int) -> tuple[list[int], int]:
@@ -112,8 +114,9 @@ def minimax_cuts(sized: DataFrame, shards: int) -> tuple[list[int], int]:
 
     ``sized`` has ``h`` (long) and ``size`` (positive long) for each row.
     """
+    groups = materialize(sized.groupBy("h").agg(F.sum("size").alias("size")), "shard-groups")
     width = HASH_BITS - RANGE_BITS
-    ranges = Ranges(_sums(sized, width))
+    ranges = Ranges(_sums(groups, width))
     while True:
         share = -(-ranges.total // shards)
         # Ranges over an equal share come first (fewer than the shards): a large group in them
@@ -134,7 +137,7 @@ def minimax_cuts(sized: DataFrame, shards: int) -> tuple[list[int], int]:
         rows = [r for i, r in enumerate(ranges.rows) if i not in chosen]
         for wide, lows in by_width.items():
             finer = max(0, wide - max(1, (REFINED // len(todo)).bit_length() - 1))
-            rows += _sums(_within(sized, wide, lows), finer)
+            rows += _sums(_within(groups, wide, lows), finer)
         ranges = Ranges(rows)
 
 

@@ -124,6 +124,23 @@ def test_minimax_capacity_by_brute_force(spark, monkeypatch, bits, refined):
             assert max(loads.values()) <= capacity and len(cuts) < shards
 
 
+def test_refining_rounds_read_a_group_once(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "REFINED", 1 << 8)
+    rng = random.Random(4)
+    rows = [(7 << 40, 3)] * 3000 + [(rng.getrandbits(64) - 2**63, rng.randint(1, 60)) for _ in range(200)]
+    within, read = sharding._within, []
+
+    def counted(*args):
+        frame = within(*args)
+        read.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(sharding, "_within", counted)
+    cuts, capacity = sharding.minimax_cuts(spark.createDataFrame(rows, "h long, size long"), 8)
+    assert capacity == 9000
+    assert read and max(read) <= 201
+
+
 def test_shards_and_slots(spark, edge, nothing, small_docs):
     for frame in (edge, small_docs):
         rows = sharding.shard(frame, 8).collect()
