@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -90,14 +92,15 @@ def text_slices(batches: Iterable[pa.RecordBatch], text_col: str,
     """Arrow batches cut into slices of about ``max_chars`` characters.
 
     A text longer than that makes a slice of its own; a null text is empty.
+    No more than a slice of a batch's texts are Python strings at a time.
     """
     for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-        first, chars = 0, 0
-        for i, t in enumerate(texts):
-            if i > first and (chars + len(t) > max_chars or i - first >= max_rows):
-                yield batch.slice(first, i - first), texts[first:i]
-                first, chars = i, 0
-            chars += len(t)
-        if first < len(texts):
-            yield batch.slice(first), texts[first:]
+        column = batch.column(batch.schema.get_field_index(text_col))
+        ends = np.cumsum(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < len(ends):
+            fit = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + max_chars, "right"))
+            last = min(max(fit, first + 1), first + max_rows)
+            part = batch.slice(first, last - first)
+            yield part, [t or "" for t in column.slice(first, last - first).to_pylist()]
+            first = last
