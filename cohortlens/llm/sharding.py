@@ -11,11 +11,15 @@ once, in a written table in which a group of any number of copies is one row;
 all later sums read that.  They are first taken over fixed ranges of the hash
 (``RANGES`` of them, whatever the input).  On such sums the search gives a
 lower bound (a range may be cut anywhere) and an upper bound (a range is never
-cut).  Ranges heavier than an equal share, and ranges in which a cut can
-fall between the two bounds, are summed again by finer ranges, until both
-bounds meet; no bound is below the largest group.  What reaches
-the driver is bounded by ``RANGES`` plus ``REFINED`` rows a round.  A cut is a
-hash value, so assigning rows is a comparison, without a join.
+cut).  Heavy ranges (over ``HEAVY`` mean ranges, or over an equal share) are
+summed again by finer ranges first: the bounds are no further apart than the
+largest range that may be cut, so a group of copies that isn't known as one
+would leave nearly every range open.  Then ranges in which a cut can fall
+between the two bounds are, until both bounds meet; no bound is below the
+largest group.  Ranges that together hold no more than ``REFINED`` groups are
+summed by group at once, so rounds are few.  What reaches the driver is bounded
+by ``RANGES`` plus ``REFINED`` rows a round.  A cut is a hash value, so
+assigning rows is a comparison, without a join.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from .common import materialize
 
 HASH_BITS = 64
 RANGE_BITS = 14  # RANGES = 2 ** RANGE_BITS
+HEAVY = 16
 REFINED = 1 << 16
 SLOT_BINS = 1024
 
@@ -36,8 +41,8 @@ SLOT_BINS = 1024
 class Ranges:
     """Ordered hash ranges with their sizes; a range of one hash is atomic."""
 
-    def __init__(self, rows: list[tuple[int, int, int]]):
-        self.rows = sorted(rows)  # (lowest hash, log2 of the width, bytes)
+    def __init__(self, rows: list[tuple[int, int, int, int]]):
+        self.rows = sorted(rows)  # (lowest hash, log2 of the width, bytes, groups)
         self.at = [0, *accumulate(r[2] for r in self.rows)]
         self.total = self.at[-1]
 
@@ -82,13 +87,36 @@ class Ranges:
         return low
 
     def open_ranges(self, low: int, high: int, shards: int) -> list[int]:
-        """Ranges in which some greedy walk with a capacity between the bounds may cut."""
+        """Ranges in which some greedy walk with a capacity between the bounds may cut.
+
+        Where cuts can be is kept as intervals.  None is inside an atomic range, so walks that
+        take a large group into a shard and walks that leave it to the next have intervals apart.
+        """
+        large = [k for k, r in enumerate(self.rows) if r[2] > high - low and self.atomic(k)]
         found: set[int] = set()
-        first = 0  # the earliest start of the shard
-        for last in self.split(high, shards) or []:
-            i = bisect_right(self.at, min(first + low, self.total - 1)) - 1
-            found.update(k for k in range(i, min(bisect_left(self.at, last) + 1, len(self.rows))) if not self.atomic(k))
-            first = self.at[i]
+        starts = [(0, 0)]
+        for _ in range(shards - 1):
+            ends = []
+            for a, b in starts:
+                if a + low >= self.total:
+                    continue
+                i, last = bisect_right(self.at, a + low) - 1, min(b + high, self.total)
+                first = self.at[i]
+                for k in large[bisect_left(large, i):]:
+                    if self.at[k] >= last:
+                        break
+                    ends.append((first, self.at[k]))
+                    first = self.at[k + 1]
+                if first <= last:
+                    ends.append((first, last))
+            starts = []
+            for a, b in sorted(ends):
+                if starts and a <= starts[-1][1]:
+                    starts[-1] = (starts[-1][0], max(b, starts[-1][1]))
+                else:
+                    starts.append((a, b))
+            for a, b in starts:
+                found.update(k for k in range(bisect_right(self.at, a) - 1, bisect_left(self.at, b)) if not self.atomic(k))
         return sorted(found)
 
 
@@ -97,9 +125,10 @@ def _lowest(width: int) -> Column:
     return F.shiftleft(F.shiftright(F.col("h"), width), width) if width else F.col("h")
 
 
-def _sums(groups: DataFrame, width: int) -> list[tuple[int, int, int]]:
-    """Bytes by hash range of 2**width values."""
-    return [(r.low, width, r.b) for r in groups.groupBy(_lowest(width).alias("low")).agg(F.sum("size").alias("b")).collect()]
+def _sums(groups: DataFrame, width: int) -> list[tuple[int, int, int, int]]:
+    """Bytes and groups by hash range of 2**width values."""
+    sums = groups.groupBy(_lowest(width).alias("low")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
+    return [(r.low, width, r.b, r.n) for r in sums.collect()]
 
 
 def _within(groups: DataFrame, width: int, lows: list[int]) -> DataFrame:
@@ -119,9 +148,10 @@ def minimax_cuts(sized: DataFrame, shards: int) -> tuple[list[int], int]:
     ranges = Ranges(_sums(groups, width))
     while True:
         share = -(-ranges.total // shards)
-        # Ranges over an equal share come first (fewer than the shards): a large group in them
-        # decides the capacity, and then the bounds meet.
-        todo = [i for i, r in enumerate(ranges.rows) if r[2] > share and not ranges.atomic(i)]
+        # Heavy ranges come first (fewer than the shards, or RANGES / HEAVY): a large group in them
+        # decides the capacity or where cuts cannot be, and then the bounds are near.
+        heavy = min(share, ranges.total * HEAVY >> RANGE_BITS)
+        todo = [i for i, r in enumerate(ranges.rows) if r[2] > heavy and not ranges.atomic(i)]
         if not todo:
             low = ranges.smallest(ranges.split, shards, max([share, *(r[2] for r in ranges.rows if r[1] == 0)]))
             high = ranges.smallest(ranges.whole, shards, low)
@@ -129,14 +159,15 @@ def minimax_cuts(sized: DataFrame, shards: int) -> tuple[list[int], int]:
             if not todo:
                 ends = ranges.whole(high, shards) or []
                 return [ranges.rows[j][0] for j in ends if j < len(ranges.rows)], high
-        # Finer sums of the open ranges: as fine as REFINED rows allow.
+        # Finer sums of the open ranges: as fine as REFINED rows allow, by group if they hold no more.
+        few = sum(ranges.rows[i][3] for i in todo) <= REFINED
         by_width: dict[int, list[int]] = {}
         for i in todo:
             by_width.setdefault(ranges.rows[i][1], []).append(ranges.rows[i][0])
         chosen = set(todo)
         rows = [r for i, r in enumerate(ranges.rows) if i not in chosen]
         for wide, lows in by_width.items():
-            finer = max(0, wide - max(1, (REFINED // len(todo)).bit_length() - 1))
+            finer = 0 if few else max(0, wide - max(1, (REFINED // len(todo)).bit_length() - 1))
             rows += _sums(_within(groups, wide, lows), finer)
         ranges = Ranges(rows)
 

@@ -1,3 +1,4 @@
+import bisect
 import collections
 import itertools
 import math
@@ -141,6 +142,34 @@ def test_refining_rounds_read_a_group_once(spark, monkeypatch):
     assert read and max(read) <= 201
 
 
+@pytest.mark.parametrize("hot", [0.1, 0.115, 0.124])
+def test_a_group_of_less_than_a_share_opens_few_ranges(spark, monkeypatch, hot):
+    rng = random.Random(11)
+    groups = {rng.getrandbits(64) - 2**63: rng.randint(200, 2000) for _ in range(20_000)}
+    groups[sorted(groups)[10_000]] = round(sum(groups.values()) * hot / (1 - hot))
+    within, read = sharding._within, []
+
+    def counted(*args):
+        frame = within(*args)
+        read.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(sharding, "_within", counted)
+    cuts, capacity = sharding.minimax_cuts(spark.createDataFrame(list(groups.items()), "h long, size long"), 8)
+    hashes = sorted(groups)
+    at = [0, *itertools.accumulate(groups[h] for h in hashes)]
+
+    def ends(limit):
+        found = [0]
+        while found[-1] < len(hashes):
+            found.append(bisect.bisect_right(at, at[found[-1]] + limit) - 1)
+        return found[1:]
+
+    assert len(ends(capacity)) <= 8 < len(ends(capacity - 1))
+    assert cuts == [hashes[i] for i in ends(capacity)[:-1]]
+    assert len(read) <= 3 and sum(read) <= 1000
+
+
 def test_shards_and_slots(spark, edge, nothing, small_docs):
     for frame in (edge, small_docs):
         rows = sharding.shard(frame, 8).collect()
