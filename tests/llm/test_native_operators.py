@@ -17,7 +17,7 @@ DATA = "/root/testdata/sf0.001"
 
 def oracle(name):
     with duckdb.connect() as con:
-        for t in ("documents", "labels", "pages"):
+        for t in ("documents", "labels", "pages", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
         rel = con.sql(catalog.ORACLE[name])
         return rel.columns, rel.fetchall()
